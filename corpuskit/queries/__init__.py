@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("corpus",)
+AREAS = ("corpus", "search")
 
 
 def registry() -> dict:

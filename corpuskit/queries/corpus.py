@@ -94,7 +94,7 @@ def intro_islands(spark, sf):
     units = structure.assemble_units(nodes, ["user_id"], "event_id")
     prose = units.filter(~F.col("is_verse"))
     return prose.groupBy("user_id", "intro_no").agg(
-        F.count("*").alias("n_blocks"), F.min("event_id").alias("first_event"), F.first("is_outro").alias("is_outro")
+        F.count("*").alias("n_blocks"), F.min("event_id").alias("first_event"), F.max("is_outro").alias("is_outro")
     )
 
 
@@ -129,7 +129,8 @@ def flat_unit_order(spark, sf):
 
 def unit_neighbours(spark, sf):
     docs = read(spark, sf, "documents").select("lang", "doc_id")
-    return ordering.neighbours(docs, ["lang"], ["doc_id"], int_bucket(F.col("doc_id"), 4096), "doc_id")
+    out = ordering.neighbours(docs, ["lang"], ["doc_id"], int_bucket(F.col("doc_id"), 4096), "doc_id")
+    return out.fillna(-1, ["prev_id", "next_id"])
 
 
 def chapter_neighbours(spark, sf):
@@ -137,7 +138,7 @@ def chapter_neighbours(spark, sf):
     month = F.date_trunc("month", "o_orderdate")
     return ordering.neighbours(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], month, "o_orderkey").select(
         "o_custkey", "o_orderkey", "prev_id", "next_id"
-    )
+    ).fillna(-1, ["prev_id", "next_id"])
 
 
 def catalog_group(spark, sf):
@@ -163,17 +164,6 @@ def degraded_refs(spark, sf):
     return item.select(T.degraded_reference(ref).alias("reference")).groupBy("reference").agg(F.count("*").alias("n"))
 
 
-def events_rolling_buffer(spark, sf):
-    """The last 80 event types of a user at every event (row frame, batch form of the stream buffer)."""
-    from pyspark.sql import Window
-
-    events = read(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-79, 0)
-    return events.withColumn("buf", F.collect_list("event_type").over(w)).select(
-        "user_id", "event_id", F.size("buf").alias("n_buffered"), F.md5(F.array_join("buf", ",").cast("binary")).alias("buffer_md5")
-    )
-
-
 SQL_WORDS = r"words AS (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS token FROM documents)"
 SQL_FREQ = f"""{SQL_WORDS}, freq AS (SELECT token, lower(strip_accents(token)) AS ascii, count(*) AS freq FROM words
   WHERE length(token) >= 2 GROUP BY token HAVING count(*) >= 2)"""
@@ -278,12 +268,12 @@ QUERIES = {
     ),
     "unit_neighbours": (
         unit_neighbours,
-        """SELECT lang, doc_id, lag(doc_id) OVER w AS prev_id, lead(doc_id) OVER w AS next_id FROM documents
+        """SELECT lang, doc_id, coalesce(lag(doc_id) OVER w, -1) AS prev_id, coalesce(lead(doc_id) OVER w, -1) AS next_id FROM documents
         WINDOW w AS (PARTITION BY lang ORDER BY doc_id)""",
     ),
     "chapter_neighbours": (
         chapter_neighbours,
-        """SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS prev_id, lead(o_orderkey) OVER w AS next_id FROM orders
+        """SELECT o_custkey, o_orderkey, coalesce(lag(o_orderkey) OVER w, -1) AS prev_id, coalesce(lead(o_orderkey) OVER w, -1) AS next_id FROM orders
         WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     ),
     "catalog_group": (
@@ -301,10 +291,4 @@ QUERIES = {
         degraded_refs,
         """SELECT 'C' || l_orderkey || ' · S' || l_linenumber AS reference, count(*) AS n FROM lineitem GROUP BY 1""",
     ),
-    "rolling_buffer": (
-        events_rolling_buffer,
-        """WITH b AS (SELECT user_id, event_id, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id
-          ROWS BETWEEN 79 PRECEDING AND CURRENT ROW) AS buf FROM events)
-        SELECT user_id, event_id, CAST(len(buf) AS INTEGER) AS n_buffered, md5(array_to_string(buf, ',')) AS buffer_md5 FROM b""",
-    ),
 }

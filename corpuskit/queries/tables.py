@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
 from corpuskit.operators.freq import token_stream
+from corpuskit.session import spread
+
+
+# Text-heavy tables and their keys: spread over the cores when they are small.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def doc_units(spark: SparkSession, sf: str) -> DataFrame:

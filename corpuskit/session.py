@@ -43,10 +43,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialised(df: DataFrame, *keys: str) -> DataFrame:
+    """A compact table that several later steps read, evenly spread by ``keys``."""
+    return checkpointed(df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys))
+
+
 def small_or_shuffled(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Mark ``df`` for broadcast only when a bounded count proves it small.
 
     ``limit(max_rows + 1)`` stops the count early, so a large table costs no
-    more than ``max_rows`` rows; beyond the bound the join shuffles as usual.
+    more than ``max_rows`` rows; beyond the bound both sides are shuffled for a
+    merge join, which adaptive execution splits on hot keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small input one partition per core; a big input is left as it is.
+
+    Small compute-heavy tables (a vocabulary, one Parquet row group) would
+    otherwise run in a single task.  Hashing on ``keys`` keeps retries stable.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
