@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("corpus", "search")
+AREAS = ("corpus", "search", "resolve")
 
 
 def registry() -> dict:
