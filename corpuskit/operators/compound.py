@@ -40,50 +40,43 @@ def _rule_array(rules: Sequence[tuple[str, str, str, str]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("mark", "left", "right", "rule"))]) for r in rules])
 
 
-def _boundaries(words: DataFrame, rules: Sequence[tuple[str, str, str, str]]) -> DataFrame:
-    """``token, segments, n`` and every inner boundary ``cut`` with its character offset ``off`` and a fitting rule ``r``."""
+def _with_cuts(words: DataFrame, rules: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """``token, n, cuts``: every inner boundary (``at``, character offset ``off``) with every rule that fits it."""
     places = words.withColumn("n", F.size("segments")).filter(F.col("n") > 1)
-    places = places.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
-    places = places.withColumn("end", F.get("segments", F.col("cut") - 1)).withColumn(
-        "off", F.length(F.array_join(F.slice("segments", F.lit(1), F.col("cut")), ""))
-    )
-    fits = lambda r: (r["mark"] == "") | (
-        F.endswith(F.col("end"), r["mark"]) & ~F.endswith(F.col("end"), F.concat(F.lit(VIRAMA), r["mark"]))
-    )
-    return places.withColumn("r", F.explode(F.filter(_rule_array(rules), fits))).drop("end")
+    places = places.withColumn("offs", F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.length(F.array_join(F.slice("segments", F.lit(1), i), ""))))
+
+    def at(off: Column, i: Column) -> Column:
+        end = F.get("segments", i)
+        fits = lambda r: (r["mark"] == "") | (F.endswith(end, r["mark"]) & ~F.endswith(end, F.concat(F.lit(VIRAMA), r["mark"])))
+        table = _rule_array(rules)
+        return F.transform(
+            table if len(rules) == 1 else F.filter(table, fits),
+            lambda r: F.struct(
+                (i + 1).alias("at"), off.alias("off"), F.length(r["mark"]).alias("drop"), r["left"].alias("left"), r["right"].alias("right"),
+                r["rule"].alias("rule"),
+            ),
+        )
+
+    return places.select("token", "n", F.flatten(F.transform("offs", at)).alias("cuts"))
 
 
 def candidate_parts(words: DataFrame, rules: Sequence[tuple[str, str, str, str]], longest: int) -> DataFrame:
     """``token, part``: every string that can be a part of the word, no longer than ``longest``."""
-    inner = _boundaries(words, rules)
-    ends = inner.groupBy("token").agg(
-        F.collect_set(
-            F.struct("cut", "off", F.length("r.mark").alias("drop"), F.col("r.left").alias("put"))
-        ).alias("ends"),
-        F.collect_set(F.struct("cut", "off", F.col("r.right").alias("add"))).alias("starts"),
-        F.max("n").alias("n"),
-    )
-    zero, none = F.lit(0), F.lit("")
-    size = F.length("token")
-    spans = ends.select(
-        "token",
-        "n",
-        F.explode(F.concat(F.col("starts"), F.array(F.struct(zero.alias("cut"), zero.alias("off"), none.alias("add"))))).alias("s"),
-        F.concat(
-            F.col("ends"), F.array(F.struct(F.col("n").alias("cut"), size.alias("off"), zero.alias("drop"), none.alias("put")))
-        ).alias("ends"),
-    ).select(
-        "token",
-        "n",
-        "s",
-        F.explode(F.filter("ends", lambda e: (e["off"] > F.col("s.off")) & (e["off"] - F.col("s.off") <= longest + e["drop"]))).alias("e"),
+    zero, none, size = F.lit(0), F.lit(""), F.length("token")
+    starts = F.transform("cuts", lambda c: F.struct(c["at"].alias("at"), c["off"].alias("off"), c["right"].alias("add")))
+    ends = F.transform("cuts", lambda c: F.struct(c["at"].alias("at"), c["off"].alias("off"), c["drop"].alias("drop"), c["left"].alias("put")))
+    first = F.array(F.struct(zero.alias("at"), zero.alias("off"), none.alias("add")))
+    last = F.array(F.struct(F.col("n").alias("at"), size.alias("off"), zero.alias("drop"), none.alias("put")))
+    spans = (
+        _with_cuts(words, rules)
+        .select("token", "n", F.concat(F.array_distinct(ends), last).alias("ends"), F.explode(F.concat(F.array_distinct(starts), first)).alias("s"))
+        .withColumn("e", F.explode("ends"))
+        .filter((F.col("e.off") > F.col("s.off")) & (F.col("e.off") - F.col("s.off") <= F.col("e.drop") + longest))
+        .filter((F.col("s.at") > 0) | (F.col("e.at") < F.col("n")))
     )
-    whole = (F.col("s.cut") == 0) & (F.col("e.cut") == F.col("n"))
     raw = F.substr("token", F.col("s.off") + 1, F.col("e.off") - F.col("s.off") - F.col("e.drop"))
-    return (
-        spans.filter(~whole)
-        .select("token", F.concat("s.add", raw, "e.put").alias("part"))
-        .filter((F.col("part") != "") & (F.length("part") <= longest))
+    return spans.select("token", F.concat("s.add", raw, "e.put").alias("part")).filter(
+        (F.col("part") != "") & (F.length("part") <= longest)
     )
 
 
@@ -103,28 +96,35 @@ def best_splits(segments: list[str], credit: dict[str, int], rules, max_parts: i
             text += segments[j]
             raw[i, j + 1] = text
     tails: dict = {}
+    steps: dict = {}
 
-    def tail(i: int, add: str, parts: int) -> list:
-        """Best ways to cut everything from boundary ``i`` into ``parts`` parts."""
-        known = tails.get((i, add, parts))
-        if known is not None:
-            return known
-        found = []
-        if parts == 1:
-            last = add + raw[i, n]
-            found.append((-credit.get(last, 0), (), (last,)))
-        else:
+    def first_parts(i: int, add: str) -> list:
+        """Every admissible next part from boundary ``i``: its place, credit and what follows."""
+        known = steps.get((i, add))
+        if known is None:
+            known = steps[i, add] = []
             for j in range(i + 1, n):
                 for r, cut, left, right in options[j]:
                     piece = add + (raw[i, j][:-cut] if cut else raw[i, j]) + left
-                    if not piece or count(piece) < 2:
-                        continue
-                    own = credit.get(piece, 0)
-                    for rest in tail(j, right, parts - 1):
-                        found.append((rest[0] - own, ((j, r), *rest[1]), (piece, *rest[2])))
-            found.sort(key=lambda f: f[:2])
-            del found[keep:]
-        tails[i, add, parts] = found
+                    if piece and count(piece) >= 2:
+                        known.append((j, (j, r), right, piece, credit.get(piece, 0)))
+        return known
+
+    def tail(i: int, add: str, parts: int) -> list:
+        """Best ways to cut everything from boundary ``i`` into ``parts`` parts."""
+        found = tails.get((i, add, parts))
+        if found is None:
+            if parts == 1:
+                last = add + raw[i, n]
+                found = [(-credit.get(last, 0), (), (last,))]
+            else:
+                found = [
+                    (rest[0] - own, (cut, *rest[1]), (piece, *rest[2]))
+                    for j, cut, right, piece, own in first_parts(i, add)
+                    for rest in tail(j, right, parts - 1)
+                ]
+                found = [min(found)] if keep == 1 and found else sorted(found)[:keep]
+            tails[i, add, parts] = found
         return found
 
     ranked = []
@@ -162,19 +162,19 @@ def split_compounds(
     if manual is not None:
         longest = max(longest, manual.agg(F.max(F.length("form"))).first()[0] or 0)
     words = materialised(words, "token")
-    parts = candidate_parts(words, rules, longest)
+    # Read three times below, and cheaper to keep than to cut again.
+    parts = checkpointed(candidate_parts(words, rules, longest))
     distinct_parts = parts.select("part").distinct()
     credits = distinct_parts.join(known, F.col("part") == F.col("head"), "left_semi").select("part", F.lit(KNOWN).alias("credit"))
     if lemma_rules is not None or manual is not None:
         lemmas = lemma_candidates(distinct_parts.select(F.col("part").alias("token")), manual, lemma_rules, dedupe=False)
         through = lemmas.join(known, F.col("lemma") == F.col("head"), "left_semi").select(F.col("token").alias("part"), F.lit(VIA_LEMMA).alias("credit"))
         credits = credits.unionByName(through).groupBy("part").agg(F.max("credit").alias("credit"))
-    credits = checkpointed(credits)
     per_word = (
-        parts.join(credits, "part")
+        parts.join(credits.hint("merge"), "part")
         .groupBy("token")
         .agg(F.collect_set(F.struct("part", "credit")).alias("credit"))
-        .join(words, "token")
+        .join(words.hint("merge"), "token")
     )
     segmenter_is_chars = segment is characters
 
@@ -199,13 +199,13 @@ def boundary_candidates(
 ) -> DataFrame:
     """``token, cut, left, right, rule``: every inner boundary with every rule that fits it."""
     rules = [NO_CHANGE, *[r for r in rules if r != NO_CHANGE]]
-    cuts = _boundaries(words.select("token", segment(F.col("token")).alias("segments")), rules)
+    cuts = _with_cuts(words.select("token", segment(F.col("token")).alias("segments")), rules).select("token", F.explode("cuts").alias("c"))
     return cuts.select(
         "token",
-        "cut",
-        F.concat(F.substr("token", F.lit(1), F.col("off") - F.length("r.mark")), F.col("r.left")).alias("left"),
-        F.concat(F.col("r.right"), F.substr("token", F.col("off") + 1, F.length("token"))).alias("right"),
-        F.col("r.rule").alias("rule"),
+        F.col("c.at").alias("cut"),
+        F.concat(F.substr("token", F.lit(1), F.col("c.off") - F.col("c.drop")), F.col("c.left")).alias("left"),
+        F.concat(F.col("c.right"), F.substr("token", F.col("c.off") + 1, F.length("token"))).alias("right"),
+        F.col("c.rule").alias("rule"),
     )
 
 
