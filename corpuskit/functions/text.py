@@ -6,7 +6,6 @@ All of them are built-in expressions, so they stay inside code generation.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -199,6 +198,3 @@ def split_senses(body: Column) -> Column:
     chosen = F.when(F.size(dotted) > 1, dotted).otherwise(numbered)
     return F.filter(F.transform(chosen, trim_space), lambda x: x != "")
 
-
-def concat_names(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
