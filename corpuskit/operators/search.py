@@ -30,6 +30,11 @@ def latin_forms(c: Column) -> tuple[Column, Column]:
     return c, T.ascii_fold(c)
 
 
+def folded_forms(c: Column) -> tuple[Column, Column]:
+    """Index forms of a Latin-script corpus: a word contains a needle only if its folded form does."""
+    return F.lit(""), T.ascii_fold(c)
+
+
 def build_search(units: DataFrame, block_chars: int | None = None, snippet_chars: int = 160) -> DataFrame:
     """Searchable documents: identity, snippet, and the text to match.
 
@@ -64,8 +69,10 @@ def query_tokens(queries: DataFrame, forms: Forms = latin_forms, split: Callable
 
 def matching_units(tokens: DataFrame, vocab: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
     """Units in which every token of the query is contained, inside the query's scope."""
-    needles = tokens.select(
-        F.struct("query_id", "tok_idx").alias("needle_id"),
+    # Queries share words, so matching and postings run once per distinct word.
+    words = tokens.select("raw", "native", "ascii").distinct()
+    needles = words.select(
+        F.col("raw").alias("needle_id"),
         F.explode(
             F.array(
                 F.struct(F.lit("native").alias("field"), F.coalesce("native", F.lit("")).alias("needle")),
@@ -74,16 +81,19 @@ def matching_units(tokens: DataFrame, vocab: DataFrame, postings: DataFrame, que
             )
         ).alias("n"),
     ).select("needle_id", "n.field", "n.needle")
-    hits = match_needles(needles.distinct(), gram_index(vocab)).select("needle_id.query_id", "needle_id.tok_idx", "token")
+    hits = match_needles(needles.distinct(), gram_index(vocab)).withColumnRenamed("needle_id", "raw")
+    found = (
+        postings.join(small_or_shuffled(checkpointed(hits)), "token").select("raw", "text_slug", "unit_id").distinct()
+    )
     wanted = tokens.groupBy("query_id").agg(F.count("*").alias("n_tokens"))
-    scope = queries.select("query_id", "scope") if "scope" in queries.columns else queries.select("query_id", F.lit(None).cast("array<string>").alias("scope"))
-    plan = small_or_shuffled(checkpointed(hits.join(wanted.join(scope, "query_id"), "query_id")))
+    scope = F.col("scope") if "scope" in queries.columns else F.lit(None).cast("array<string>")
+    asked = tokens.select("query_id", "tok_idx", "raw").join(wanted, "query_id").join(queries.select("query_id", scope.alias("scope")), "query_id")
     in_scope = F.col("scope").isNull() | (F.size("scope") == 0) | F.array_contains("scope", F.col("text_slug"))
     return (
-        postings.join(plan, "token")
+        found.join(small_or_shuffled(asked), "raw")
         .filter(in_scope)
         .groupBy("query_id", "text_slug", "unit_id", "n_tokens")
-        .agg(F.count_distinct("tok_idx").alias("tokens_hit"))
+        .agg(F.count("*").alias("tokens_hit"))  # a token hits a unit once
         .filter(F.col("tokens_hit") == F.col("n_tokens"))
     )
 

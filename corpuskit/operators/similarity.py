@@ -26,23 +26,30 @@ def nearest_heads(tokens: DataFrame, pool: DataFrame, k: int = 5, min_score: flo
     heads = pool.select("head").distinct().withColumn("n_head", F.size(F.array_distinct(T.char_ngrams(F.col("head"), n))))
     postings = heads.select("head", "n_head", F.explode(F.array_distinct(T.char_ngrams(F.col("head"), n))).alias("gram"))
     counts = postings.groupBy("gram").agg(F.count("*").alias("n_heads"))
-    asked = tokens.select("token").distinct().withColumn("grams", T.char_ngrams(F.col("token"), n))
+    # Few bytes, much work: an explicit partition count is not coalesced at run time.
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    asked = tokens.select("token").repartition(cores * 2, "token").distinct().withColumn("grams", T.char_ngrams(F.col("token"), n))
     probes = (
         asked.select("token", F.size("grams").alias("n_query"), F.explode("grams").alias("gram"))
         .groupBy("token", "n_query", "gram")
         .agg(F.count("*").alias("times"))
         .join(counts, "gram")
     )
-    may_skip = F.ceil(F.col("n_query") * (min_score / 2) + min_score / 2 - 1e-9) - 1
     commonest_first = Window.partitionBy("token").orderBy(F.desc("n_heads"), "gram").rowsBetween(Window.unboundedPreceding, 0)
-    probes = probes.withColumn("seen", F.sum("times").over(commonest_first)).filter(F.col("seen") > may_skip)
+    probes = (
+        probes.withColumn("may_skip", F.ceil(F.col("n_query") * (min_score / 2) + min_score / 2 - 1e-9) - 1)
+        .withColumn("seen", F.sum("times").over(commonest_first))
+        .filter(F.col("seen") > F.col("may_skip"))
+    )
     size_gap = F.abs(F.length("head") - F.length("token"))
+    # What the grams looked up leave open is at most the number of grams skipped.
+    best_case = 2 * (F.col("found") + F.col("may_skip")) / (F.col("n_query") + F.col("n_head"))
     candidates = (
-        probes.select("token", "n_query", "gram")
-        .join(postings, "gram")
+        probes.join(postings, "gram")
         .filter(size_gap <= F.greatest(F.lit(3.0), F.length("token") * 0.5))
-        .select("token", "n_query", "head", "n_head")
-        .distinct()
+        .groupBy("token", "n_query", "may_skip", "head", "n_head")
+        .agg(F.sum("times").alias("found"))
+        .filter(best_case >= min_score)
     )
     hits = gram_overlap(F.col("token"), F.col("head"), n)
     scored = candidates.withColumn("score", 2 * hits / (F.col("n_query") + F.col("n_head"))).filter(F.col("score") >= min_score)

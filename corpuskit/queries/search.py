@@ -21,7 +21,7 @@ def asked(spark, sf):
 
 def indexed(spark, sf):
     docs = S.build_search(doc_units(spark, sf))
-    vocab, postings = S.build_postings(docs)
+    vocab, postings = S.build_postings(docs, S.folded_forms)
     return docs, materialised(vocab, "token"), postings
 
 
