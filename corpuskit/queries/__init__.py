@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("corpus", "search", "resolve", "texts")
+AREAS = ("corpus", "search", "resolve", "texts", "forms")
 
 
 def registry() -> dict:
