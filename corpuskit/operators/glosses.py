@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
-from corpuskit.operators.ordering import top_per_group
+from corpuskit.operators.ordering import int_bucket, positions, top_per_group
 
 # The four definition patterns as (rule, pattern, term group, score), in the
 # order they are tried.
@@ -127,10 +127,7 @@ def rerank_senses(senses: DataFrame, priors: DataFrame, keys: Sequence[str] = ("
         .withColumn("matched", F.when(active, first))
         .select(*keys, "idx", "sense", "score", "matched")
     )
-    return scored.withColumn("rank", _rank(keys, [F.desc("score"), F.asc("idx")]))
-
-
-def _rank(keys: list[str], order: list[Column]) -> Column:
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    # Ranked in buckets that follow the order: a head may have very many senses.
+    ordered = scored.withColumn("lack", -F.col("score"))
+    placed = positions(ordered, keys, ["lack", "idx"], F.struct("lack", int_bucket(F.col("idx"))), "rank")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("lack")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
@@ -60,15 +60,16 @@ def build_meanings(
     )
     both = entries.select("text_slug", "key", "language", "text", "source_id", F.col("input_seq").cast("bigint")).unionByName(made)
     ranked = both.join(sources.select("source_id", "is_primary", "license"), "source_id", "left")
-    order = Window.partitionBy("text_slug", "key").orderBy(
-        F.when(F.col("is_primary"), 0).otherwise(1),
-        F.when(F.col("license") == DRAFT_LICENSE, 1).otherwise(0),
-        F.when(F.col("language") == "en", 0).otherwise(1),
-        "input_seq",
-    )
-    return ranked.select(
-        "text_slug", "key", (F.row_number().over(order) - 1).alias("seq"), "language", "text", "source_id"
+    ordered = ranked.select(
+        "text_slug", "key", "language", "text", "source_id", "input_seq",
+        F.when(F.col("is_primary"), 0).otherwise(1).alias("o_primary"),
+        F.when(F.col("license") == DRAFT_LICENSE, 1).otherwise(0).alias("o_draft"),
+        F.when(F.col("language") == "en", 0).otherwise(1).alias("o_language"),
     )
+    # The bucket follows the order, so a key with very many entries is not sorted in one task.
+    bucket = F.struct("o_primary", "o_draft", "o_language", int_bucket(F.col("input_seq")))
+    placed = positions(ordered, ["text_slug", "key"], ["o_primary", "o_draft", "o_language", "input_seq"], bucket, "seq")
+    return placed.select("text_slug", "key", F.col("seq").cast("int").alias("seq"), "language", "text", "source_id")
 
 
 def used_sources(sources: DataFrame, meanings: DataFrame, drop_orphans: bool = False) -> DataFrame:
@@ -96,7 +97,7 @@ def prepare_batches(units: DataFrame, order: str, size: int = BATCH_UNITS, cap:
     ready = units.withColumn("blocks", capped_blocks(cap=cap)).filter((F.coalesce("root", F.lit("")) != "") | (F.size("blocks") > 0))
     placed = positions(ready, ["text_slug"], [order], int_bucket(F.col(order)), "unit_pos")
     totals = ready.groupBy("text_slug").agg(F.ceil(F.count("*") / size).cast("int").alias("total_batches"))
-    return placed.join(F.broadcast(totals), "text_slug").withColumn("batch_index", F.floor(F.col("unit_pos") / size).cast("int"))
+    return placed.join(totals, "text_slug").withColumn("batch_index", F.floor(F.col("unit_pos") / size).cast("int"))
 
 
 def reference_label(units: DataFrame, chapters: DataFrame) -> DataFrame:

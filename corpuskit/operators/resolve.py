@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.operators.similarity import nearest_heads
-from corpuskit.session import checkpointed
+from corpuskit.session import checkpointed, small_or_shuffled
 
 # Layers in the order they are tried.
 LAYERS = ("direct", "inflection", "compound", "fuzzy", "none")
@@ -33,14 +33,13 @@ def lemma_candidates(tokens: DataFrame, manual: DataFrame | None, rules: DataFra
     """``token, seq, lemma, label, method, gloss``: table forms, then variants, then suffix rules.
 
     A suffix rule is an equi-join between the endings of the token and the rule
-    table, so no rule is tested against every token.  Rule tables are literal
-    lists of a few hundred rows, hence the broadcast.
+    table, so no rule is tested against every token.
     """
     found = []
     if manual is not None:
         found.append(
             tokens.select("token")
-            .join(F.broadcast(manual), F.col("token") == F.col("form"))
+            .join(small_or_shuffled(manual), F.col("token") == F.col("form"))
             .select("token", F.lit(0).alias("seq"), "lemma", "label", F.lit("manual").alias("method"), "gloss")
         )
     if rules is not None:
@@ -49,7 +48,7 @@ def lemma_candidates(tokens: DataFrame, manual: DataFrame | None, rules: DataFra
         endings = tokens.filter(F.length("token") > 0).select("token", ends).withColumn("suffix", F.right("token", F.col("n")))
         stem = F.substr("token", F.lit(1), F.length("token") - F.length("suffix"))
         found.append(
-            endings.join(F.broadcast(rules), "suffix")
+            endings.join(small_or_shuffled(rules), "suffix")
             .filter(F.length("token") >= F.col("min_len"))
             .select(
                 "token", "seq", F.concat(stem, "replacement").alias("lemma"), "label", F.lit("rule").alias("method"),

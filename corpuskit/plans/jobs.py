@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import text as T
 from corpuskit.functions.scripts import native_forms
 from corpuskit.operators import freq, glosses, integrity, meanings, resolve, search, structure
-from corpuskit.session import materialised
+from corpuskit.session import checkpointed, materialised
 from corpuskit.sources import html_pages, sinks
 
 
@@ -16,7 +16,9 @@ def build_corpus(pages: DataFrame, markup: dict | None = None) -> dict[str, Data
     """Pages to chapters, units and counts per text."""
     kept = html_pages.stitch_pages(pages)
     chapters, blocks = html_pages.pages_to_units(kept, markup)
-    units = html_pages.units_from_blocks(blocks)
+    # Every later job reads these tables, so they are written once.
+    chapters, blocks = checkpointed(chapters), checkpointed(blocks)
+    units = checkpointed(html_pages.units_from_blocks(blocks))
     return {"chapters": chapters, "blocks": blocks, "units": units, "counts": structure.text_counts(units)}
 
 
@@ -24,7 +26,7 @@ def build_search(units: DataFrame, forms=native_forms, block_chars: int | None =
     """Search documents, vocabulary with its forms, and postings."""
     docs = search.build_search(units, block_chars)
     vocab, postings = search.build_postings(docs, forms)
-    return {"docs": docs, "vocab": vocab, "postings": postings}
+    return {"docs": docs, "vocab": materialised(vocab, "token"), "postings": postings}
 
 
 def build_tokens(units: DataFrame, forms=native_forms, pattern: str = T.SCRIPT_RUN, letter: str = T.SCRIPT_LETTER) -> DataFrame:

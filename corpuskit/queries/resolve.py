@@ -303,8 +303,8 @@ QUERIES = {
         open2 AS (SELECT token FROM open1 WHERE length(token) >= 2 AND token NOT IN (SELECT token FROM comp)),
         {sql_nearest('open2', 'heads', 'fuzz', 5, 0.45)}
         SELECT token, layer, CAST(seq AS INTEGER) AS seq, lemma, dict_id, CAST(-1 AS DOUBLE) AS score FROM early
-        UNION ALL SELECT token, 'compound', rank, replace(parts, '+', ' + '), '', round(score, 6) FROM comp WHERE rank <= 4
-        UNION ALL SELECT token, 'fuzzy', rank, head, '', round(score, 6) FROM fuzz""",
+        UNION ALL SELECT token, 'compound', CAST(rank AS INTEGER), replace(parts, '+', ' + '), '', round(score, 6) FROM comp WHERE rank <= 4
+        UNION ALL SELECT token, 'fuzzy', CAST(rank AS INTEGER), head, '', round(score, 6) FROM fuzz""",
     ),
     "coverage_gate": (
         coverage_gate,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -343,7 +344,7 @@ def event_stream(spark, sf):
 def stream_latest(spark, sf):
     events = event_stream(spark, sf).select("user_id", "event_type", "event_id", "ts")
     latest = streams.latest_stream(events, ["user_id", "event_type"], ["ts", "event_id"])
-    return streams.run_available(latest, "latest_positions", "complete", tempfile_checkpoint(spark)).drop("ts")
+    return streams.run_available(latest, fresh_name("latest_positions"), "complete", tempfile_checkpoint(spark)).drop("ts")
 
 
 def stream_follow(spark, sf):
@@ -353,17 +354,19 @@ def stream_follow(spark, sf):
         F.lit(True).alias("is_final"),
     )
     heard = streams.heard_buffers(events, tokens=T.space_tokens)
-    table = streams.run_available(heard, "heard_buffers", "append", tempfile_checkpoint(spark))
+    table = streams.run_available(heard, fresh_name("heard_buffers"), "append", tempfile_checkpoint(spark))
     return table.select(
         F.col("session_id").cast("bigint").alias("user_id"), F.col("seq").alias("event_id"), F.size("heard").alias("n_buffered"),
         F.md5(F.array_join("heard", ",").cast("binary")).alias("buffer_md5"),
     )
 
 
+def fresh_name(stem: str) -> str:
+    return f"{stem}_{uuid.uuid4().hex}"
+
+
 def tempfile_checkpoint(spark) -> str:
     """A new folder for one stream run, inside the checkpoint folder the session names."""
-    import uuid
-
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root}/stream-{uuid.uuid4()}"
 

@@ -34,15 +34,16 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
         F.col("chapter.parentTitleSa").alias("parent_title"),
         F.col("chapter.parentOrdinal").alias("parent_ord"),
         F.col("chapter.kind").alias("chapter_kind"),
-    )
+    ).distinct()  # the parts of a long chapter repeat its head
     units = chunks.select(
         F.col("textSlug").alias("text_slug"),
         F.col("chapter.id").alias("chapter_id"),
         F.col("chapter.ordinal").alias("chapter_ord"),
         F.col("chapter.parentOrdinal").alias("parent_ord"),
-        F.posexplode("chapter.units").alias("unit_pos", "u"),
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.posexplode("chapter.units").alias("at", "u"),
     ).select(
-        "text_slug", "chapter_id", "chapter_ord", "parent_ord", "unit_pos", F.col("u.id").alias("unit_id"), "u.kind", "u.ordinal", "u.root", "u.blocks"
+        "text_slug", "chapter_id", "chapter_ord", "parent_ord", (F.col("part") * schemas.PART_UNITS + F.col("at")).alias("unit_pos"), F.col("u.id").alias("unit_id"), "u.kind", "u.ordinal", "u.root", "u.blocks"
     )
     texts = chapters.groupBy("text_slug").agg(F.count("*").alias("chapters"))
     return texts, chapters, units

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators.ordering import int_bucket
+from corpuskit.schemas import PART_UNITS
+
 # Fixed value: a text is chunked from this size on, if it has several chapters.
 MIN_SPLIT_BYTES = 102_400
 
@@ -12,17 +15,20 @@ MIN_SPLIT_BYTES = 102_400
 def split_manifest(units: DataFrame, chapters: DataFrame, min_bytes: int = MIN_SPLIT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(manifests, stubs, chunks)``.
 
-    ``chunks``: one JSON document per chapter with its size in bytes.  ``stubs``: one
-    row per chapter without bodies.  ``manifests``: one row per text.  The chapter
+    ``chunks``: one JSON document per chapter with its size in bytes; only a chapter
+    of more than ``PART_UNITS`` units has several parts, so that no document grows
+    without bound.  ``stubs``: one row per chapter without bodies.  ``manifests``: one row per text.  The chapter
     list stays rows, so that no text has to fit into one record.
     """
     unit = F.struct(
         "unit_pos", F.col("unit_id").alias("id"), "kind", "ordinal", "root", "blocks"
     )
-    bodies = units.groupBy("text_slug", "chapter_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    part = int_bucket(F.col("unit_pos"), PART_UNITS).alias("part")
+    bodies = units.groupBy("text_slug", "chapter_id", part).agg(F.array_sort(F.collect_list(unit)).alias("units"))
     joined = chapters.join(bodies, ["text_slug", "chapter_id"], "left")
     document = F.struct(
         F.col("text_slug").alias("textSlug"),
+        F.when(F.col("part") > 0, F.col("part")).alias("part"),
         F.struct(
             F.col("chapter_id").alias("id"),
             F.col("chapter_ord").alias("ordinal"),
@@ -38,9 +44,14 @@ def split_manifest(units: DataFrame, chapters: DataFrame, min_bytes: int = MIN_S
     )
     chunks = joined.withColumn("json", F.to_json(document)).select(
         "text_slug", "chapter_id", "json", F.octet_length("json").cast("bigint").alias("chunk_size"),
-        F.concat(F.lit("/data/"), "text_slug", F.lit("/"), "chapter_id", F.lit(".json")).alias("chunk_path"),
+        F.concat(
+            F.lit("/data/"), "text_slug", F.lit("/"), "chapter_id", F.when(F.col("part") > 0, F.concat(F.lit("."), "part")).otherwise(""), F.lit(".json")
+        ).alias("chunk_path"),
+    )
+    sizes = chunks.groupBy("text_slug", "chapter_id").agg(
+        F.sum("chunk_size").alias("chunk_size"), F.count("*").alias("parts"), F.min("chunk_path").alias("chunk_path")
     )
-    stubs = chapters.join(chunks.drop("json"), ["text_slug", "chapter_id"])
+    stubs = chapters.join(sizes, ["text_slug", "chapter_id"])
     manifests = stubs.groupBy("text_slug").agg(
         F.count("*").alias("chapters"),
         F.sum("chunk_size").alias("bytes"),
