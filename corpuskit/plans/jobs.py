@@ -17,7 +17,7 @@ def build_corpus(pages: DataFrame, markup: dict | None = None) -> dict[str, Data
     kept = html_pages.stitch_pages(pages)
     chapters, blocks = html_pages.pages_to_units(kept, markup)
     # Every later job reads these tables, so they are written once.
-    chapters, blocks = checkpointed(chapters), checkpointed(blocks)
+    blocks = checkpointed(blocks)
     units = checkpointed(html_pages.units_from_blocks(blocks))
     return {"chapters": chapters, "blocks": blocks, "units": units, "counts": structure.text_counts(units)}
 

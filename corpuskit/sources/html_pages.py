@@ -198,6 +198,7 @@ def pages_to_units(pages: DataFrame, markup: dict | None = None) -> tuple[DataFr
             F.col("node_type").alias("chapter_kind"),
         )
     )
+    chapters = checkpointed(chapters)  # one row per chapter, joined by several steps
     anchor = F.when(F.col("section") > 0, F.col("section_pos")).otherwise(F.lit(0).cast("bigint"))
     inside = nodes.withColumn("chapter_at", anchor).join(chapters.select("source", "chapter_at", "chapter_id"), ["source", "chapter_at"])
     texts = inside.filter(F.col("what").isin("root", "block") & (F.col("text") != ""))
@@ -205,7 +206,7 @@ def pages_to_units(pages: DataFrame, markup: dict | None = None) -> tuple[DataFr
     loose = texts.filter((F.col("what") == "block") & (F.col("owner") == 0)).select(
         "source", "chapter_at", "chapter_id", "pos", "node_id", "node_type", F.lit(False).alias("is_verse")
     )
-    made_units = assemble_units(top.unionByName(loose), ["source", "chapter_at"], "pos", PAGE_STRIDE * 16)
+    made_units = assemble_units(checkpointed(top.unionByName(loose)), ["source", "chapter_at"], "pos", PAGE_STRIDE * 16)
     prefix = F.when(F.col("is_outro"), "_OUTRO").otherwise("_INTRO")
     unit_id = F.when(F.col("is_verse"), F.coalesce("node_id", F.concat("chapter_id", F.lit("_V"), "verse_no"))).otherwise(
         F.concat("chapter_id", prefix, "intro_no")
