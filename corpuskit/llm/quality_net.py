@@ -200,11 +200,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tr
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = 20_000, seed: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is predicted to have label 1."""
     vectors, net = fitted(docs, labels, train_rows, seed)
+    at = docs.columns.index("text")
 
     def run(batches):
         slots = Slots()
         for b in batches:
-            texts = b.column(docs.columns.index("text")).to_pylist()
+            texts = b.column(at).to_pylist()
             yield b.filter(pa.array(net.score(pooled(texts, vectors, slots)) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -192,10 +192,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that are not predicted toxic."""
     model = fit(docs, labels, **options)
+    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            texts = b.column(docs.columns.index("text")).to_pylist()
+            texts = b.column(at).to_pylist()
             yield b.filter(pa.array(model.score([model.features(t) for t in texts]) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
