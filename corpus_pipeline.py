@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskit.llm import mixture_packing, popcount_simhash, quality_net, toxic_segments
+from corpuskit.llm import mixture_packing, popcount_simhash, quality_net, toxic_segments, weak_pii
 from corpuskit.llm.shared import stored
 
 
@@ -32,12 +32,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return popcount_simhash.one_per_component(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by the name of its kind."""
+    return weak_pii.mask(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 ids."""
     return mixture_packing.pack(docs, window=2048, end_id=1)
 
 
-STAGES = [("quality", quality), ("toxicity", toxicity), ("near_copies", near_copies), ("packing", packing)]
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_copies", near_copies), ("personal_data", personal_data), ("packing", packing)]
 
 ORACLE_SQL = None  # the classifiers and the tokenizer are beyond SQL; tests compare with a brute-force version
 

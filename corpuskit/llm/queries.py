@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corpuskit.llm import mixture_packing, popcount_simhash, quality_net, rabitq, toxic_segments
+from corpuskit.llm import (
+    license_sentences,
+    line_frequency,
+    mixture_packing,
+    popcount_simhash,
+    quality_net,
+    rabitq,
+    sampled_pieces,
+    token_rollups,
+    toxic_segments,
+    weak_pii,
+)
+from corpuskit.session import checkpoint_folder
 
 
 def table(spark, sf: str, name: str):
@@ -28,6 +42,41 @@ def op3_quality_net(spark, sf):
     return quality_net.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op4_line_frequency(spark, sf):
+    """Base figures and verdict of every document."""
+    return line_frequency.judge(table(spark, sf, "documents"))
+
+
+def op5_license_sentences(spark, sf):
+    """License sentences and licenses of every document."""
+    return license_sentences.scan(table(spark, sf, "documents"))
+
+
+def op6_token_rollups(spark, sf):
+    """Totals after three batches: all documents inserted, all recounted by a newer tokenizer, those of label quality 0 deleted; every batch is sent twice."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    ledger = token_rollups.Ledger(spark, f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    batches = [
+        token_rollups.changes(docs, "insert", token_rollups.SPACE_WORDS),
+        token_rollups.changes(docs, "revise", token_rollups.SCRIPT_RUNS),
+        token_rollups.changes(labels.filter("quality = 0"), "delete"),
+    ]
+    for number, batch in enumerate(batches, 1):
+        ledger.commit(number, batch)
+        ledger.commit(number, batch)
+    return ledger.totals()
+
+
+def op7_weak_pii(spark, sf):
+    """Personal data of every document."""
+    return weak_pii.find(table(spark, sf, "documents"))
+
+
+def op8_sampled_pieces(spark, sf):
+    """A sampled segmentation of every document: number and hash of its ids, and whether decoding gives the text back."""
+    return sampled_pieces.sample(table(spark, sf, "documents"), seed=1, with_ids=False)
+
+
 def op9_toxic_segments(spark, sf):
     """Toxicity score of every document, with the number of significant passages."""
     scored = toxic_segments.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -44,6 +93,11 @@ QUERIES = {
     "op1_rabitq_search": (op1_rabitq_search, None),
     "op2_mixture_packing": (op2_mixture_packing, None),
     "op3_quality_net": (op3_quality_net, None),
+    "op4_line_frequency": (op4_line_frequency, line_frequency.ORACLE_SQL),
+    "op5_license_sentences": (op5_license_sentences, license_sentences.oracle_sql()),
+    "op6_token_rollups": (op6_token_rollups, token_rollups.ORACLE_SQL),
+    "op7_weak_pii": (op7_weak_pii, None),
+    "op8_sampled_pieces": (op8_sampled_pieces, None),
     "op9_toxic_segments": (op9_toxic_segments, None),
     "op10_popcount_simhash": (op10_popcount_simhash, None),
 }
