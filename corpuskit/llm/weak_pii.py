@@ -197,7 +197,7 @@ class Classifier:
         return logistic(design(keys) @ self.weights) >= self.threshold if keys else np.zeros(0, bool)
 
 
-def train(patterns: DataFrame, threshold: float = 0.9, penalty: float = 1.0, rounds: int = 60) -> Classifier:
+def train(patterns: DataFrame, threshold: float = 0.7, penalty: float = 0.3, rounds: int = 60) -> Classifier:
     """The span classifier from a table of pattern keys."""
     counts = patterns.groupBy("pattern").count().orderBy("pattern").toPandas()  # bounded, see above
     keys = counts["pattern"].tolist()
@@ -247,14 +247,14 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def fit(docs: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, Classifier]:
+def fit(docs: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, Classifier]:
     """Stored spans of every row and the classifier trained on them."""
     rows = stored(extracted(docs))
     patterns = rows.select(F.explode(F.concat("base.pattern", "more.pattern")).alias("pattern"))
     return rows, train(patterns, threshold)
 
 
-def find(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Per row: doc_id, number of base spans by kind, the hash of the base spans and all spans."""
     rows, classifier = fit(docs, threshold)
 
@@ -288,7 +288,7 @@ def mask_text(text: str, classifier: Classifier) -> str:
     return "".join(out) + text[at:] if out else text
 
 
-def mask(docs: DataFrame, threshold: float = 0.9, length_col: str | None = "n_chars") -> DataFrame:
+def mask(docs: DataFrame, threshold: float = 0.7, length_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with every span in ``text`` replaced by the name of its kind; overlapping spans become one mark.
 
     ``length_col``, if the table has it, is set to the new number of characters where the
