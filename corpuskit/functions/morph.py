@@ -5,47 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Label patterns per feature, first match wins.
-CASES = (("nom", 1), ("voc", 8), ("acc", 2), ("instr", 3), ("dat", 4), ("abl", 5), ("gen", 6), ("loc", 7))
-NUMBERS = (
-    (r"\bsg\b|\bsing(?:ular)?\b|\d+sg\b", "eka"),
-    (r"\bdual\b|\bdu\.?\b|\d+du\b", "dvi"),
-    (r"\bpl\b|\bplural\b|\d+pl\b", "bahu"),
-)
-GENDERS = ((r"\bmasc\.|\bm\b", "m"), (r"\bfem\.|\bfeminine\b|\bf\b", "f"), (r"\bneut\.|\bn\b", "n"))
-TENSES = (
-    (r"perf(?:\.|ect\b)", "lit"),
-    (r"fut(?:\.|ure\b)", "lrt"),
-    (r"pres(?:\.|ent\b)", "lat"),
-    (r"impv(?:\.|erative\b)", "lot"),
-    (r"impf(?:\.|ect\b)", "lan"),
-    (r"aor(?:\.|ist\b)", "lun"),
-    (r"opt(?:\.|ative\b)", "vidhi-lin"),
-)
-PERSON_WORDS = {1: "st", 2: "nd", 3: "rd"}
-
-
-def _first(label: Column, rules) -> Column:
-    out = F.when(label.rlike("(?i)" + rules[0][0]), rules[0][1])
-    for pattern, value in rules[1:]:
-        out = out.when(label.rlike("(?i)" + pattern), value)
-    return out
+# The words that name a feature's values; of several named values the one
+# listed first counts.  A word with a full stop counts only with it.
+VOCABULARY = {
+    "lakara": [
+        ("lit", ["perf.", "perfect"]),
+        ("lrt", ["fut.", "future"]),
+        ("lat", ["pres.", "present"]),
+        ("lot", ["impv.", "imperative"]),
+        ("lan", ["impf.", "imperfect"]),
+        ("lun", ["aor.", "aorist"]),
+        ("vidhi-lin", ["opt.", "optative"]),
+    ],
+    "purusha": [(n, [f"{n}{end}" for end in ("", ordinal, "p", "per", "person", "sg", "pl")]) for n, ordinal in ((1, "st"), (2, "nd"), (3, "rd"))],
+    "vacana": [
+        ("eka", ["sg", "sing", "singular", "1sg", "2sg", "3sg"]),
+        ("dvi", ["dual", "du", "1du", "2du", "3du"]),
+        ("bahu", ["pl", "plural", "1pl", "2pl", "3pl"]),
+    ],
+    "vibhakti": [(n, [name]) for n, name in ((1, "nom."), (8, "voc."), (2, "acc."), (3, "instr."), (4, "dat."), (5, "abl."), (6, "gen."), (7, "loc."))],
+    "linga": [("m", ["masc.", "m", "m-stem"]), ("f", ["fem.", "feminine", "f", "f-stem"]), ("n", ["neut.", "n", "n-stem"])],
+}
+# Stems of nouns that are masculine where no gender is named.
+MASCULINE_STEMS = ["a-stem", "i-stem", "u-stem"]
+# What a form needs to be complete, by the feature that makes it a verb or a noun.
+NEEDS = {"lakara": ["purusha", "vacana"], "vibhakti": ["vacana"]}
 
 
 def morph_features(label: Column) -> Column:
-    """``struct(lakara, purusha, vacana, vibhakti, linga)``, or null where the label is not enough.
-
-    A verb needs tense, person and number; a noun needs case and number.
-    """
-    tense = _first(label, [(r"(?:^|\W)" + p, v) for p, v in TENSES])
-    person = _first(label, [(rf"\b{n}(?:{w})?\s*(?:p|per|persona?)?\b|\b{n}\s*sg\b|\b{n}\s*pl\b", n) for n, w in PERSON_WORDS.items()])
-    case = _first(label, [(rf"\b{name}\.", n) for name, n in CASES])
-    number = _first(label, NUMBERS)
-    gender = _first(label, GENDERS)
-    gender = F.coalesce(gender, F.when(case.isNotNull() & label.rlike("(?i)a-stem|i-stem|u-stem"), "m"))
-    nothing = F.coalesce(tense, number, gender, person.cast("string"), case.cast("string")).isNull()
-    unusable = nothing | (tense.isNotNull() & (person.isNull() | number.isNull())) | (case.isNotNull() & number.isNull())
-    found = F.struct(
-        tense.alias("lakara"), person.alias("purusha"), number.alias("vacana"), case.alias("vibhakti"), gender.alias("linga")
-    )
-    return F.when(~unusable, found)
+    """``struct(lakara, purusha, vacana, vibhakti, linga)``, or null where the label is not enough."""
+    words = F.filter(F.split(F.lower(label), r"[^\p{L}\p{N}.-]+"), lambda w: w != "")
+    words = F.array_union(words, F.transform(words, lambda w: F.rtrim(w, F.lit("."))))
+    names = lambda some: F.arrays_overlap(words, F.array(*map(F.lit, some)))
+    found = {feature: F.coalesce(*(F.when(names(some), F.lit(value)) for value, some in values)) for feature, values in VOCABULARY.items()}
+    found["linga"] = F.coalesce(found["linga"], F.when(found["vibhakti"].isNotNull() & names(MASCULINE_STEMS), F.lit("m")))
+    complete = F.coalesce(*(value.cast("string") for value in found.values())).isNotNull()
+    for feature, needed in NEEDS.items():
+        for other in needed:
+            complete &= found[feature].isNull() | found[other].isNotNull()
+    return F.when(complete, F.struct(*(value.alias(feature) for feature, value in found.items())))

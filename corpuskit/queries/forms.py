@@ -62,6 +62,20 @@ def morph_labels(spark, sf):
     )
 
 
+TENSES = (("perf.", "lit"), ("future", "lrt"), ("pres.", "lat"), ("impv.", "lot"), ("imperfect", "lan"), ("aor.", "lun"), ("opt.", "vidhi-lin"))
+
+
+def verb_labels(spark, sf):
+    """Verb labels put together from the line items, some without person or number."""
+    items = read(spark, sf, "lineitem")
+    tense = F.element_at(F.array(*[F.lit(t) for t, _ in TENSES]), F.col("l_linenumber"))
+    person = F.element_at(F.array(*[F.lit(p) for p in ("1sg", "2 pl.", "3rd person", "")]), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    number = F.when(F.col("l_returnflag") == "A", "dual").when(F.col("l_returnflag") == "N", "plural").otherwise("")
+    out = items.select(F.concat_ws(" ", tense, person, number).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    m = morph_features(F.col("label"))
+    return out.select("label", "n", F.coalesce(m["lakara"], F.lit("")).alias("lakara"), F.coalesce(m["purusha"], F.lit(-1)).alias("purusha"), F.coalesce(m["vacana"], F.lit("")).alias("vacana"))
+
+
 def lexicon_dump(spark, sf):
     """Parts written as tagged dump records, parsed, cleaned and folded per brand."""
     part = read(spark, sf, "part")
@@ -148,6 +162,17 @@ QUERIES = {
         SELECT label, count(*) AS n, CAST(CASE WHEN c = '' THEN -1 ELSE v END AS INTEGER) AS vibhakti, c AS vacana, CASE WHEN c = '' THEN '' ELSE g END AS linga
         FROM l GROUP BY label, v, c, g""",
     ),
+    "verb_labels": (
+        verb_labels,
+        f"""WITH t(i, word, lakara) AS (VALUES {", ".join(f"({i}, '{w}', '{v}')" for i, (w, v) in enumerate(TENSES, 1))}),
+        x AS (SELECT *, l_orderkey % 4 AS k, CASE l_returnflag WHEN 'A' THEN 'dual' WHEN 'N' THEN 'plural' ELSE '' END AS number FROM lineitem JOIN t ON i = l_linenumber),
+        l AS (SELECT word || ' ' || ['1sg', '2 pl.', '3rd person', ''][k + 1] || ' ' || number AS label, lakara, CASE k WHEN 3 THEN NULL ELSE k + 1 END AS purusha,
+          CASE WHEN k = 0 THEN 'eka' WHEN number = 'dual' THEN 'dvi' WHEN k = 1 OR number = 'plural' THEN 'bahu' END AS vacana FROM x),
+        g AS (SELECT label, count(*) AS n, any_value(lakara) AS lakara, any_value(purusha) AS purusha, any_value(vacana) AS vacana FROM l GROUP BY label)
+        SELECT label, n, CASE WHEN purusha IS NULL OR vacana IS NULL THEN '' ELSE lakara END AS lakara,
+          CAST(CASE WHEN purusha IS NULL OR vacana IS NULL THEN -1 ELSE purusha END AS INTEGER) AS purusha,
+          CASE WHEN purusha IS NULL OR vacana IS NULL THEN '' ELSE vacana END AS vacana FROM g""",
+    ),
     "lexicon_dump": (
         lexicon_dump,
         """SELECT 'parts' AS dict_id, p_brand AS head, p_brand AS iast, list_reduce(list(p_name || ' ' || p_type ORDER BY p_partkey), lambda a, y: CASE WHEN length(a) < 170

@@ -72,3 +72,11 @@ def test_morph(spark):
     assert (b.vibhakti, b.vacana, b.linga) == (3, "bahu", None)
     assert (c.lakara, c.purusha, c.vacana) == ("lit", 3, "eka")
     assert d is None and e is None and f is None
+
+
+def test_morph_words(spark):
+    """Earlier values win over earlier words; a stem word may name the gender; a case needs its full stop."""
+    labels = ["n-stem nom./acc. dual", "gen./abl. sg.", "fut. 3sg passive", "genitive case", "perfect tense generally", "", None, "m. loc. Plural", "aor. 2nd pl"]
+    df = spark.createDataFrame([(x,) for x in labels], "l string").select(morph_features(F.col("l")).alias("m"))
+    got = [r.m and tuple(r.m) for r in df.collect()]
+    assert got == [(None, None, "dvi", 1, "n"), (None, None, "eka", 5, None), ("lrt", 3, "eka", None, None), None, None, None, None, (None, None, "bahu", 7, "m"), ("lun", 2, "bahu", None, None)]
