@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from corpuskit.operators.resolve import rule_table
 from corpuskit.operators.structure import with_body
 from corpuskit.queries.resolve import _values
 from corpuskit.queries.tables import SQL_SPACE, doc_units, read
-from corpuskit.session import materialised
+from corpuskit.session import checkpoint_folder, materialised
 from corpuskit.sources import html_pages
 from corpuskit.streaming import follow_stream as streams
 
@@ -336,15 +335,22 @@ def page_blocks(spark, sf):
 
 
 def event_stream(spark, sf):
-    """The events as a bounded file stream."""
+    """The events as a bounded file stream, one file per micro-batch."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+
+
+def stream_folder(spark) -> str:
+    """A new folder for one stream run, inside the checkpoint folder the session names."""
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_latest(spark, sf):
-    events = event_stream(spark, sf).select("user_id", "event_type", "event_id", "ts")
-    latest = streams.latest_stream(events, ["user_id", "event_type"], ["ts", "event_id"])
-    return streams.run_available(latest, fresh_name("latest_positions"), "complete", tempfile_checkpoint(spark)).drop("ts")
+    """Newest event per user and type; where that is one of value 0 to 1, the key counts as deleted."""
+    keys, order, root = ["user_id", "event_type"], ["ts", "event_id"], stream_folder(spark)
+    events = event_stream(spark, sf).select("user_id", "event_type", "event_id", "ts", (F.col("value") < 1).alias("gone"))
+    streams.run_available(streams.latest_stream(events, keys, order, f"{root}/rows"), f"{root}/log")
+    return streams.latest_rows(spark, f"{root}/rows", keys, order, events.schema, "gone").drop("ts", "gone")
 
 
 def stream_follow(spark, sf):
@@ -353,22 +359,24 @@ def stream_follow(spark, sf):
         F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("transcript"),
         F.lit(True).alias("is_final"),
     )
-    heard = streams.heard_buffers(events, tokens=T.space_tokens)
-    table = streams.run_available(heard, fresh_name("heard_buffers"), "append", tempfile_checkpoint(spark))
+    heard, root = streams.heard_buffers(events, tokens=T.space_tokens), stream_folder(spark)
+    streams.run_available(streams.into_folder(heard, f"{root}/rows"), f"{root}/log")
+    table = spark.read.schema(heard.schema).parquet(f"{root}/rows")
     return table.select(
         F.col("session_id").cast("bigint").alias("user_id"), F.col("seq").alias("event_id"), F.size("heard").alias("n_buffered"),
         F.md5(F.array_join("heard", ",").cast("binary")).alias("buffer_md5"),
     )
 
 
-def fresh_name(stem: str) -> str:
-    return f"{stem}_{uuid.uuid4().hex}"
-
-
-def tempfile_checkpoint(spark) -> str:
-    """A new folder for one stream run, inside the checkpoint folder the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root}/stream-{uuid.uuid4()}"
+def stream_debounced(spark, sf):
+    """Events of a user that no other one follows within six hours, from the stream."""
+    events = event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    closed, root = streams.debounce_stream(events, ["user_id"], "ts", "event_id", gap_ms=6 * 3_600_000), stream_folder(spark)
+    streams.run_available(streams.into_folder(closed, f"{root}/rows"), f"{root}/log")
+    # The newest event of a user is closed by the watermark alone, which depends on the micro-batches: leave it out.
+    table = spark.read.schema(closed.schema).parquet(f"{root}/rows")
+    newest = read(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return table.join(newest, ["user_id", "event_id"], "left_anti").select("user_id", "event_id")
 
 
 SQL_BODY = """b AS (SELECT lang AS text_slug, doc_id AS unit_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ') AS body FROM documents)"""
@@ -591,7 +599,16 @@ QUERIES = {
         SELECT source, 'C1_OUTRO1' AS unit_id, 'intro' AS unit_kind, count(*) AS n_blocks,
         CAST(sum(len(regexp_extract_all(x, '\p{L}+'))) AS BIGINT) AS words FROM c WHERE x <> '' GROUP BY 1""",
     ),
-    "stream_latest": (stream_latest, f"WITH {SQL_LATEST} SELECT user_id, event_type, event_id FROM latest"),
+    "stream_latest": (
+        stream_latest,
+        """SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
+        WHERE r = 1 AND value >= 1""",
+    ),
+    "stream_debounced": (
+        stream_debounced,
+        """SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events)
+        WHERE epoch_ms(nx) - epoch_ms(ts) >= 6 * 3600000""",
+    ),
     "stream_follow": (
         stream_follow,
         """WITH b AS (SELECT user_id, event_id, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id

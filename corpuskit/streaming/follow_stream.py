@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,7 +54,7 @@ def heard_buffers(
     """
     ready = (
         utterances.withWatermark("ts", watermark)
-        .select("session_id", "ts", "seq", tokens(F.col("transcript")).alias("tokens"), "is_final")
+        .select("session_id", "ts", F.unix_millis("ts").alias("ms"), "seq", tokens(F.col("transcript")).alias("tokens"), "is_final")
         .filter(F.size("tokens") > 0)
     )
 
@@ -69,7 +69,7 @@ def heard_buffers(
             buffer, finals = revise(buffer, list(new), bool(is_final), size, strict, finals)
             out.append((key[0], ts, seq, list(buffer)))
         state.update((buffer, finals))
-        expiry = int(rows["ts"].max().timestamp() * 1000) + idle_minutes * 60_000
+        expiry = int(rows["ms"].max()) + idle_minutes * 60_000  # from the JVM: pandas times carry no zone
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "ts", "seq", "heard"])
 
@@ -97,17 +97,70 @@ def follow_stream(utterances: DataFrame, sessions: DataFrame, grams: DataFrame,
     )
 
 
-def latest_stream(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Running newest row per key; write it in update or complete mode."""
+def latest_stream(events: DataFrame, keys: list[str], order: list[str], path: str):
+    """A stream writer that keeps the newest row per key in the Parquet folder ``path``.
+
+    Every micro-batch adds the newest row of the keys it brought, so the stream itself holds
+    no state; :func:`latest_rows` reads the folder.
+    """
     rest = [c for c in events.columns if c not in keys]
-    return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(*keys, "s.*")
 
+    def newest(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(*keys, "s.*")
+
+    return into_folder(events, path, newest)
+
+
+def latest_rows(spark: SparkSession, path: str, keys: list[str], order: list[str], schema, deleted: str | None = None) -> DataFrame:
+    """The newest row per key of a folder written by :func:`latest_stream`.
+
+    ``deleted`` names a boolean column: a newest row with it set stands for a removed key.
+    """
+    rows = spark.read.schema(schema).parquet(path).drop("epoch")
+    rest = [c for c in rows.columns if c not in keys]
+    rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(*keys, "s.*")
+    return rows if deleted is None else rows.filter(~F.coalesce(F.col(deleted), F.lit(False)))
+
+
+def into_folder(stream: DataFrame, path: str, change: Callable[[DataFrame], DataFrame] | None = None):
+    """A stream writer into ``path``: one folder per micro-batch, written anew if the batch is repeated."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return stream.writeStream.outputMode("append").foreachBatch(write)
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drive a bounded stream to its end into an in-memory table (tests and reports)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+
+def run_available(writer, checkpoint: str) -> None:
+    """Run a bounded stream to its end."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def debounce_stream(events: DataFrame, keys: list[str], ts: str, order: str, gap_ms: int = 800, watermark: str = "10 minutes") -> DataFrame:
+    """``keys, ms, order`` of the events that stayed the last one of their key for ``gap_ms``; ``ms`` counts from the epoch.
+
+    An event is given out when a later one comes after the gap, or when the watermark passes
+    its gap; of equal times the larger ``order`` counts as later.  The state is one event per
+    key that still waits.
+    """
+    ready = events.withWatermark(ts, watermark).select(*keys, ts, F.unix_millis(ts).alias("ms"), F.col(order).cast("long").alias(order))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = tuple(state.get) if state.exists else None
+        closed = []
+        if state.hasTimedOut:
+            closed.append(waiting)
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ms", order])
+            for event in zip(rows["ms"].tolist(), rows[order].tolist()):
+                if waiting and event[0] - waiting[0] >= gap_ms:
+                    closed.append(waiting)
+                waiting = max(waiting or event, event)
+            state.update(waiting)
+            state.setTimeoutTimestamp(max(waiting[0] + gap_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, *event) for event in closed], columns=[*keys, "ms", order])
+
+    return ready.groupBy(*keys).applyInPandasWithState(
+        step, ready.drop(ts).schema, "ms long, place long", "append", GroupStateTimeout.EventTimeTimeout
+    )

@@ -106,3 +106,42 @@ def test_stream_follows_a_session(spark, tmp_path):
     # A final hypothesis is appended to the interim one before it, so the buffer of 1 holds both.
     assert got[0] == ("u1", 0, 1.0) and got[1] == ("u1", 0, round(2 * 3 / 14, 6)) and got[3][0] == "u1"
     assert 2 not in got
+
+
+def write_batches(path, batches):
+    import json
+    import os
+
+    path.mkdir()
+    for i, rows in enumerate(batches):
+        (path / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(path / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken by age
+
+
+def test_latest_stream_keeps_no_state_and_drops_removed_keys(spark, tmp_path):
+    schema = "user string, place int, ts long, gone boolean"
+    batches = [
+        [{"user": "a", "place": 1, "ts": 1, "gone": False}, {"user": "b", "place": 5, "ts": 1, "gone": False}],
+        [{"user": "a", "place": 2, "ts": 3, "gone": False}, {"user": "b", "place": 5, "ts": 2, "gone": True}],
+        [{"user": "a", "place": 9, "ts": 2, "gone": False}, {"user": "c", "place": 7, "ts": 1, "gone": None}],
+    ]
+    write_batches(tmp_path / "in", batches)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    S.run_available(S.latest_stream(stream, ["user"], ["ts"], str(tmp_path / "out")), str(tmp_path / "log"))
+    got = S.latest_rows(spark, str(tmp_path / "out"), ["user"], ["ts"], stream.schema, "gone")
+    assert sorted((r.user, r.place) for r in got.collect()) == [("a", 2), ("c", 7)]
+    assert len(list((tmp_path / "out").glob("epoch=*"))) == 3
+
+
+def test_debounce_over_micro_batches(spark, tmp_path):
+    def event(user, second, n):
+        return {"user": user, "ts": f"2024-01-01T00:{second // 60:02d}:{second % 60:02d}.000", "n": n}
+
+    batches = [[event("a", 0, 1), event("a", 0, 2), event("b", 1, 3)], [event("a", 5, 4), event("b", 1, 5)], [event("a", 6, 6), event("z", 3000, 7)], [event("z", 3001, 8)]]
+    write_batches(tmp_path / "in", batches)
+    stream = spark.readStream.schema("user string, ts timestamp, n long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    closed = S.debounce_stream(stream, ["user"], "ts", "n", gap_ms=2000)
+    S.run_available(S.into_folder(closed, str(tmp_path / "out")), str(tmp_path / "log"))
+    got = sorted((r.user, r.n) for r in spark.read.schema(closed.schema).parquet(str(tmp_path / "out")).collect())
+    # z's newest event still waits; a's and b's last ones were closed by the watermark
+    assert got == [("a", 2), ("a", 6), ("b", 5)]
