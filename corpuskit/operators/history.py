@@ -37,17 +37,17 @@ def newest_first(rows: DataFrame, ts: str, *tie: str) -> DataFrame:
     return rows.orderBy(F.desc(ts), *tie)
 
 
-def debounced(events: DataFrame, keys: Sequence[str], ts: str, gap_ms: int = 800, span: str = "day") -> DataFrame:
+def debounced(events: DataFrame, keys: Sequence[str], ts: str, gap_ms: int = 800, span: str = "day", tie: Sequence[str] = ()) -> DataFrame:
     """Events that stayed the last one of their key for ``gap_ms``.
 
     The rows are cut at ``span`` limits; the first event of the next filled span
-    closes the last one of the span before.
+    closes the last one of the span before.  Equal times are ordered by ``tie``.
     """
     keys = list(keys)
     staged = events.withColumn("__b", F.date_trunc(span, ts))
     starts = staged.groupBy(*keys, "__b").agg(F.min(ts).alias("__first"))
     nexts = starts.select(*keys, "__b", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__b")).alias("__after"))
-    inside = Window.partitionBy(*keys, "__b").orderBy(ts)
+    inside = Window.partitionBy(*keys, "__b").orderBy(ts, *tie)
     following = F.coalesce(F.lead(ts).over(inside), F.col("__after"))
     waited = F.unix_millis(F.col("__next").cast("timestamp")) - F.unix_millis(F.col(ts).cast("timestamp"))
     return (

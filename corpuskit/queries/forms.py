@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import scripts as S
 from corpuskit.functions import text as T
 from corpuskit.functions.morph import morph_features
-from corpuskit.operators import lexicon, meanings
+from corpuskit.operators import integrity, lexicon, meanings
 from corpuskit.operators.freq import token_stream
 from corpuskit.queries.tables import SQL_SPACE, SQL_VOCAB, doc_units, read, vocabulary
 from corpuskit.queries.texts import SQL_MEANINGS, meaning_inputs
@@ -107,8 +107,8 @@ def meanings_for_units(spark, sf):
     return slots.groupBy("text_slug", "unit_id").agg(F.count("*").alias("rows"), F.count("text").alias("entries"))
 
 
-def manifests(spark, sf):
-    """Texts with their chapters, sizes in bytes and the chunked flag."""
+def corpus_tables(spark, sf):
+    """Documents as units of chapters, and the chapters: sources of a language."""
     units = doc_units(spark, sf).select(
         "text_slug", "chapter_id", F.col("unit_id").alias("unit_pos"), F.col("unit_id").cast("string").alias("unit_id"), "kind",
         F.col("unit_id").alias("ordinal"), "root", "blocks",
@@ -117,7 +117,20 @@ def manifests(spark, sf):
         "*", F.regexp_extract("chapter_id", r"(\d+)", 1).cast("int").alias("chapter_ord"), F.lit(None).cast("string").alias("title"),
         F.lit(None).cast("string").alias("parent_title"), F.lit(None).cast("int").alias("parent_ord"), F.lit("pada").alias("chapter_kind"),
     )
-    return sinks.split_manifest(units, chapters)[0].select("text_slug", "chapters", "chunked")
+    return units, chapters
+
+
+def manifests(spark, sf):
+    """Texts with the number of their chapters and units, and the chunked flag."""
+    return sinks.split_manifest(*corpus_tables(spark, sf))[0].select("text_slug", "chapters", "units", "chunked")
+
+
+def chunk_check(spark, sf):
+    """Chapters without a published line of a labelled document."""
+    units, chapters = corpus_tables(spark, sf)
+    labelled = units.join(read(spark, sf, "labels").select(F.col("doc_id").alias("unit_pos")), "unit_pos", "left_semi")
+    lines = sinks.split_manifest(labelled, chapters)[2].filter("unit_pos IS NOT NULL")
+    return integrity.dangling(chapters, lines, ["text_slug", "chapter_id"]).select("text_slug", "chapter_id")
 
 
 def token_list_sorted(spark, sf):
@@ -191,7 +204,15 @@ QUERIES = {
         SELECT u.text_slug, unit_id, slots - 1 + greatest(coalesce(n, 0), 1) AS rows, coalesce(n, 0) AS entries FROM u
         LEFT JOIN c ON u.text_slug = c.text_slug AND unit_id = key""",
     ),
-    "manifests": (manifests, None),
+    "manifests": (
+        manifests,
+        """SELECT lang AS text_slug, count(DISTINCT source) AS chapters, count(*) AS units, sum(strlen(text)) >= 102400 AND count(DISTINCT source) > 1 AS chunked
+        FROM documents GROUP BY lang""",
+    ),
+    "chunk_check": (
+        chunk_check,
+        "SELECT DISTINCT lang AS text_slug, source AS chapter_id FROM documents WHERE (lang, source) NOT IN (SELECT (lang, source) FROM documents JOIN labels USING (doc_id))",
+    ),
     "token_list_sorted": (
         token_list_sorted,
         f"WITH {SQL_VOCAB} SELECT token, freq FROM vocab WHERE freq >= 2 ORDER BY token",

@@ -1,15 +1,13 @@
 """Explicit schemas of the nested corpus files."""
 
-# Units in one part of a chapter document.
-PART_UNITS = 10_000
-
 BLOCK = "kind STRING, text STRING, id STRING"
 UNIT = f"id STRING, kind STRING, ordinal BIGINT, root STRING, blocks ARRAY<STRUCT<{BLOCK}>>"
 CHAPTER = (
     "id STRING, ordinal BIGINT, titleSa STRING, parentTitleSa STRING, parentOrdinal BIGINT, kind STRING, "
     f"units ARRAY<STRUCT<{UNIT}>>"
 )
-CHUNK = f"textSlug STRING, part BIGINT, chapter STRUCT<{CHAPTER}>, _corrupt_record STRING"
+CHUNK = f"textSlug STRING, chapter STRUCT<{CHAPTER}>, _corrupt_record STRING"
+CHUNK_LINE = f"textSlug STRING, chapter STRUCT<{CHAPTER}>, unit_pos BIGINT, unit STRUCT<{UNIT}>"
 COUNTS = "STRUCT<chapters: BIGINT, mantras: BIGINT, intros: BIGINT, words: BIGINT>"
 CATALOG_ENTRY = (
     "slug STRING, titleSa STRING, titleIast STRING, titleEn STRING, `group` STRING, sourceUrl STRING, "

@@ -34,21 +34,31 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
         F.col("chapter.parentTitleSa").alias("parent_title"),
         F.col("chapter.parentOrdinal").alias("parent_ord"),
         F.col("chapter.kind").alias("chapter_kind"),
-    ).distinct()  # the parts of a long chapter repeat its head
+    )
     units = chunks.select(
         F.col("textSlug").alias("text_slug"),
         F.col("chapter.id").alias("chapter_id"),
         F.col("chapter.ordinal").alias("chapter_ord"),
         F.col("chapter.parentOrdinal").alias("parent_ord"),
-        F.coalesce("part", F.lit(0)).alias("part"),
         F.posexplode("chapter.units").alias("at", "u"),
     ).select(
-        "text_slug", "chapter_id", "chapter_ord", "parent_ord", (F.col("part") * schemas.PART_UNITS + F.col("at")).alias("unit_pos"), F.col("u.id").alias("unit_id"), "u.kind", "u.ordinal", "u.root", "u.blocks"
+        "text_slug", "chapter_id", "chapter_ord", "parent_ord", F.col("at").alias("unit_pos"), F.col("u.id").alias("unit_id"), "u.kind", "u.ordinal", "u.root", "u.blocks"
     )
     texts = chapters.groupBy("text_slug").agg(F.count("*").alias("chapters"))
     return texts, chapters, units
 
 
+def read_published(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(chapters, units)`` of the chapter lines that :func:`corpuskit.sources.sinks.write_chunks` wrote."""
+    lines = spark.read.text(path).select("text_slug", "chapter_id", F.from_json("value", schemas.CHUNK_LINE).alias("l"))
+    heads = lines.filter("l.chapter IS NOT NULL").select(
+        "text_slug", "chapter_id", F.col("l.chapter.ordinal").alias("chapter_ord"), F.col("l.chapter.titleSa").alias("title"),
+        F.col("l.chapter.parentTitleSa").alias("parent_title"), F.col("l.chapter.parentOrdinal").alias("parent_ord"), F.col("l.chapter.kind").alias("chapter_kind"),
+    )
+    units = lines.filter("l.unit IS NOT NULL").select("text_slug", "chapter_id", "l.unit_pos", F.col("l.unit.id").alias("unit_id"), "l.unit.kind", "l.unit.ordinal", "l.unit.root", "l.unit.blocks")
+    return heads, units
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schemas.CATALOG).option("multiLine", True).json(path)
     return raw.select(F.posexplode("texts").alias("place", "t")).select("place", "t.*")

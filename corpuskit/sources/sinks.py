@@ -5,30 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.operators.ordering import int_bucket
-from corpuskit.schemas import PART_UNITS
-
 # Fixed value: a text is chunked from this size on, if it has several chapters.
 MIN_SPLIT_BYTES = 102_400
 
 
 def split_manifest(units: DataFrame, chapters: DataFrame, min_bytes: int = MIN_SPLIT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(manifests, stubs, chunks)``.
+    """``(manifests, stubs, chunks)``, of one shape whatever the size of a chapter.
 
-    ``chunks``: one JSON document per chapter with its size in bytes; only a chapter
-    of more than ``PART_UNITS`` units has several parts, so that no document grows
-    without bound.  ``stubs``: one row per chapter without bodies.  ``manifests``: one row per text.  The chapter
-    list stays rows, so that no text has to fit into one record.
+    ``chunks``: the lines of every chapter, its head at ``unit_pos`` null and one line per
+    unit, so that no chapter has to fit into one record.  ``stubs``: one row per chapter
+    without bodies, with the path of its lines and their bytes.  ``manifests``: one row per
+    text; the chapter list stays rows.
     """
-    unit = F.struct(
-        "unit_pos", F.col("unit_id").alias("id"), "kind", "ordinal", "root", "blocks"
-    )
-    part = int_bucket(F.col("unit_pos"), PART_UNITS).alias("part")
-    bodies = units.groupBy("text_slug", "chapter_id", part).agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    joined = chapters.join(bodies, ["text_slug", "chapter_id"], "left")
-    document = F.struct(
+    head = F.struct(
         F.col("text_slug").alias("textSlug"),
-        F.when(F.col("part") > 0, F.col("part")).alias("part"),
         F.struct(
             F.col("chapter_id").alias("id"),
             F.col("chapter_ord").alias("ordinal"),
@@ -36,24 +26,21 @@ def split_manifest(units: DataFrame, chapters: DataFrame, min_bytes: int = MIN_S
             F.col("parent_title").alias("parentTitleSa"),
             F.col("parent_ord").alias("parentOrdinal"),
             F.col("chapter_kind").alias("kind"),
-            F.transform(
-                F.coalesce("units", F.array()),
-                lambda u: u.dropFields("unit_pos"),
-            ).alias("units"),
         ).alias("chapter"),
     )
-    chunks = joined.withColumn("json", F.to_json(document)).select(
-        "text_slug", "chapter_id", "json", F.octet_length("json").cast("bigint").alias("chunk_size"),
-        F.concat(
-            F.lit("/data/"), "text_slug", F.lit("/"), "chapter_id", F.when(F.col("part") > 0, F.concat(F.lit("."), "part")).otherwise(""), F.lit(".json")
-        ).alias("chunk_path"),
-    )
+    unit = F.struct("unit_pos", F.struct(F.col("unit_id").alias("id"), "kind", "ordinal", "root", "blocks").alias("unit"))
+    heads = chapters.select("text_slug", "chapter_id", F.lit(None).cast("bigint").alias("unit_pos"), F.to_json(head).alias("json"))
+    lines = units.join(chapters.select("text_slug", "chapter_id").distinct(), ["text_slug", "chapter_id"], "left_semi")
+    lines = lines.select("text_slug", "chapter_id", F.col("unit_pos").cast("bigint").alias("unit_pos"), F.to_json(unit).alias("json"))
+    chunks = heads.unionByName(lines)
     sizes = chunks.groupBy("text_slug", "chapter_id").agg(
-        F.sum("chunk_size").alias("chunk_size"), F.count("*").alias("parts"), F.min("chunk_path").alias("chunk_path")
+        F.sum(F.octet_length("json").cast("bigint")).alias("chunk_size"), F.count("unit_pos").alias("units")
     )
-    stubs = chapters.join(sizes, ["text_slug", "chapter_id"])
+    path = F.concat(F.lit("/data/"), "text_slug", F.lit("/"), "chapter_id", F.lit(".json"))
+    stubs = chapters.join(sizes, ["text_slug", "chapter_id"]).withColumn("chunk_path", path)
     manifests = stubs.groupBy("text_slug").agg(
         F.count("*").alias("chapters"),
+        F.sum("units").alias("units"),
         F.sum("chunk_size").alias("bytes"),
         ((F.sum("chunk_size") >= min_bytes) & (F.count("*") > 1)).alias("chunked"),
     )
@@ -61,8 +48,10 @@ def split_manifest(units: DataFrame, chapters: DataFrame, min_bytes: int = MIN_S
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """One JSON line per chapter, in a directory per text that readers can prune."""
-    chunks.select("text_slug", "json").write.mode("overwrite").partitionBy("text_slug").text(path)
+    """The lines in reading order, in a directory per text and chapter that readers can prune."""
+    order = ["text_slug", "chapter_id", "unit_pos"]
+    lines = chunks.repartitionByRange(*order).sortWithinPartitions(*order).select("text_slug", "chapter_id", "json")
+    lines.write.mode("overwrite").partitionBy("text_slug", "chapter_id").text(path)
 
 
 def write_table(df: DataFrame, path: str, *partition: str) -> None:

@@ -61,7 +61,10 @@ def test_publish_and_write(spark, built, tmp_path):
     units = built["units"]
     chapters = built["chapters"].select(F.col("source").alias("text_slug"), "chapter_id", "chapter_ord", "title", "parent_title", "parent_ord", "chapter_kind")
     jobs.publish(units, chapters, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out" / "chunks")).count() >= 1
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out" / "chunks")).collect()]
+    assert len(lines) == 3 and sum('"unit_pos"' in x for x in lines) == 2 and sum("chapter" in x for x in lines) == 1
+    stub = spark.read.parquet(str(tmp_path / "out" / "stubs")).first()
+    assert stub.chunk_path == "/data/katha/K_C01.json" and stub.chunk_size == sum(len(x.encode()) for x in lines) and stub.units == 2
     assert spark.read.parquet(str(tmp_path / "out" / "stubs")).first().chapter_id == "K_C01"
     sinks.write_token_list(jobs.build_tokens(units), str(tmp_path / "tokens"))
     assert spark.read.parquet(str(tmp_path / "tokens")).count() == 3

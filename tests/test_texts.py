@@ -1,5 +1,7 @@
+import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions import scripts as S
@@ -184,21 +186,42 @@ def test_catalog_upsert(spark):
 
 
 def test_corpus_round_trip(spark, tmp_path):
-    from corpuskit.sources import sinks
+    import json
+
     from corpuskit.sources.files import read_chunks, read_corpus
 
-    units = spark.createDataFrame(
-        [("gita", "C1", 1, "u1", "mantra", 1, "root", [("bhashya", "text", None)]), ("gita", "C1", 0, "u0", "intro", 1, "", [])],
-        "text_slug string, chapter_id string, unit_pos int, unit_id string, kind string, ordinal int, root string, blocks array<struct<kind:string,text:string,id:string>>",
-    )
-    chapters = spark.createDataFrame([("gita", "C1", 1, "t", None, None, "adhyaya")], "text_slug string, chapter_id string, chapter_ord int, title string, parent_title string, parent_ord int, chapter_kind string")
-    manifests, stubs, chunks = sinks.split_manifest(units, chapters, min_bytes=1)
-    chunk = chunks.first()
-    assert chunk.chunk_size == len(chunk.json.encode()) and manifests.first().chunked is False
+    chapter = {"id": "C1", "ordinal": 1, "titleSa": "t", "kind": "adhyaya", "units": [{"id": "u0", "kind": "intro", "ordinal": 1, "root": "", "blocks": []}, {"id": "u1", "kind": "mantra", "ordinal": 1, "root": "root", "blocks": []}]}
     (tmp_path / "gita").mkdir()
-    (tmp_path / "gita" / "C1.json").write_text(chunk.json, encoding="utf8")
+    (tmp_path / "gita" / "C1.json").write_text(json.dumps({"textSlug": "gita", "chapter": chapter}), encoding="utf8")
     (tmp_path / "gita" / "C2.json").write_text("{broken", encoding="utf8")
     texts, ch, un = read_corpus(spark, str(tmp_path))
     assert [(r.unit_pos, r.unit_id, r.kind) for r in un.orderBy("unit_pos").collect()] == [(0, "u0", "intro"), (1, "u1", "mantra")]
     assert [re.sub(".*/", "", r.file) for r in read_chunks(spark, str(tmp_path))[1].collect()] == ["C2.json"]
     assert texts.first().chapters == 1 and ch.first().title == "t"
+
+
+@pytest.mark.parametrize("step", [1, 10_000_000])
+def test_published_chapters_have_one_shape(spark, tmp_path, step):
+    """Positions may be anything: the head once, one line per unit, in order, and the same path."""
+    from corpuskit.sources import sinks
+    from corpuskit.sources.files import read_published
+
+    rows = [("gita", c, i * step, f"{c}u{i}", "mantra", i, f"root {i}", [("bhashya", "é", None)]) for c in ("C1", "C2") for i in range(30)]
+    units = spark.createDataFrame(
+        rows + [("gita", "C9", 1, "stray", "mantra", 1, "", [])],
+        "text_slug string, chapter_id string, unit_pos bigint, unit_id string, kind string, ordinal bigint, root string, blocks array<struct<kind:string,text:string,id:string>>",
+    )
+    chapters = spark.createDataFrame([("gita", c, o, c, None, None, "adhyaya") for o, c in enumerate(("C1", "C2", "C3"), 1)], "text_slug string, chapter_id string, chapter_ord bigint, title string, parent_title string, parent_ord bigint, chapter_kind string")
+    manifests, stubs, chunks = sinks.split_manifest(units, chapters, min_bytes=1)
+    m = manifests.first()
+    assert (m.chapters, m.units, m.chunked) == (3, 60, True)
+    sizes = {r.chapter_id: 0 for r in stubs.collect()}
+    for r in chunks.collect():
+        sizes[r.chapter_id] += len(r.json.encode())
+    assert {r.chapter_id: (r.chunk_size, r.units, r.chunk_path) for r in stubs.collect()} == {c: (n, 0 if c == "C3" else 30, f"/data/gita/{c}.json") for c, n in sizes.items()}
+    sinks.write_chunks(chunks, str(tmp_path / "out"))
+    lines = [json.loads(x) for f in sorted((tmp_path / "out/text_slug=gita/chapter_id=C1").glob("part-*")) for x in f.read_text(encoding="utf8").splitlines()]
+    assert lines[0]["chapter"]["id"] == "C1" and [x["unit"]["id"] for x in lines[1:]] == [f"C1u{i}" for i in range(30)]
+    heads, back = read_published(spark, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in heads.collect()) == sorted(tuple(r) for r in chapters.collect())
+    assert sorted((r.unit_id, r.unit_pos, r.root, r.blocks[0].text) for r in back.collect()) == sorted((r[3], r[2], r[6], "é") for r in rows)
