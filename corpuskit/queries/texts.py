@@ -267,7 +267,7 @@ def bookmarks_newest(spark, sf):
 
 def debounced(spark, sf):
     events = read(spark, sf, "events").select("user_id", "event_id", "ts")
-    return history.debounced(events, ["user_id"], "ts", gap_ms=6 * 3_600_000).select("user_id", "event_id")
+    return history.debounced(events, ["user_id"], "ts", gap_ms=6 * 3_600_000, tie=["event_id"]).select("user_id", "event_id")
 
 
 def catalog_upsert(spark, sf):
@@ -571,7 +571,7 @@ QUERIES = {
     "bookmarks_newest": (bookmarks_newest, f"WITH {SQL_LATEST} SELECT user_id, event_type, event_id FROM pos ORDER BY ts DESC"),
     "debounced": (
         debounced,
-        """SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events)
+        """SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
         WHERE n IS NULL OR epoch_ms(n) - epoch_ms(ts) >= 6 * 3600000""",
     ),
     "catalog_upsert": (catalog_upsert, SQL_UPSERT),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit import schemas
@@ -125,7 +125,11 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
     from corpuskit.operators.meanings import prefer_files
 
     options = {"pathGlobFilter": "*.tsv", "recursiveFileLookup": True}
-    lines = spark.read.options(**options).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
+    lines = spark.read.options(**options).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    # Byte at which the split starts plus the line's number in it: a line has at least one byte, so later splits have larger numbers.
+    lines = lines.withColumn("line_no", F.col("block") + F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))).drop("block", "at")
     tsv = translation_lines(_file_parts(lines)).withColumn("priority", F.lit(1))
     whole = spark.read.options(pathGlobFilter="*.??.json", recursiveFileLookup=True, wholetext=True).text(path).select(
         "value", F.col("_metadata.file_path").alias("file")
