@@ -7,6 +7,7 @@ vectorised helper, whose work is bounded by the word length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -145,15 +146,21 @@ def split_compounds(
     keep: int = 4,
     min_score: float = 0.5,
     strict: bool = True,
+    count: Callable[[str], int] | None = None,
 ) -> DataFrame:
     """Best splits of every token into two or more parts: ``rank, parts, rules, score``.
 
     The score is the mean credit of the parts (known 1.0, through a lemma 0.6,
     otherwise 0).  Scores above ``min_score`` are kept (``strict=False``: from).
-    Tokens without any known part leave before the arrangement step.
+    Tokens without any known part leave before the arrangement step.  A part but the last
+    one has two segments at least; ``count`` counts the segments of a string and comes
+    with any ``segment`` of the caller's own.
     """
+    count = count or COUNTERS.get(segment)
+    if count is None:
+        raise ValueError("a segmenter of your own needs its counter")
     rules = [NO_CHANGE, *[r for r in split_rules if r != NO_CHANGE]]
-    words = tokens.select("token").distinct().withColumn("segments", segment(F.col("token"))).filter(F.size("segments") > 2)
+    words = tokens.select("token").distinct().withColumn("segments", segment(F.col("token"))).filter(F.size("segments") > 1)
     known = heads.select("head").distinct()
     # A longer part cannot be a head, and no rule shortens a part by more than its suffix.
     longest = known.agg(F.max(F.length("head"))).first()[0] or 0
@@ -176,11 +183,8 @@ def split_compounds(
         .agg(F.collect_set(F.struct("part", "credit")).alias("credit"))
         .join(words.hint("merge"), "token")
     )
-    segmenter_is_chars = segment is characters
-
     @F.pandas_udf(SPLITS)
     def arrange(segs: pd.Series, credit: pd.Series) -> pd.Series:
-        count = len if segmenter_is_chars else akshara_count
         return pd.Series([best_splits(list(s), {e["part"]: e["credit"] for e in c}, rules, max_parts, keep, count) for s, c in zip(segs, credit)])
 
     out = per_word.select("token", F.posexplode(arrange("segments", "credit")).alias("at", "s")).select(
@@ -248,6 +252,8 @@ def characters(c: Column) -> Column:
 
 
 def akshara_count(piece: str) -> int:
-    import regex
+    return len(re.findall(T.AKSHARA, piece))
+
 
-    return len(regex.findall(T.AKSHARA, piece))
+# How to count the segments of a string, by the segmenter that cuts words.
+COUNTERS = {characters: len, T.aksharas: akshara_count}

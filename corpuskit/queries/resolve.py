@@ -29,7 +29,7 @@ SUFFIXES = [
 ]
 VARIANTS = [("e", "a", "final vowel", 3), ("ou", "o", "final diphthong", 1)]
 MANUAL = [("was", "be", "past sg.", "to be"), ("is", "be", "pres. sg.", "to be"), ("are", "be", "pres. pl.", None), ("una", "un", "f. sg.", None)]
-OPTIONS = {"segment": C.characters, "max_parts": 3}
+OPTIONS = {"segment": C.characters, "max_parts": 5}
 
 
 def rules(spark):
@@ -182,9 +182,20 @@ SQL_BASE = f"{SQL_VOCAB}, {SQL_LEXICON}, {SQL_RULES}, {sql_lemmas('vocab', 'cand
 SQL_HEADS = "heads AS (SELECT head, arg_min(dict_id, dict_order) AS via, min(dict_order) AS dict_order FROM lexicon GROUP BY 1)"
 
 
-def sql_splits(open_: str, name: str, threshold: str, use_rules: str = "rules_and_manual", heads: str = "heads") -> str:
-    """Best split into two or three parts of the tokens of ``open_``, by enumeration."""
-    man = f"UNION ALL SELECT form, lemma FROM manual" if use_rules == "rules_and_manual" else ""
+def sql_splits(open_: str, name: str, threshold: str, use_rules: str = "rules_and_manual", heads: str = "heads", most: int = 5) -> str:
+    """Best splits into two to ``most`` parts of the tokens of ``open_``, by enumeration.
+
+    Level k holds every way to cut k parts of pos least two characters off the front; what is
+    left is the last part.
+    """
+    man = "UNION ALL SELECT form, lemma FROM manual" if use_rules == "rules_and_manual" else ""
+    levels = [f"""{name}_1 AS (SELECT t.token, n, pos, coalesce(c, 0) AS tenths, [pos] AS cuts FROM
+      (SELECT token, length(token) AS n, unnest(range(2, length(token))) AS pos FROM {open_} WHERE length(token) > 2) t
+      LEFT JOIN {name}_c a ON a.token = t.token AND a.s = 0 AND a.e = pos)"""]
+    for k in range(2, most):
+        levels.append(f"""{name}_{k} AS (SELECT t.token, n, nx AS pos, tenths + coalesce(c, 0) AS tenths, list_append(cuts, nx) AS cuts FROM
+      (SELECT *, unnest(range(pos + 2, n)) AS nx FROM {name}_{k - 1}) t LEFT JOIN {name}_c a ON a.token = t.token AND a.s = t.pos AND a.e = nx)""")
+    whole = " UNION ALL ".join(f"SELECT *, {k + 1} AS k FROM {name}_{k}" for k in range(1, most))
     return f"""{name}_sub AS (SELECT token, s, e, substr(token, s + 1, e - s) AS part FROM (SELECT token, s, unnest(range(s + 1, length(token) + 1)) AS e
       FROM (SELECT token, unnest(range(0, length(token))) AS s FROM {open_} WHERE length(token) > 2))
       WHERE e - s < length(token)),
@@ -194,20 +205,13 @@ def sql_splits(open_: str, name: str, threshold: str, use_rules: str = "rules_an
   {name}_cr AS (SELECT part, max(c) AS c FROM (SELECT part, 10 AS c FROM {name}_p SEMI JOIN {heads} ON part = head
       UNION ALL SELECT part, 6 FROM {name}_lem SEMI JOIN {heads} ON lemma = head) GROUP BY 1),
   {name}_c AS (SELECT token, s, e, c FROM {name}_sub JOIN {name}_cr USING (part)),
-  {name}_ij AS (SELECT token, n, i, unnest(range(i + 2, n + 1)) AS j FROM (SELECT token, length(token) AS n, unnest(range(2, length(token))) AS i FROM {open_} WHERE length(token) > 2)),
-  {name}_two AS (SELECT token, n, unnest(range(2, n)) AS i FROM (SELECT token, length(token) AS n FROM {open_} WHERE length(token) > 2)),
-  {name}_all AS (
-    SELECT t.token, 2 AS k, i, 0 AS j, coalesce(a.c, 0) + coalesce(b.c, 0) AS tenths,
-      substr(t.token, 1, i) || '+' || substr(t.token, i + 1) AS parts
-    FROM {name}_two t LEFT JOIN {name}_c a ON a.token = t.token AND a.s = 0 AND a.e = i
-      LEFT JOIN {name}_c b ON b.token = t.token AND b.s = i AND b.e = n
-    UNION ALL SELECT t.token, 3, i, j, coalesce(a.c, 0) + coalesce(b.c, 0) + coalesce(d.c, 0),
-      substr(t.token, 1, i) || '+' || substr(t.token, i + 1, j - i) || '+' || substr(t.token, j + 1)
-    FROM {name}_ij t LEFT JOIN {name}_c a ON a.token = t.token AND a.s = 0 AND a.e = i
-      LEFT JOIN {name}_c b ON b.token = t.token AND b.s = i AND b.e = j
-      LEFT JOIN {name}_c d ON d.token = t.token AND d.s = j AND d.e = n WHERE j < n),
-  {name} AS (SELECT token, parts, tenths / (10.0 * k) AS score, row_number() OVER (PARTITION BY token
-      ORDER BY tenths * 6 // k DESC, k, i, j) AS rank FROM {name}_all WHERE tenths / (10.0 * k) {threshold})"""
+  {", ".join(levels)},
+  {name}_all AS (SELECT t.token, n, k, cuts, tenths + coalesce(a.c, 0) AS tenths FROM ({whole}) t
+      LEFT JOIN {name}_c a ON a.token = t.token AND a.s = t.pos AND a.e = n),
+  {name}_best AS (SELECT *, tenths / (10.0 * k) AS score, row_number() OVER (PARTITION BY token ORDER BY tenths * 60 // k DESC, k, cuts) AS rank
+      FROM {name}_all WHERE tenths / (10.0 * k) {threshold} QUALIFY rank <= 4),
+  {name} AS (SELECT token, score, rank, array_to_string(list_transform(list_zip(list_prepend(0, cuts), list_append(cuts, n)),
+      lambda x: substr(token, x[1] + 1, x[2] - x[1])), '+') AS parts FROM {name}_best)"""
 
 
 def sql_nearest(asked: str, pool: str, name: str, k: int, threshold: float) -> str:

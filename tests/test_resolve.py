@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.operators import compound as C
@@ -124,3 +125,20 @@ def test_seed_lookup(spark):
     heads = spark.createDataFrame([("ब्रह्म",), ("राम",)], "head string")
     got = {r.token: (r.lemma, r.exact) for r in R.seed_lookup(tokens, heads, D.seed_rules(spark)).collect()}
     assert got == {"ब्रह्म": ("ब्रह्म", True), "ब्रह्मणः": ("ब्रह्म", False), "रामस्य": ("राम", False)}
+
+
+def test_a_reversal_may_lengthen_the_left_part(spark):
+    """Two surface syllables can hide a part of two: the restored part is what is measured."""
+    tokens = spark.createDataFrame([("संग",), ("संगम",), ("गम",)], "token string")
+    heads = spark.createDataFrame([("सम्",), ("ग",), ("गम",)], "head string")
+    got = {r.token: r.parts for r in C.split_compounds(tokens, heads, D.SPLIT_RULES, keep=1).collect()}
+    assert got == {"संग": ["सम्", "ग"], "संगम": ["सम्", "गम"]}
+
+
+def test_an_own_segmenter_brings_its_counter(spark):
+    tokens, heads = spark.createDataFrame([("ab-cd-e",)], "token string"), spark.createDataFrame([("ab-cd-",), ("e",)], "head string")
+    pieces = lambda c: F.split(c, "(?<=-)")
+    with pytest.raises(ValueError):
+        C.split_compounds(tokens, heads, segment=pieces)
+    got = C.split_compounds(tokens, heads, segment=pieces, count=lambda p: len(p.rstrip("-").split("-")), keep=1).collect()
+    assert [r.parts for r in got] == [["ab-cd-", "e"]]
