@@ -52,10 +52,10 @@ def build_search(units: DataFrame, block_chars: int | None = None, snippet_chars
 
 
 def build_postings(docs: DataFrame, forms: Forms = latin_forms) -> tuple[DataFrame, DataFrame]:
-    """``(vocab, postings)``: each distinct token with its forms, and where it occurs."""
+    """``(vocab, postings)``: each distinct token with its forms and the number of its units, and where it occurs."""
     postings = docs.select("text_slug", "unit_id", F.explode(F.array_distinct(T.space_tokens(F.col("body")))).alias("token"))
     native, ascii_ = forms(F.col("token"))
-    vocab = postings.select("token").distinct().select("token", native.alias("native"), ascii_.alias("ascii"))
+    vocab = postings.groupBy("token").agg(F.count("*").alias("n_units")).select("token", "n_units", native.alias("native"), ascii_.alias("ascii"))
     return vocab, postings
 
 
@@ -67,41 +67,63 @@ def query_tokens(queries: DataFrame, forms: Forms = latin_forms, split: Callable
     return rows.select("query_id", "tok_idx", "raw", native.alias("native"), ascii_.alias("ascii"))
 
 
+def _needles(native: Column, ascii_: Column, raw: Column) -> Column:
+    """What a query word may be found as, by form; empty needles find nothing."""
+    pairs = (("native", native), ("ascii", ascii_), ("ascii", T.ascii_fold(raw)))
+    return F.array(*(F.struct(F.lit(field).alias("field"), F.coalesce(needle, F.lit("")).alias("needle")) for field, needle in pairs))
+
+
 def matching_units(tokens: DataFrame, vocab: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Units in which every token of the query is contained, inside the query's scope."""
-    # Queries share words, so matching and postings run once per distinct word.
+    """Units in which every token of the query is contained, inside the query's scope.
+
+    The units of a query's rarest word are its candidates, already inside the scope; the
+    other words are tested on the forms of these units alone.  A common word never lists its
+    units unless a query consists of common words.
+    """
+    # Queries share words, so words are matched once each.
     words = tokens.select("raw", "native", "ascii").distinct()
-    needles = words.select(
-        F.col("raw").alias("needle_id"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("native").alias("field"), F.coalesce("native", F.lit("")).alias("needle")),
-                F.struct(F.lit("ascii").alias("field"), F.coalesce("ascii", F.lit("")).alias("needle")),
-                F.struct(F.lit("ascii").alias("field"), T.ascii_fold(F.col("raw")).alias("needle")),
-            )
-        ).alias("n"),
-    ).select("needle_id", "n.field", "n.needle")
-    hits = match_needles(needles.distinct(), gram_index(vocab)).withColumnRenamed("needle_id", "raw")
-    found = (
-        postings.join(small_or_shuffled(checkpointed(hits)), "token").select("raw", "text_slug", "unit_id").distinct()
-    )
-    wanted = tokens.groupBy("query_id").agg(F.count("*").alias("n_tokens"))
+    needles = words.select(F.col("raw").alias("needle_id"), F.explode(_needles(F.col("native"), F.col("ascii"), F.col("raw"))).alias("n")).select("needle_id", "n.field", "n.needle")
+    hits = checkpointed(match_needles(needles.distinct(), gram_index(vocab)).withColumnRenamed("needle_id", "raw"))
+    sizes = hits.join(vocab.select("token", "n_units"), "token").groupBy("raw").agg(F.sum("n_units").alias("n"))
     scope = F.col("scope") if "scope" in queries.columns else F.lit(None).cast("array<string>")
-    asked = tokens.select("query_id", "tok_idx", "raw").join(wanted, "query_id").join(queries.select("query_id", scope.alias("scope")), "query_id")
+    # Words without a hit are not in ``sizes``: their queries find nothing.
+    asked = (
+        tokens.join(sizes, "raw", "left")
+        .groupBy("query_id")
+        .agg(
+            F.count("*").alias("n_tokens"),
+            F.count("n").alias("known"),
+            F.min_by("raw", F.struct("n", "raw")).alias("raw"),
+            F.collect_list(_needles(F.col("native"), F.col("ascii"), F.col("raw"))).alias("needles"),
+        )
+        .filter(F.col("known") == F.col("n_tokens"))
+        .join(queries.select("query_id", scope.alias("scope")), "query_id")
+    )
+    asked = checkpointed(asked)
+    seeds = hits.join(asked.select("raw").distinct(), "raw", "left_semi")
+    first = postings.join(small_or_shuffled(seeds), "token").select("raw", "text_slug", "unit_id").distinct()
     in_scope = F.col("scope").isNull() | (F.size("scope") == 0) | F.array_contains("scope", F.col("text_slug"))
+    candidates = checkpointed(first.join(asked.select("raw", "query_id", "scope"), "raw").filter(in_scope).select("query_id", "text_slug", "unit_id"))
+    forms = (
+        postings.join(candidates.select("text_slug", "unit_id").distinct(), ["text_slug", "unit_id"], "left_semi")
+        .join(vocab.select("token", "native", "ascii"), "token")
+        .groupBy("text_slug", "unit_id")
+        .agg(F.array_join(F.collect_list("native"), " ").alias("u_native"), F.array_join(F.collect_list("ascii"), " ").alias("u_ascii"))
+    )
+    # Needles hold no white space, so what lies in the joined forms lies in one of them.
+    inside = lambda n: (n["needle"] != "") & F.contains(F.when(n["field"] == "native", F.col("u_native")).otherwise(F.col("u_ascii")), n["needle"])
     return (
-        found.join(small_or_shuffled(asked), "raw")
-        .filter(in_scope)
-        .groupBy("query_id", "text_slug", "unit_id", "n_tokens")
-        .agg(F.count("*").alias("tokens_hit"))  # a token hits a unit once
-        .filter(F.col("tokens_hit") == F.col("n_tokens"))
+        candidates.join(forms, ["text_slug", "unit_id"])
+        .join(asked.select("query_id", "n_tokens", "needles"), "query_id")
+        .filter(F.forall("needles", lambda word: F.exists(word, inside)))
+        .select("query_id", "text_slug", "unit_id", "n_tokens", F.col("n_tokens").alias("tokens_hit"))
     )
 
 
 def search(
     queries: DataFrame, docs: DataFrame, vocab: DataFrame, postings: DataFrame, limit: int = 100, forms: Forms = latin_forms
 ) -> DataFrame:
-    """Ranked hits: every token must hit; tier by the stored snippet, then score, then unit."""
+    """Ranked hits: every token must hit; tier by the stored snippet, then score, then text and unit."""
     tokens = query_tokens(queries, forms)
     hits = matching_units(tokens, vocab, postings, queries)
     whole = T.trim_space(F.col("query"))
@@ -116,7 +138,7 @@ def search(
         .withColumn("score", F.round(F.col("tokens_hit") * F.lit(TOKEN_SCORE), 6))
         .select("query_id", "text_slug", "unit_id", "tier", "score", "snippet")
     )
-    return top_per_group(ranked, ["query_id"], [F.desc("tier"), F.desc("score"), F.asc("unit_id")], limit)
+    return top_per_group(ranked, ["query_id"], [F.desc("tier"), F.desc("score"), F.asc("text_slug"), F.asc("unit_id")], limit)
 
 
 def tier(snippet: Column, native: Column, ascii_: Column) -> Column:
@@ -136,13 +158,15 @@ def find_in_text(
     after: int = 110,
     limit: int = 100,
     forms: Forms = latin_forms,
+    order: str = "unit_id",
 ) -> DataFrame:
-    """Hits in unit order with a snippet around the first token that is found."""
+    """Hits of every text in the order of the column ``order`` of ``docs``, with a snippet around the first token that is found."""
     tokens = query_tokens(queries, forms, T.in_text_tokens)
     hits = matching_units(tokens, vocab, postings, queries)
-    first = top_per_group(hits.select("query_id", "text_slug", "unit_id"), ["query_id"], [F.asc("unit_id")], limit, "hit_no")
-    order = F.array_sort(F.collect_list(F.struct("tok_idx", "native", "ascii")))
-    needles = tokens.groupBy("query_id").agg(order.alias("needles"))
+    placed = hits.select("query_id", "text_slug", "unit_id").join(docs.select("text_slug", "unit_id", F.col(order).alias("__order")), ["text_slug", "unit_id"])
+    first = top_per_group(placed, ["query_id", "text_slug"], [F.asc("__order"), F.asc("unit_id")], limit, "hit_no").drop("__order")
+    in_query = F.array_sort(F.collect_list(F.struct("tok_idx", "native", "ascii")))
+    needles = tokens.groupBy("query_id").agg(in_query.alias("needles"))
     texts = docs.select("text_slug", "unit_id", "body")
     joined = first.join(needles, "query_id").join(texts, ["text_slug", "unit_id"]).withColumn("folded", T.ascii_fold(F.col("body")))
     places = F.transform(
@@ -230,7 +254,7 @@ def suggest_last_token(queries: DataFrame, freq: DataFrame, limit: int = 8, form
     """Complete only the last word; a trailing blank asks for nothing."""
     last = F.regexp_extract("query", r"([^ ]+)$", 1)
     asked = queries.filter(~F.col("query").rlike(T.SPACE + "$") & (last != "")).select(
-        "query_id", F.regexp_extract("query", r"^(.* )?[^ ]+$", 1).alias("head"), last.alias("query")
+        "query_id", F.regexp_extract("query", r"(?s)^(.* )?[^ ]+$", 1).alias("head"), last.alias("query")
     )
     found = suggest(asked, freq, limit, forms)
     return found.join(asked.select("query_id", "head"), "query_id").select(

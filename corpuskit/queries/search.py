@@ -8,21 +8,22 @@ from corpuskit.functions import text as T
 from corpuskit.operators import freq as freq_ops
 from corpuskit.operators import search as S
 from corpuskit.operators.ordering import int_bucket, positions
-from corpuskit.queries.tables import doc_units, read
-from corpuskit.session import materialised
+from corpuskit.queries.tables import SQL_SPACE, doc_units, read
+from corpuskit.session import checkpointed, materialised
 
 
 def asked(spark, sf):
-    """The first two words of every benchmark passage as a query."""
+    """Benchmark passages as queries of several lengths: one word, three words, the whole passage, blank."""
+    words = F.element_at(F.array(*map(F.lit, (1, 3, 1_000_000, 0))), (F.col("item_id") % 4 + 1).cast("int"))
     return read(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("query")
+        F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), F.lit(1), words), " ").alias("query")
     )
 
 
 def indexed(spark, sf):
     docs = S.build_search(doc_units(spark, sf))
     vocab, postings = S.build_postings(docs, S.folded_forms)
-    return docs, materialised(vocab, "token"), postings
+    return docs, materialised(vocab, "token"), checkpointed(postings)
 
 
 def search_and(spark, sf):
@@ -67,27 +68,28 @@ def token_list(spark, sf):
     return materialised(out.withColumn("ascii", T.ascii_fold(F.col("token"))), "token")
 
 
+def passage_words(spark, sf):
+    """``item_id, word``: every word of every passage."""
+    return read(spark, sf, "benchmark").select("item_id", F.explode(T.matches(F.lower("text"), T.LATIN_WORD)).alias("word"))
+
+
 def suggest(spark, sf):
-    prefixes = read(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.lower(F.regexp_extract("text", r"(\p{L}{1,4})", 1)).alias("query")
-    )
-    return S.suggest(prefixes, token_list(spark, sf)).select("query_id", "token", "freq", "bucket", "rank")
+    """Completions of every word of the passages."""
+    words = passage_words(spark, sf).select(F.col("word").alias("query_id"), F.col("word").alias("query")).distinct()
+    return S.suggest(words, token_list(spark, sf)).select("query_id", "token", "freq", "bucket", "rank")
 
 
 def suggest_last_token(spark, sf):
-    queries = read(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^(\S+ \p{L}{1,4})", 1).alias("query")
-    )
+    """Completions of the last word of every passage."""
+    queries = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", r"[^\p{L}]+$", "").alias("query"))
     return S.suggest_last_token(queries, token_list(spark, sf)).select("query_id", "full", "freq", "rank")
 
 
 def merge_suggestions(spark, sf):
-    """Both lists of a query merged: completions of its first and of its second word."""
-    bench = read(spark, sf, "benchmark")
-    words = bench.select("item_id", F.posexplode(F.slice(T.matches(F.lower("text"), T.LATIN_WORD), 1, 2)).alias("i", "word"))
-    prefixes = words.select(F.struct("item_id", "i").alias("query_id"), F.substring("word", 1, 3).alias("query"))
-    lists = S.suggest(prefixes, token_list(spark, sf)).select(F.col("query_id.item_id").alias("item_id"), "token", "freq")
-    return S.merge_suggestions(lists, "item_id")
+    """One list per passage: the completions of the first three letters of all its words."""
+    starts = passage_words(spark, sf).select("item_id", F.substring("word", 1, 3).alias("query_id")).distinct()
+    lists = S.suggest(starts.select("query_id", F.col("query_id").alias("query")).distinct(), token_list(spark, sf))
+    return S.merge_suggestions(lists.join(starts, "query_id").select("item_id", "token", "freq"), "item_id")
 
 
 def rolling_buffer(spark, sf):
@@ -99,15 +101,16 @@ def rolling_buffer(spark, sf):
     )
 
 
-SQL_ASKED = r"q AS (SELECT item_id AS query_id, regexp_extract(text, '^(\S+ \S+)', 1) AS query FROM benchmark)"
+SQL_ASKED = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:[1, 3, 1000000, 0][item_id % 4 + 1]], ' ') AS query FROM benchmark)"
 SQL_DOCS = r"""d AS (SELECT lang AS text_slug, doc_id AS unit_id, replace(text, chr(10), ' ') || CASE WHEN contains(text, chr(10)) THEN '' ELSE ' ' END AS body,
     substr(CASE WHEN string_split(text, chr(10))[1] <> '' THEN string_split(text, chr(10))[1] ELSE coalesce(string_split(text, chr(10))[2], '') END, 1, 160) AS snippet
     FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''),
   df AS (SELECT *, lower(strip_accents(body)) AS folded FROM d)"""
 SQL_HITS = rf"""{SQL_ASKED}, {SQL_DOCS},
-  t AS (SELECT query_id, unnest(range(1, 3)) AS i, string_split(query, ' ')[unnest(range(1, 3))] AS tok FROM q WHERE query <> ''),
+  ts AS (SELECT query_id, list_filter(regexp_split_to_array(query, '{SQL_SPACE}+'), lambda x: x <> '') AS toks FROM q),
+  t AS (SELECT query_id, len(toks) AS n, unnest(range(1, len(toks) + 1)) AS i, unnest(toks) AS tok FROM ts),
   hits AS (SELECT query_id, text_slug, unit_id, count(DISTINCT i) AS tokens_hit FROM t JOIN df
-    ON contains(folded, lower(strip_accents(tok))) OR contains(body, tok) GROUP BY ALL HAVING count(DISTINCT i) = 2)"""
+    ON contains(folded, lower(strip_accents(tok))) OR contains(body, tok) GROUP BY query_id, text_slug, unit_id, n HAVING count(DISTINCT i) = n)"""
 SQL_TIER = """CASE WHEN snippet = query THEN 4 WHEN starts_with(snippet, query)
   OR starts_with(lower(strip_accents(snippet)), lower(strip_accents(query))) THEN 3 ELSE 2 END"""
 SQL_RANKED = f"""{SQL_HITS}, r AS (SELECT query_id, text_slug, unit_id, CAST({SQL_TIER} AS INTEGER) AS tier,
@@ -126,19 +129,19 @@ def sql_suggest(prefixes: str) -> str:
       FROM s WHERE bucket IS NOT NULL QUALIFY rank <= 8)"""
 
 
-SQL_SUGGEST = "SELECT item_id AS query_id, lower(regexp_extract(text, '(\\p{L}{1,4})', 1)) AS n FROM benchmark"
+SQL_SUGGEST = r"SELECT DISTINCT w AS query_id, w AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM benchmark)"
 
 QUERIES = {
     "search_and": (search_and, f"WITH {SQL_HITS} SELECT * FROM hits"),
     "search_scope": (
         search_scope,
         f"""WITH {SQL_RANKED} SELECT query_id, text_slug, unit_id, tier, score, CAST(row_number() OVER
-        (PARTITION BY query_id ORDER BY tier DESC, score DESC, unit_id) AS INTEGER) AS rank FROM r
+        (PARTITION BY query_id ORDER BY tier DESC, score DESC, text_slug, unit_id) AS INTEGER) AS rank FROM r
         WHERE text_slug IN ('de', 'fr') QUALIFY rank <= 20""",
     ),
     "search_ranked": (
         search_ranked,
-        f"""WITH {SQL_RANKED} SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, score DESC, unit_id)
+        f"""WITH {SQL_RANKED} SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, score DESC, text_slug, unit_id)
         AS INTEGER) AS rank FROM r QUALIFY rank <= 100""",
     ),
     "find_snippets": (
@@ -148,7 +151,7 @@ QUERIES = {
         t AS (SELECT query_id, len(toks) AS n, toks, unnest(range(1, len(toks) + 1)) AS i FROM ts),
         h AS (SELECT query_id, text_slug, unit_id FROM t JOIN df ON contains(folded, lower(strip_accents(toks[i])))
           GROUP BY query_id, text_slug, unit_id, n HAVING count(DISTINCT i) = n),
-        k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY unit_id) AS INTEGER) AS hit_no FROM h QUALIFY hit_no <= 100),
+        k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, text_slug ORDER BY unit_id) AS INTEGER) AS hit_no FROM h QUALIFY hit_no <= 100),
         a AS (SELECT k.*, body, CASE WHEN strpos(body, toks[1]) > 0 THEN strpos(body, toks[1])
           ELSE strpos(folded, lower(strip_accents(toks[1]))) END - 1 AS z FROM k JOIN ts USING (query_id) JOIN df USING (text_slug, unit_id))
         SELECT query_id, hit_no, text_slug, unit_id, CASE WHEN z > 30 THEN '…' ELSE '' END ||
@@ -172,16 +175,15 @@ QUERIES = {
     "suggest": (suggest, f"WITH {sql_suggest(SQL_SUGGEST)} SELECT query_id, token, freq, bucket, rank FROM top"),
     "suggest_last_token": (
         suggest_last_token,
-        r"WITH w AS (SELECT item_id AS query_id, regexp_extract(text, '^(\S+ \p{L}{1,4})', 1) AS query FROM benchmark), "
-        + sql_suggest("SELECT query_id, string_split(query, ' ')[2] AS n FROM w WHERE query <> ''")
-        + " SELECT query_id, string_split(query, ' ')[1] || ' ' || token AS \"full\", freq, rank FROM top JOIN w USING (query_id)",
+        r"WITH w AS (SELECT item_id AS query_id, regexp_replace(text, '[^\p{L}]+$', '') AS query FROM benchmark), "
+        + sql_suggest("SELECT query_id, regexp_extract(query, '([^ ]+)$', 1) AS n FROM w WHERE query <> ''")
+        + " SELECT query_id, regexp_extract(query, '^(.* )?[^ ]+$', 1, 's') || token AS \"full\", freq, rank FROM top JOIN w USING (query_id)",
     ),
     "merge_suggestions": (
         merge_suggestions,
-        r"""WITH ws AS (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark),
-        pw AS (SELECT item_id, unnest(range(1, 3)) AS i, w FROM ws), """
-        + sql_suggest("SELECT item_id * 2 + i AS query_id, substr(w[i], 1, 3) AS n FROM pw")
-        + """, g AS (SELECT item_id, token, max(freq) AS freq FROM top JOIN pw ON query_id = item_id * 2 + i GROUP BY 1, 2)
+        r"""WITH pw AS (SELECT DISTINCT item_id, substr(w, 1, 3) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM benchmark)), """
+        + sql_suggest("SELECT DISTINCT n AS query_id, n FROM pw")
+        + """, g AS (SELECT item_id, token, max(freq) AS freq FROM top JOIN pw ON query_id = pw.n GROUP BY 1, 2)
         SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY freq DESC, token) AS INTEGER) AS rank FROM g QUALIFY rank <= 8""",
     ),
     "rolling_buffer": (
