@@ -38,7 +38,8 @@ CANONICAL_TITLES = (
 )
 VOID = {"br", "img", "meta", "hr", "input", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 ENDS_PARAGRAPH = {"p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "footer", "header", "nav"}
-PAGE_STRIDE = 10_000_000
+PAGE_STRIDE = 1 << 32  # nodes of a page are numbered below it
+ROWS_AT_ONCE = 2_000  # nodes held by a task before they are handed on
 
 NODE_SCHEMA = (
     "source string, page int, node int, what string, section int, owner int, node_id string, node_type string, kind string, title string, text string"
@@ -46,14 +47,18 @@ NODE_SCHEMA = (
 
 
 class _Nodes(HTMLParser):
-    """Collects sections, verses, roots and blocks of one page in document order."""
+    """Collects sections, verses, roots and blocks of one page in document order.
+
+    If the page has a main-text container, only what lies in the first one counts.
+    """
 
     def __init__(self, markup: dict):
         super().__init__(convert_charrefs=True)
-        self.markup, self.rows, self.open, self.count, self.scoped = markup, [], [], 0, False
+        self.markup, self.rows, self.open, self.count, self.container, self.left = markup, [], [], 0, None, False
 
     def _enclosing(self, what: str) -> int:
-        return next((e["node"] for e in reversed(self.open) if e["what"] == what), 0)
+        inner = self.open[self.open.index(self.container) + 1 :] if self.container in self.open else self.open
+        return next((e["node"] for e in reversed(inner) if e["what"] == what), 0)
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -66,8 +71,6 @@ class _Nodes(HTMLParser):
         classes = (attrs.get("class") or "").split()
         has = lambda want: tag == want[0] and (want[1] is None or want[1] in classes)
         m = self.markup
-        if m["scope"] and has(m["scope"]):
-            self.scoped = True
         parent = self.open[-1]["what"] if self.open else ""
         kind = m["block_tags"].get(tag) or next((m["blocks"][c] for c in classes if c in m["blocks"]), None)
         if any(has(s) for s in m["sections"]):
@@ -86,6 +89,10 @@ class _Nodes(HTMLParser):
             what = "skip" if tag in ("script", "style") else "other"
         self.count += 1
         entry = {"tag": tag, "what": what, "node": self.count, "text": []}
+        if m["scope"] and has(m["scope"]) and self.container is None:
+            self.container, self.rows = entry, []  # what came before lies outside
+        if self.left:
+            entry["what"] = what = "other"
         if what in ("section", "verse", "root", "block"):
             entry["row"] = [
                 self.count, what, self._enclosing("section"), self._enclosing("verse"),
@@ -105,6 +112,7 @@ class _Nodes(HTMLParser):
                 section = next((e for e in reversed(self.open) if e["what"] == "section"), None)
                 if section and not (section["row"][7] or "").strip():
                     section["row"][7] = "".join(entry["text"])
+            self.left = self.left or entry is self.container
             if entry["tag"] == tag:
                 return
 
@@ -127,15 +135,17 @@ def page_nodes(pages: DataFrame, markup: dict | None = None) -> DataFrame:
     chosen = markup or DEFAULT_MARKUP
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["source", "page", "node", "what", "section", "owner", "node_id", "node_type", "kind", "title", "text"]
         for batch in batches:
             rows = []
             for source, page, html in zip(batch["source"], batch["page"], batch["html"]):
                 parser = _Nodes(chosen)
                 parser.feed(html or "")
                 rows += [(source, page, *r) for r in parser.finish()]
-            yield pd.DataFrame(
-                rows, columns=["source", "page", "node", "what", "section", "owner", "node_id", "node_type", "kind", "title", "text"]
-            )
+                if len(rows) > ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("source", F.col("page").cast("int"), "html").mapInPandas(parse, NODE_SCHEMA)
 
@@ -212,19 +222,23 @@ def pages_to_units(pages: DataFrame, markup: dict | None = None) -> tuple[DataFr
         F.concat("chapter_id", prefix, "intro_no")
     )
     units = made_units.withColumn("unit_id", unit_id).select(
-        "source", "chapter_at", "chapter_id", F.col("pos").alias("unit_at"), "unit_id",
+        "source", "chapter_at", "chapter_id", F.col("pos").alias("unit_at"), F.coalesce("run_start", "pos").alias("unit_start"), "unit_id",
         F.when(F.col("is_verse"), unit_kind(F.col("node_type"), F.col("unit_id"))).otherwise("intro").alias("unit_kind"),
         F.when(F.col("is_verse"), unit_ordinal(F.col("unit_id"), F.col("verse_no"))).otherwise(F.col("intro_no")).alias("ordinal"),
     )
     owned = texts.withColumn("unit_at", F.when(F.col("owner") > 0, F.col("owner_pos")).otherwise(F.col("pos")))
     blocks = owned.select("source", "unit_at", "pos", "what", "kind", "text", F.col("node_id").alias("block_id")).join(units, ["source", "unit_at"])
-    return chapters, blocks.select("source", "chapter_id", "unit_id", "unit_kind", "ordinal", "pos", "what", "kind", "text", "block_id")
+    return chapters, blocks.select("source", "chapter_at", "chapter_id", "unit_start", "unit_id", "unit_kind", "ordinal", "pos", "what", "kind", "text", "block_id")
 
 
 def units_from_blocks(blocks: DataFrame) -> DataFrame:
-    """Nested units (root, ordered blocks); the array of a unit is one verse or prose run."""
+    """Nested units (root, ordered blocks); the array of a unit is one verse or prose run.
+
+    Units are told apart by where they start, as ids may come again (a chapter that goes on
+    on another page).
+    """
     piece = F.struct("pos", "kind", "text", F.col("block_id").alias("id"))
-    grouped = blocks.groupBy("source", "chapter_id", "unit_id", "unit_kind", "ordinal").agg(
+    grouped = blocks.groupBy("source", "chapter_at", "chapter_id", "unit_start", "unit_id", "unit_kind", "ordinal").agg(
         F.min("pos").alias("unit_pos"),
         F.array_sort(F.collect_list(F.when(F.col("what") == "root", F.struct("pos", "text")))).alias("roots"),
         F.array_sort(F.collect_list(F.when(F.col("what") == "block", piece))).alias("pieces"),

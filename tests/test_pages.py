@@ -70,3 +70,19 @@ def test_stitch_stops_at_empty_or_missing_page(spark):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, " \n"), ("a", 4, "z"), ("b", 1, "x"), ("b", 2, "y"), ("b", 4, "z"), ("c", 1, "")]
     df = spark.createDataFrame(rows, "source string, page int, html string")
     assert sorted((r.source, r.page) for r in H.stitch_pages(df).collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1)]
+
+
+def test_only_the_first_main_text_counts(spark):
+    verse = '<div class="chapter" id="K_C0{0}"><div class="verse" id="K_C0{0}_V01"><div class="versetext">{1}</div></div></div>'
+    page = '<div class="chapter" id="NAV"><div class="verse"><div class="versetext">nav</div></div></div>' + MAIN.format(verse.format(1, "क")) + MAIN.format(verse.format(2, "ख")) + '<div class="bhashya">foot</div>'
+    chapters, units = build(spark, page)
+    assert [c.chapter_id for c in chapters] == ["K_C01"] and set(units) == {"K_C01_V01"}
+
+
+def test_a_chapter_that_goes_on_keeps_its_units_apart(spark):
+    part = '<div class="chapter" id="K_C01"><div class="intro_bhashya">{0}</div><div class="verse" id="K_C01_V0{1}"><div class="versetext">{0}</div></div></div>'
+    df = spark.createDataFrame([("k", p, f"<body>{MAIN.format(part.format(t, p))}</body>") for p, t in ((1, "क"), (2, "ख"))], "source string, page int, html string")
+    chapters, blocks = H.pages_to_units(df)
+    units = H.units_from_blocks(blocks).orderBy("unit_pos").collect()
+    assert [(u.unit_id, [b.text for b in u.blocks] or u.root) for u in units] == [("K_C01_INTRO1", ["क"]), ("K_C01_V01", "क"), ("K_C01_INTRO1", ["ख"]), ("K_C01_V02", "ख")]
+    assert chapters.count() == 2
