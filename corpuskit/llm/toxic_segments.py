@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments over token log-odds.
 
 Tokens get the log-odds of toxic against clean text with an informative Dirichlet prior (the
-words' shares in both classes together).  A word whose log-odds are a stated number of
-standard errors above zero keeps them as its score, every other token costs a constant.  A
+words' shares in both classes together), counted once per class and pair of neighbours.  A word whose log-odds are a stated number of
+standard errors above zero, and a stated part of what a word can reach that clean text never
+holds, keeps them as its score; every other token costs a constant.  A
 linear-time scan finds all maximal scoring segments of a text; a segment's score is turned
 into a p-value by the extreme-value law of local scores, whose decay solves the usual moment
 equation and whose size constant is fitted on clean documents.  A document's score combines
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm.shared import held_out, logistic, training_rows
+from corpuskit.session import checkpointed
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -116,32 +118,47 @@ class Model:
         return logistic(self.curve[0] + np.asarray(features, float).reshape(-1, 2) @ self.curve[1:])
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 100) -> np.ndarray:
+    """Logistic regression by Newton steps, halved until the penalised loss falls."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        z = a @ v
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + penalty * (v**2).sum() / 2)
+
     for _ in range(rounds):
         p = logistic(a @ w)
-        h = (a * (p * (1 - p))[:, None]).T @ a + penalty * np.eye(len(w))
-        w = w - np.clip(np.linalg.solve(h, a.T @ (p - y) + penalty * w), -5, 5)
+        slope = a.T @ (p - y) + penalty * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty * np.eye(len(w)), slope)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * float(slope @ step):
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w - size * step
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, min_share: float = 0.002, z_min: float = 4.0, prior_share: float = 0.1, cost: float = 0.5, level: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, min_share: float = 0.002, z_min: float = 4.0, prior_share: float = 0.1, strength: float = 0.75, cost: float = 0.5, level: float = 0.05) -> Model:
     sample = training_rows(docs, labels, "toxic", train_rows)
-    listed = sample.select("y", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("w"))
-    sizes = {r["y"]: (r["docs"], r["tokens"] or 0) for r in listed.groupBy("y").agg(F.count("*").alias("docs"), F.sum(F.size("w")).alias("tokens")).collect()}
-    (docs_1, tokens_1), (docs_0, tokens_0) = sizes.get(1, (0, 0)), sizes.get(0, (0, 0))
+    sizes = {r["y"]: r["docs"] for r in sample.groupBy("y").agg(F.count("*").alias("docs")).collect()}
+    docs_1, docs_0 = sizes.get(1, 0), sizes.get(0, 0)
     if not docs_1 or not docs_0:
         share = docs_1 / (docs_1 + docs_0) if docs_1 + docs_0 else 0.0
         return Model({}, cost, 1.0, 0.0, level, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0]))
+    # A word counts once per pair of neighbours and class: copies and repeated lines say nothing new.
+    listed = sample.select("y", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("w"))
     placed = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("between")))
-    words = listed.select("y", F.explode(placed).alias("p")).select("y", "p.word", F.when(F.col("y") == 1, F.col("p.between")).alias("between"))
-    places = words.groupBy("word", "between").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    counts = places.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("between").alias("contexts"))
-    common = counts.filter(F.col("contexts") >= max(3, min_share * docs_1)).toPandas()  # bounded, see above
-    delta, z = log_odds(common["toxic"].to_numpy(float), common["clean"].to_numpy(float), tokens_1, tokens_0, prior_share * (tokens_1 + tokens_0))
-    chosen = z >= z_min
+    words = listed.select("y", F.explode(placed).alias("p")).select("y", "p.word", "p.between")
+    places = words.groupBy("word", "between").agg(F.max("y").alias("toxic"), F.max(1 - F.col("y")).alias("clean"))
+    counts = checkpointed(places.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    tokens_1, tokens_0 = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
+    common = counts.filter(F.col("toxic") >= max(3, min_share * docs_1)).toPandas()  # bounded, see above
+    prior_tokens = prior_share * (tokens_1 + tokens_0)
+    delta, z = log_odds(common["toxic"].to_numpy(float), common["clean"].to_numpy(float), tokens_1, tokens_0, prior_tokens)
+    most = np.log((1 + prior_share) / prior_share) + np.log((tokens_0 + prior_tokens) / (tokens_1 + prior_tokens))  # of a word that clean text never holds
+    chosen = (z >= z_min) & (delta >= strength * most)
     scores = dict(zip(common["word"][chosen], delta[chosen]))
     if not scores:
         share = docs_1 / (docs_1 + docs_0)

@@ -41,6 +41,15 @@ def test_decay_solves_the_moment_equation():
     assert abs(0.01 * np.exp(2 * x) + 0.02 * np.exp(3 * x) + 0.97 * np.exp(-0.5 * x) - 1) < 1e-6 and x > 0
 
 
+def test_curve_on_separable_rows():
+    """Newton steps must not run away where a curve could be as steep as it likes."""
+    x = np.array([[-8.0, 0.0]] * 900 + [[9.0 + i % 7, 2.5] for i in range(100)])
+    y = np.array([0.0] * 900 + [1.0] * 100)
+    w = X.fit_curve(x, y)
+    p = X.logistic(w[0] + x @ w[1:])
+    assert p[y == 1].min() > 0.9 and p[y == 0].max() < 0.1
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = X.score_toxicity(docs, labels)
