@@ -168,21 +168,25 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, min_share:
     cost = max(cost, 1.5 * float((clean_share * values).sum()))  # local scores need a negative mean on clean text
     model = Model(scores, cost, decay(values, clean_share, cost), 0.0, level, np.zeros(3))
 
-    def evidence(model):
+    def measured(model):
         def run(batches):
             for b in batches:
-                got = [model.features(t) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array([g[i] for g in got], pa.float64()) for i in (0, 1))], names=["doc_id", "y", "best", "summed"])
-
-        rows = sample.mapInArrow(run, "doc_id long, y int, best double, summed double").toPandas()  # bounded by train_rows
+                texts = b.column("text").to_pylist()
+                got = [model.features(t) for t in texts]
+                found = [model.segments(t) for t in texts]
+                columns = [[g[0] for g in got], [g[1] for g in got], [float(n) for _, n in found], [float(len(f)) for f, _ in found]]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array(c, pa.float64()) for c in columns)], names=names)
+
+        names = ["doc_id", "y", "best", "summed", "words", "segments"]
+        rows = sample.mapInArrow(run, "doc_id long, y int, best double, summed double, words double, segments double").toPandas()  # bounded by train_rows
         return rows.sort_values(["doc_id", "y"])
 
-    # Size constant: the mean of the extreme-value law over the clean documents that have a segment (Euler's constant is its mean).
-    clean = evidence(model)
-    clean = clean[(clean["y"] == 0) & (clean["best"] > -8.0)]["best"]
-    size = float(clean.mean()) - 0.5772 if len(clean) else 0.0
+    # Size constant: the law's expected number of segments in the clean documents is the number found there (and half a one).
+    clean = measured(model)
+    clean = clean[clean["y"] == 0]
+    size = float(np.log((clean["segments"].sum() + 0.5) / (clean["words"].sum() + 1)) + model.decay * values.min())
     model = Model(scores, cost, model.decay, size, level, np.zeros(3))
-    rows = evidence(model)
+    rows = measured(model)
     curve = fit_curve(rows[["best", "summed"]].to_numpy(), rows["y"].to_numpy(float))
     return Model(scores, cost, model.decay, size, level, curve)
 
