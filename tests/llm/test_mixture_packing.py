@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpuskit.llm import mixture_packing as M
@@ -82,3 +83,13 @@ def test_ids_are_those_of_the_tokenizer_file(spark, sf):
     odd = ["", "<|endoftext|> x", "a" * 5000, "  \n\n x", "é日本\U0001F600\r\n", "don't 123,456 ###"]
     for text in odd + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(50).collect()]:
         assert encode(text, default_ranks()).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_many_sources_keep_their_own_deficits(spark, sf, odd_docs):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 23).cast("string").alias("source"))
+    docs = docs.unionByName(odd_docs.select("doc_id", "text", "source"))
+    weights = {str(i): 2.0 ** -(i % 5) for i in range(0, 23, 2)}
+    for given in (None, weights):
+        whole = M.pack(docs, window=512, weights=given)  # one queue per source on the driver
+        few = M.pack(docs, window=512, weights=given, max_queues=3, max_broadcast_rows=1)
+        assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
