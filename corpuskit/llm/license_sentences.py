@@ -1,6 +1,8 @@
 """License scan by sentences, in DataFrame expressions only.
 
-A text is cut into sentences, each is normalised and looked up among known license sentences.
+A text is normalised with its line and sentence breaks marked.  A known license sentence is
+found where its words stand between two marks; marks inside it do not matter, so hard-wrapped
+texts and sentences with breaks of their own ("free software: you", "v. 2.0") are found too.
 The identifiers found, in text order, are matched against ordered rules: a rule names a
 license and the consecutive identifiers that make it.  Earlier rules go first, and what a rule
 matched is consumed, so a full license text is one license and not also its parts.
@@ -81,22 +83,25 @@ RULES = [
 ]
 
 BREAK = r"\n|[.!?;:]+[\x20\x09-\x0D]+"
-OTHER = r"[^a-z0-9]+"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-case letters and digits, everything else as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
+def marked(text: Column) -> Column:
+    """Lower-case letters and digits, a bar for every run with a break, everything else as single spaces."""
+    bars = F.regexp_replace(F.regexp_replace(F.lower(text), BREAK, "|"), r"[^a-z0-9|]+", " ")
+    return F.trim(F.regexp_replace(bars, r" ?\|[ |]*", "|"))
+
+
+def pattern(sentences: dict[str, str]) -> str:
+    """One of the sentences between two breaks, the longest first."""
+    words = sorted(sentences, key=lambda s: (-len(s), s))
+    return "(?<![^|])(" + "|".join(s.replace(" ", "[ |]") for s in words) + ")(?![^|])"
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """Per row: doc_id, sentence_ids (in text order), licenses (in rule order, each once) and unmatched, the known sentences left over."""
     known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
-    lengths = [len(s) for s in sentences]
-    parts = F.split(F.col("text").cast("string"), BREAK, -1)
-    # A sentence shorter than the shortest known one cannot match; normalising only shortens.
-    long = F.filter(parts, lambda x: F.length(x) >= min(lengths))
-    ids = F.filter(F.transform(long, lambda x: F.element_at(known, normalised(x))), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(marked(F.col("text").cast("string")), F.lit(pattern(sentences)), F.lit(1))
+    ids = F.transform(found, lambda x: F.element_at(known, F.replace(x, F.lit("|"), F.lit(" "))))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     # <id> per sentence; a consumed run becomes "|", so that its neighbours do not meet.
     left = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
@@ -116,7 +121,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
 
 
 def oracle_sql() -> str:
-    """The same scan in SQL: sentences as rows, rules as nested replacements."""
+    """The scan in SQL for sentences that stand whole between two breaks: sentences as rows, rules as nested replacements."""
     values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     steps, cases, prev = [], [], "s0"
     for i, (license_id, parts) in enumerate(RULES):
