@@ -54,13 +54,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     """(doc_id, text, y): at most ``rows`` labelled documents outside the held-out fold.
 
     The rows with the smallest hashed ids are taken, so the sample does not depend on the
-    order or the partitions of the input.  A repeated label row counts once, the larger
-    label wins.
+    order or the partitions of the input.  Labels of documents that are not in ``docs`` take
+    no part.  A repeated label row counts once, the larger label wins.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return texts.join(F.broadcast(known), "doc_id")  # bounded by ``rows``
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 
 from corpuskit.llm import toxic_segments as X
+from corpuskit.llm.shared import training_rows
 
 
 def brute_segments(scores):
@@ -69,3 +70,11 @@ def test_odd_documents(spark, odd_docs, no_docs, some_labels):
     bare = X.score_toxicity(odd_docs, some_labels.filter("false")).toPandas()
     assert bare["score"].max() < 1e-6 and (bare["predicted"] == 0).all()
     assert X.keep(odd_docs, some_labels.filter("false")).count() == 9
+
+
+def test_labels_of_missing_documents_use_up_no_rows(spark):
+    docs = spark.range(0, 400, 20).selectExpr("id AS doc_id", "'some text' AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "0 AS toxic")
+    every = {r.doc_id for r in training_rows(docs, labels, "toxic", 400).collect()}
+    assert len(every) > 10 and {r.doc_id for r in training_rows(docs, labels, "toxic", len(every)).collect()} == every
+    assert len(training_rows(docs, labels, "toxic", 5).collect()) == 5
