@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpuskit.operators import follow as W
+from corpuskit.queries import texts
 from corpuskit.streaming import follow_stream as S
 
 
@@ -145,3 +146,13 @@ def test_debounce_over_micro_batches(spark, tmp_path):
     got = sorted((r.user, r.n) for r in spark.read.schema(closed.schema).parquet(str(tmp_path / "out")).collect())
     # z's newest event still waits; a's and b's last ones were closed by the watermark
     assert got == [("a", 2), ("a", 6), ("b", 5)]
+
+
+def test_every_text_is_searched(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 40")
+    docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").otherwise(F.col("lang"))).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.limit(3).selectExpr("doc_id AS item_id", "text").write.parquet(str(tmp_path / "benchmark.parquet"))
+    grams = W.corpus_grams(texts.stream_tokens(spark, str(tmp_path)))
+    asked = texts.heard(spark, str(tmp_path), F.lit(None), grams)
+    assert {r.text_slug for r in asked.collect()} == {r.text_slug for r in grams.select("text_slug").distinct().collect()} >= {"xx"}
+    assert "xx" in {r.text_slug for r in texts.best_window(spark, str(tmp_path)).collect()}
