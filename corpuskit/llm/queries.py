@@ -10,6 +10,7 @@ from corpuskit.llm import (
     license_sentences,
     line_frequency,
     mixture_packing,
+    periodic_runs,
     popcount_simhash,
     quality_net,
     rabitq,
@@ -89,6 +90,11 @@ def op10_popcount_simhash(spark, sf):
     return rows.select("doc_id", popcount_simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op13_multiscale_minimizers(spark, sf):
+    """Runs of every document, those with planted repeats included, and the text that is left without repeats."""
+    return periodic_runs.find(table(spark, sf, "documents"), edit=periodic_runs.repeat_tail).drop("runs")
+
+
 QUERIES = {
     "op1_rabitq_search": (op1_rabitq_search, None),
     "op2_mixture_packing": (op2_mixture_packing, None),
@@ -100,4 +106,5 @@ QUERIES = {
     "op8_sampled_pieces": (op8_sampled_pieces, None),
     "op9_toxic_segments": (op9_toxic_segments, None),
     "op10_popcount_simhash": (op10_popcount_simhash, None),
+    "op13_multiscale_minimizers": (op13_multiscale_minimizers, None),
 }
