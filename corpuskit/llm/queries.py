@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuskit.llm import (
     license_sentences,
     line_frequency,
+    merkle_manifest,
     mixture_packing,
     periodic_runs,
     popcount_simhash,
@@ -90,6 +91,11 @@ def op10_popcount_simhash(spark, sf):
     return rows.select("doc_id", popcount_simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op12_merkle_manifest(spark, sf):
+    """Leaf, roots and proof of every document; half of the documents are verified with tampered texts."""
+    return merkle_manifest.manifest(table(spark, sf, "documents"), claimed=merkle_manifest.without_newlines())
+
+
 def op13_multiscale_minimizers(spark, sf):
     """Runs of every document, those with planted repeats included, and the text that is left without repeats."""
     return periodic_runs.find(table(spark, sf, "documents"), edit=periodic_runs.repeat_tail).drop("runs")
@@ -106,5 +112,6 @@ QUERIES = {
     "op8_sampled_pieces": (op8_sampled_pieces, None),
     "op9_toxic_segments": (op9_toxic_segments, None),
     "op10_popcount_simhash": (op10_popcount_simhash, None),
+    "op12_merkle_manifest": (op12_merkle_manifest, merkle_manifest.oracle_sql()),
     "op13_multiscale_minimizers": (op13_multiscale_minimizers, None),
 }
