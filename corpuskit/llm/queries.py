@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuskit.llm import (
+    kd_shards,
     license_sentences,
     line_frequency,
     merkle_manifest,
@@ -91,6 +92,11 @@ def op10_popcount_simhash(spark, sf):
     return rows.select("doc_id", popcount_simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op11_kd_tree_shards(spark, sf):
+    """All documents in 8 shards of near equal bytes."""
+    return kd_shards.assign(table(spark, sf, "documents"), shards=8)
+
+
 def op12_merkle_manifest(spark, sf):
     """Leaf, roots and proof of every document; half of the documents are verified with tampered texts."""
     return merkle_manifest.manifest(table(spark, sf, "documents"), claimed=merkle_manifest.without_newlines())
@@ -112,6 +118,7 @@ QUERIES = {
     "op8_sampled_pieces": (op8_sampled_pieces, None),
     "op9_toxic_segments": (op9_toxic_segments, None),
     "op10_popcount_simhash": (op10_popcount_simhash, None),
+    "op11_kd_tree_shards": (op11_kd_tree_shards, None),
     "op12_merkle_manifest": (op12_merkle_manifest, merkle_manifest.oracle_sql()),
     "op13_multiscale_minimizers": (op13_multiscale_minimizers, None),
 }
