@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
 from corpuskit.operators.ordering import BUCKET_WIDTH, int_bucket, running_total
-from corpuskit.session import small_or_shuffled
+from corpuskit.session import kept, small_or_shuffled
 
 # Window bounds, gram length, neighbourhood and score to follow.
 WINDOW_MIN, WINDOW_MAX, GRAM, NEIGHBOURHOOD, FOLLOW_SCORE = 4, 14, 3, 80, 0.25
+BLOCK = 64  # positions per block of the index
 
 
 def corpus_tokens(units: DataFrame, order: str, tokens: Callable[[Column], Column] = T.follow_tokens) -> DataFrame:
@@ -53,76 +55,118 @@ def corpus_grams(corpus: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     )
 
 
-def best_window(
-    heard: DataFrame,
-    grams: DataFrame,
-    min_score: float = FOLLOW_SCORE,
-    neighbourhood: int = NEIGHBOURHOOD,
-) -> DataFrame:
-    """``utt_id, text_slug, start, end, score, is_local`` of the best window per utterance.
+class Index(NamedTuple):
+    """A text made ready for following: grams by name, grams by position block, text lengths."""
 
-    ``heard(utt_id, text_slug, tokens, hint)`` with a nullable ``hint``; ``grams``
-    from :func:`corpus_grams`.  The neighbourhood of the hint wins if it reaches
-    ``min_score``, otherwise the whole text is taken; earlier windows win ties.
+    grams: DataFrame  # text_slug, gpos, gram
+    blocks: DataFrame  # text_slug, block, text_len, grams (those of the block and of the windows that start in it)
 
-    A window reaching ``min_score`` shares a known number of grams, so that many
-    less one of the commonest heard grams are not used to look for windows.  The
-    windows found are then scored in full by their positions, one row per
-    position, whatever the frequency of a gram.
-    """
+
+def build_index(grams: DataFrame, stored: bool = False) -> Index:
+    """The index of ``grams`` from :func:`corpus_grams`; ``stored`` writes it once for many readers."""
+    grams = kept(grams) if stored else grams
+    lengths = grams.groupBy("text_slug").agg((F.max("gpos") + GRAM).alias("text_len"))
+    block = int_bucket(F.col("gpos"), BLOCK)
+    halo = (F.col("gpos") % BLOCK < WINDOW_MAX - GRAM) & (block > 0)
+    blocks = (
+        grams.select("text_slug", "gpos", "gram", F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block))).alias("block"))
+        .groupBy("text_slug", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("gpos", "gram"))).getField("gram").alias("grams"))  # at most 75
+        .join(small_or_shuffled(lengths), "text_slug")
+    )
+    return Index(grams, kept(blocks) if stored else blocks)
+
+
+def utterances(heard: DataFrame) -> DataFrame:
+    """The last tokens of every utterance as distinct grams with their number (``own``), and the sum of grams of both sides."""
     sized = heard.withColumn("win", F.least(F.greatest(F.size("tokens"), F.lit(WINDOW_MIN)), F.lit(WINDOW_MAX))).filter(F.size("tokens") > 0)
     last = F.slice("tokens", -F.least(F.col("win"), F.size("tokens")), F.col("win"))
-    own = sized.withColumn("heard_grams", T.array_ngrams(last, GRAM)).withColumn("total", F.size("heard_grams") + F.col("win") - (GRAM - 1))
-    probes = (
-        own.select("utt_id", "text_slug", "win", "total", F.explode("heard_grams").alias("gram"))
-        .groupBy("utt_id", "text_slug", "win", "total", "gram")
-        .agg(F.count("*").alias("times"))
-    )
-    asked = small_or_shuffled(probes.select("text_slug", "gram").distinct())
-    relevant = grams.join(asked, ["text_slug", "gram"], "left_semi")
+    sized = sized.withColumn("heard_grams", T.array_ngrams(last, GRAM)).withColumn("total", F.size("heard_grams") + F.col("win") - (GRAM - 1))
+    counted = F.transform(F.array_distinct("heard_grams"), lambda g: F.struct(g.alias("gram"), F.size(F.filter("heard_grams", lambda x: x == g)).alias("times")))
+    keys = [c for c in ("utt_id", "text_slug") if c in heard.columns]
+    return sized.select(*keys, "win", "total", counted.alias("own"), *(["hint"] if "hint" in heard.columns else []))
+
+
+def _score(start: Column) -> Column:
+    """Dice score of the window at ``start``, whose block is at hand."""
+    window = F.slice("grams", (start - F.col("block") * BLOCK + 1).cast("int"), F.col("win") - (GRAM - 1))
+    shared = F.aggregate("own", F.lit(0), lambda n, o: n + F.least(o["times"], F.size(F.filter(window, lambda g: g == o["gram"]))))
+    return 2 * shared / F.col("total")
+
+
+def windows(asked: DataFrame, index: Index, min_score: float = FOLLOW_SCORE) -> DataFrame:
+    """``utt_id, text_slug, win, start, score`` of every window of a text that reaches ``min_score``.
+
+    ``asked`` from :func:`utterances`; without ``text_slug`` every text is searched, the text is
+    taken from the hit.  A window reaching ``min_score`` shares a known number of grams, so that
+    many less one of the commonest heard grams are not used to look for windows.  The windows
+    found are then scored in full inside their position block, one row per utterance and block,
+    whatever the frequency of a gram.
+    """
+    keys = [c for c in ("text_slug", "gram") if c in asked.columns or c == "gram"]
+    slug = ["text_slug"] if "text_slug" in asked.columns else []
+    probes = asked.select("utt_id", *slug, "win", "total", F.explode("own").alias("o")).select("utt_id", *slug, "win", "total", "o.gram", "o.times")
+    relevant = kept(index.grams.join(small_or_shuffled(probes.select(*keys).distinct()), keys, "left_semi"))
     counts = relevant.groupBy("text_slug", "gram").agg(F.count("*").alias("n"))
-    lengths = grams.groupBy("text_slug").agg((F.max("gpos") + GRAM).alias("text_len"))
     may_skip = F.ceil(F.col("total") * (min_score / 2) - 1e-9) - 1
     common_first = Window.partitionBy("utt_id", "text_slug").orderBy(F.desc("n"), "gram").rowsBetween(Window.unboundedPreceding, 0)
-    rare = (
-        probes.join(counts, ["text_slug", "gram"])
-        .withColumn("seen", F.sum("times").over(common_first))
-        .filter(F.col("seen") > may_skip)
-        .join(lengths, "text_slug")
-        .select("utt_id", "text_slug", "win", "text_len", "gram")
-    )
-    places = relevant.join(small_or_shuffled(rare), ["text_slug", "gram"])
-    low = F.greatest(F.col("gpos") - (F.col("win") - GRAM), F.lit(0))
-    high = F.least(F.col("gpos"), F.col("text_len") - F.col("win"))
-    starts = (
-        places.filter(low <= high)
-        .select("utt_id", "text_slug", "win", F.explode(F.sequence(low, high)).alias("start"))
-        .distinct()
-    )
-    spots = starts.withColumn("gpos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("win") - GRAM)))
-    shared = (
-        spots.join(relevant, ["text_slug", "gpos"])
-        .join(probes.select("utt_id", "text_slug", "gram", "times", "total"), ["utt_id", "text_slug", "gram"])
-        .groupBy("utt_id", "text_slug", "win", "total", "start", "gram")
-        .agg(F.least(F.count("*"), F.first("times")).alias("hits"))
-        .groupBy("utt_id", "text_slug", "win", "total", "start")
-        .agg(F.sum("hits").alias("hits"))
-        .withColumn("score", 2 * F.col("hits") / F.col("total"))
-        .filter(F.col("score") >= min_score)
-    )
-    hints = heard.select("utt_id", "text_slug", F.col("hint").cast("bigint").alias("hint"))
-    near = (
-        F.col("hint").isNotNull()
-        & (F.col("start") >= F.col("hint") - neighbourhood / 2)
-        & (F.col("start") + F.col("win") <= F.col("hint") + neighbourhood + 1)
-    )
-    return (
-        shared.join(hints, ["utt_id", "text_slug"])
-        .withColumn("is_local", F.coalesce(near, F.lit(False)))
-        .groupBy("utt_id", "text_slug")
-        .agg(F.max_by(F.struct("start", "win", "score", "is_local"), F.struct("is_local", "score", -F.col("start"))).alias("m"))
-        .select("utt_id", "text_slug", "m.start", (F.col("m.start") + F.col("m.win")).alias("end"), "m.score", "m.is_local")
-    )
+    rare = probes.join(counts, keys).withColumn("seen", F.sum("times").over(common_first)).filter(F.col("seen") > may_skip)
+    places = relevant.join(small_or_shuffled(rare.select("utt_id", "text_slug", "win", "gram")), ["text_slug", "gram"])
+    low, high = F.greatest(F.col("gpos") - (F.col("win") - GRAM), F.lit(0)), F.col("gpos")
+    starts = places.select("utt_id", "text_slug", F.explode(F.sequence(low, high)).alias("start"))
+    starts = starts.groupBy("utt_id", "text_slug", int_bucket(F.col("start"), BLOCK).alias("block")).agg(F.collect_set("start").alias("starts"))  # at most 64
+    met = starts.join(asked.select("utt_id", *slug, "win", "total", "own"), ["utt_id", *slug]).join(index.blocks, ["text_slug", "block"])
+    fits = F.filter("starts", lambda s: s <= F.col("text_len") - F.col("win"))
+    scored = met.select("utt_id", "text_slug", "win", F.explode(F.transform(fits, lambda s: F.struct(s.alias("start"), _score(s).alias("score")))).alias("w"))
+    return scored.select("utt_id", "text_slug", "win", "w.start", "w.score").filter(F.col("score") >= min_score)
+
+
+def near_windows(asked: DataFrame, index: Index, min_score: float, neighbourhood: int) -> DataFrame:
+    """The best window around the hint of every utterance, if it reaches ``min_score``.
+
+    Only the position blocks of the neighbourhood are joined, by their number; the grams of
+    the whole text are not looked at.
+    """
+    slug = ["text_slug"] if "text_slug" in asked.columns else []
+    low = F.greatest(F.ceil(F.col("hint") - F.lit(neighbourhood / 2)), F.lit(0)).cast("bigint")
+    high = (F.col("hint") + neighbourhood + 1 - F.col("win")).cast("bigint")
+    hinted = asked.filter(F.col("hint").isNotNull()).withColumn("low", low).withColumn("high", high).filter("low <= high")
+    blocks = F.sequence(int_bucket(F.col("low"), BLOCK), int_bucket(F.col("high"), BLOCK))
+    met = small_or_shuffled(hinted.withColumn("block", F.explode(blocks)).drop("hint")).join(index.blocks, [*slug, "block"])
+    met = met.filter(F.arrays_overlap("grams", F.col("own.gram")))
+    first = F.greatest(F.col("low"), F.col("block") * BLOCK)
+    last = F.least(F.col("high"), F.col("block") * BLOCK + (BLOCK - 1), F.col("text_len") - F.col("win"))
+    tried = F.transform(F.sequence(first, last), lambda s: F.struct(_score(s).alias("score"), (-s).alias("minus_start")))
+    best = met.filter(first <= last).select("utt_id", "text_slug", "win", F.array_max(tried).alias("b"))
+    best = best.filter(F.col("b.score") >= min_score).groupBy("utt_id", "text_slug").agg(F.max_by(F.struct("win", "b"), "b").alias("m"))
+    return best.select("utt_id", "text_slug", (-F.col("m.b.minus_start")).alias("start"), (F.col("m.win") - F.col("m.b.minus_start")).alias("end"), "m.b.score")
+
+
+def best_window(
+    heard: DataFrame,
+    grams: DataFrame | Index,
+    min_score: float = FOLLOW_SCORE,
+    neighbourhood: int = NEIGHBOURHOOD,
+) -> DataFrame:
+    """``utt_id, text_slug, start, end, score, is_local`` of the best window per utterance and text.
+
+    ``heard(utt_id, tokens, hint)`` with a nullable ``hint``; with a column ``text_slug`` an
+    utterance is searched in its text, without it in every text.  ``grams`` are those of
+    :func:`corpus_grams` or an index of them.  The neighbourhood of the hint is tried first and
+    wins if it reaches ``min_score``; the whole text is searched for the utterances left over.
+    Earlier windows win ties.
+    """
+    index = grams if isinstance(grams, Index) else build_index(grams)
+    asked = utterances(heard)
+    local = near_windows(asked, index, min_score, neighbourhood)
+    local = kept(local)
+    if "text_slug" in heard.columns:
+        asked = asked.join(local.select("utt_id", "text_slug"), ["utt_id", "text_slug"], "left_anti")
+    best = windows(asked, index, min_score).groupBy("utt_id", "text_slug").agg(F.max_by(F.struct("start", "win", "score"), F.struct("score", -F.col("start"))).alias("m"))
+    best = best.select("utt_id", "text_slug", "m.start", (F.col("m.start") + F.col("m.win")).alias("end"), "m.score")
+    if "text_slug" not in heard.columns:  # an utterance may have a local window in one text and none in another
+        best = best.join(local.select("utt_id", "text_slug"), ["utt_id", "text_slug"], "left_anti")
+    return local.withColumn("is_local", F.lit(True)).unionByName(best.withColumn("is_local", F.lit(False)))
 
 
 def with_units(matches: DataFrame, corpus: DataFrame) -> DataFrame:

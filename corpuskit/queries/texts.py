@@ -12,7 +12,7 @@ from corpuskit.operators.resolve import rule_table
 from corpuskit.operators.structure import with_body
 from corpuskit.queries.resolve import _values
 from corpuskit.queries.tables import SQL_SPACE, doc_units, read
-from corpuskit.session import checkpoint_folder, materialised, small_or_shuffled
+from corpuskit.session import checkpoint_folder, materialised
 from corpuskit.sources import html_pages
 from corpuskit.streaming import follow_stream as streams
 
@@ -294,23 +294,24 @@ def token_positions(spark, sf):
     )
 
 
-def heard(spark, sf, hint, grams):
-    """The benchmark passages, each asked of every text of ``grams``."""
+def heard(spark, sf, hint):
+    """The benchmark passages as utterances, asked of every text."""
     passages = read(spark, sf, "benchmark").select("item_id", T.matches(F.lower("text"), T.LATIN_WORD).alias("tokens"))
-    slugs = small_or_shuffled(grams.select("text_slug").distinct())
-    return passages.crossJoin(slugs).select(F.col("item_id").alias("utt_id"), "text_slug", "tokens", hint.cast("bigint").alias("hint"))
+    return passages.select(F.col("item_id").alias("utt_id"), "tokens", hint.cast("bigint").alias("hint"))
+
+
+def stream_index(spark, sf):
+    return follow.build_index(follow.corpus_grams(stream_tokens(spark, sf)), stored=True)
 
 
 def best_window(spark, sf):
     """Where in each text the end of every benchmark passage is best aligned."""
-    grams = materialised(follow.corpus_grams(stream_tokens(spark, sf)), "text_slug", "gram")
-    found = follow.best_window(heard(spark, sf, F.lit(None), grams), grams)
+    found = follow.best_window(heard(spark, sf, F.lit(None)), stream_index(spark, sf))
     return found.select("utt_id", "text_slug", "start", "end", F.round("score", 6).alias("score"))
 
 
 def follow_neighbourhood(spark, sf):
-    grams = materialised(follow.corpus_grams(stream_tokens(spark, sf)), "text_slug", "gram")
-    found = follow.best_window(heard(spark, sf, F.col("item_id") * 1000, grams), grams, min_score=0.1, neighbourhood=20_000)
+    found = follow.best_window(heard(spark, sf, F.col("item_id") * 1000), stream_index(spark, sf), min_score=0.1, neighbourhood=20_000)
     return found.select("utt_id", "text_slug", "start", "end", F.round("score", 6).alias("score"), "is_local")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the checkpoint folder and read it back: lineage ends, columns can be pruned."""
+    path = f"{checkpoint_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialised(df: DataFrame, *keys: str) -> DataFrame:
     """A compact table that several later steps read, evenly spread by ``keys``."""
     return checkpointed(df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys))
