@@ -87,21 +87,35 @@ def utterances(heard: DataFrame) -> DataFrame:
     return sized.select(*keys, "win", "total", counted.alias("own"), *(["hint"] if "hint" in heard.columns else []))
 
 
-def _score(start: Column) -> Column:
-    """Dice score of the window at ``start``, whose block is at hand."""
-    window = F.slice("grams", (start - F.col("block") * BLOCK + 1).cast("int"), F.col("win") - (GRAM - 1))
-    shared = F.aggregate("own", F.lit(0), lambda n, o: n + F.least(o["times"], F.size(F.filter(window, lambda g: g == o["gram"]))))
-    return 2 * shared / F.col("total")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scored(min_score: float) -> Column:
+    """``(score, minus_start)`` of the windows between ``first`` and ``last`` of a block that reach ``min_score``.
+
+    Every gram of the block is looked up among the heard ones once; only windows with enough
+    heard grams, repeats included, are scored.
+    """
+    need = F.greatest(F.ceil(F.col("total") * (min_score / 2) - 1e-9), F.lit(1))
+    known = F.transform("grams", lambda g: F.array_position(F.col("own.gram"), g))
+    enough = lambda m: F.size(F.filter(m, lambda x: x > 0)) >= need
+    window = lambda m, s: F.slice(m, (s - F.col("block") * BLOCK + 1).cast("int"), F.col("win") - (GRAM - 1))
+    dice = lambda w: 2 * F.aggregate(F.sequence(F.lit(1), F.size("own")), F.lit(0), lambda n, i: n + F.least(F.get("own", i - 1)["times"], F.size(F.filter(w, lambda x: x == i)))) / F.col("total")
+    starts = lambda m: F.filter(F.sequence("first", "last"), lambda s: enough(window(m, s)))
+    scored = lambda m: F.transform(starts(m), lambda s: F.struct(_let(window(m, s), dice).alias("score"), (-s).alias("minus_start")))
+    return F.filter(_let(known, lambda m: F.when(enough(m), scored(m))), lambda x: x["score"] >= min_score)
 
 
 def windows(asked: DataFrame, index: Index, min_score: float = FOLLOW_SCORE) -> DataFrame:
-    """``utt_id, text_slug, win, start, score`` of every window of a text that reaches ``min_score``.
+    """``utt_id, text_slug, win, score, start`` of every window of a text that reaches ``min_score``.
 
     ``asked`` from :func:`utterances`; without ``text_slug`` every text is searched, the text is
     taken from the hit.  A window reaching ``min_score`` shares a known number of grams, so that
-    many less one of the commonest heard grams are not used to look for windows.  The windows
-    found are then scored in full inside their position block, one row per utterance and block,
-    whatever the frequency of a gram.
+    many less one of the commonest heard grams are not used to look for windows.  The blocks
+    found are then searched in full, one row per utterance and block, whatever the frequency
+    of a gram.
     """
     keys = [c for c in ("text_slug", "gram") if c in asked.columns or c == "gram"]
     slug = ["text_slug"] if "text_slug" in asked.columns else []
@@ -112,13 +126,12 @@ def windows(asked: DataFrame, index: Index, min_score: float = FOLLOW_SCORE) ->
     common_first = Window.partitionBy("utt_id", "text_slug").orderBy(F.desc("n"), "gram").rowsBetween(Window.unboundedPreceding, 0)
     rare = probes.join(counts, keys).withColumn("seen", F.sum("times").over(common_first)).filter(F.col("seen") > may_skip)
     places = relevant.join(small_or_shuffled(rare.select("utt_id", "text_slug", "win", "gram")), ["text_slug", "gram"])
-    low, high = F.greatest(F.col("gpos") - (F.col("win") - GRAM), F.lit(0)), F.col("gpos")
-    starts = places.select("utt_id", "text_slug", F.explode(F.sequence(low, high)).alias("start"))
-    starts = starts.groupBy("utt_id", "text_slug", int_bucket(F.col("start"), BLOCK).alias("block")).agg(F.collect_set("start").alias("starts"))  # at most 64
-    met = starts.join(asked.select("utt_id", *slug, "win", "total", "own"), ["utt_id", *slug]).join(index.blocks, ["text_slug", "block"])
-    fits = F.filter("starts", lambda s: s <= F.col("text_len") - F.col("win"))
-    scored = met.select("utt_id", "text_slug", "win", F.explode(F.transform(fits, lambda s: F.struct(s.alias("start"), _score(s).alias("score")))).alias("w"))
-    return scored.select("utt_id", "text_slug", "win", "w.start", "w.score").filter(F.col("score") >= min_score)
+    blocks = F.sequence(int_bucket(F.greatest(F.col("gpos") - (F.col("win") - GRAM), F.lit(0)), BLOCK), int_bucket(F.col("gpos"), BLOCK))
+    found = places.select("utt_id", "text_slug", F.explode(blocks).alias("block")).distinct()
+    met = found.join(asked.select("utt_id", *slug, "win", "total", "own"), ["utt_id", *slug]).join(index.blocks, ["text_slug", "block"])
+    met = met.withColumn("first", F.col("block") * BLOCK).withColumn("last", F.least(F.col("first") + (BLOCK - 1), F.col("text_len") - F.col("win")))
+    scored = met.filter("first <= last").select("utt_id", "text_slug", "win", F.explode(_scored(min_score)).alias("w"))
+    return scored.select("utt_id", "text_slug", "win", "w.score", (-F.col("w.minus_start")).alias("start"))
 
 
 def near_windows(asked: DataFrame, index: Index, min_score: float, neighbourhood: int) -> DataFrame:
@@ -132,13 +145,13 @@ def near_windows(asked: DataFrame, index: Index, min_score: float, neighbourhood
     high = (F.col("hint") + neighbourhood + 1 - F.col("win")).cast("bigint")
     hinted = asked.filter(F.col("hint").isNotNull()).withColumn("low", low).withColumn("high", high).filter("low <= high")
     blocks = F.sequence(int_bucket(F.col("low"), BLOCK), int_bucket(F.col("high"), BLOCK))
-    met = small_or_shuffled(hinted.withColumn("block", F.explode(blocks)).drop("hint")).join(index.blocks, [*slug, "block"])
-    met = met.filter(F.arrays_overlap("grams", F.col("own.gram")))
-    first = F.greatest(F.col("low"), F.col("block") * BLOCK)
-    last = F.least(F.col("high"), F.col("block") * BLOCK + (BLOCK - 1), F.col("text_len") - F.col("win"))
-    tried = F.transform(F.sequence(first, last), lambda s: F.struct(_score(s).alias("score"), (-s).alias("minus_start")))
-    best = met.filter(first <= last).select("utt_id", "text_slug", "win", F.array_max(tried).alias("b"))
-    best = best.filter(F.col("b.score") >= min_score).groupBy("utt_id", "text_slug").agg(F.max_by(F.struct("win", "b"), "b").alias("m"))
+    near = hinted.select("utt_id", *slug, F.explode(blocks).alias("block"), "own.gram")
+    met = small_or_shuffled(near).join(index.blocks, [*slug, "block"]).filter(F.arrays_overlap("grams", "gram")).drop("gram")
+    met = met.join(small_or_shuffled(hinted.drop("hint")), ["utt_id", *slug])
+    met = met.withColumn("first", F.greatest(F.col("low"), F.col("block") * BLOCK))
+    met = met.withColumn("last", F.least(F.col("high"), F.col("block") * BLOCK + (BLOCK - 1), F.col("text_len") - F.col("win")))
+    best = met.filter("first <= last").select("utt_id", "text_slug", "win", F.array_max(_scored(min_score)).alias("b")).filter("b IS NOT NULL")
+    best = best.groupBy("utt_id", "text_slug").agg(F.max_by(F.struct("win", "b"), "b").alias("m"))
     return best.select("utt_id", "text_slug", (-F.col("m.b.minus_start")).alias("start"), (F.col("m.win") - F.col("m.b.minus_start")).alias("end"), "m.b.score")
 
 
