@@ -125,7 +125,7 @@ def windows(asked: DataFrame, index: Index, min_score: float = FOLLOW_SCORE) ->
     may_skip = F.ceil(F.col("total") * (min_score / 2) - 1e-9) - 1
     common_first = Window.partitionBy("utt_id", "text_slug").orderBy(F.desc("n"), "gram").rowsBetween(Window.unboundedPreceding, 0)
     rare = probes.join(counts, keys).withColumn("seen", F.sum("times").over(common_first)).filter(F.col("seen") > may_skip)
-    places = relevant.join(small_or_shuffled(rare.select("utt_id", "text_slug", "win", "gram")), ["text_slug", "gram"])
+    places = relevant.join(rare.select("utt_id", "text_slug", "win", "gram"), ["text_slug", "gram"])
     blocks = F.sequence(int_bucket(F.greatest(F.col("gpos") - (F.col("win") - GRAM), F.lit(0)), BLOCK), int_bucket(F.col("gpos"), BLOCK))
     found = places.select("utt_id", "text_slug", F.explode(blocks).alias("block")).distinct()
     met = found.join(asked.select("utt_id", *slug, "win", "total", "own"), ["utt_id", *slug]).join(index.blocks, ["text_slug", "block"])

@@ -12,7 +12,7 @@ from corpuskit.operators.resolve import rule_table
 from corpuskit.operators.structure import with_body
 from corpuskit.queries.resolve import _values
 from corpuskit.queries.tables import SQL_SPACE, doc_units, read
-from corpuskit.session import checkpoint_folder, materialised
+from corpuskit.session import checkpoint_folder, kept, materialised
 from corpuskit.sources import html_pages
 from corpuskit.streaming import follow_stream as streams
 
@@ -347,6 +347,37 @@ def stream_folder(spark) -> str:
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def event_batches(spark, sf, parts: int = 3):
+    """The events as a bounded file stream of several micro-batches, cut by time."""
+    events, root = read(spark, sf, "events"), stream_folder(spark)
+    first, last = events.agg(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    cut = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first))) * parts / F.greatest(F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)), F.lit(1))), F.lit(parts - 1))
+    for i in range(parts):  # files are taken by age
+        events.filter(cut == i).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events"), root
+
+
+def stream_matches(spark, sf):
+    """Users recite the document of their number: every event speaks a few of its words, views are interim hypotheses."""
+    corpus = kept(stream_tokens(spark, sf))
+    words = read(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), F.col("lang").alias("text_slug"), T.matches(F.lower("text"), T.LATIN_WORD).alias("words"))
+    users = read(spark, sf, "events").select("user_id").distinct()
+    words = kept(words.filter("size(words) > 0").join(users, "user_id"))
+    events, root = event_batches(spark, sf)
+    view = F.col("event_type") == "view"
+    said = F.slice("words", (F.col("event_id") * 13 % F.size("words") + 1).cast("int"), F.when(view, 5).otherwise(8))
+    spoken = events.join(words, "user_id").select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        F.array_join(said, " ").alias("transcript"), (~view).alias("is_final"),
+    )
+    sessions = kept(words.select(F.col("user_id").cast("string").alias("session_id"), "text_slug"))
+    index = follow.build_index(follow.corpus_grams(corpus), stored=True)
+    writer = streams.match_stream(spoken, sessions, index, root, tokens=T.space_tokens, idle_minutes=10**7)
+    streams.run_available(writer, f"{root}/log")
+    found = streams.matches_of(spark, root, corpus)
+    return found.select(F.col("session_id").cast("bigint").alias("user_id"), F.col("seq").alias("event_id"), "unit_id", "start", "end", F.round("score", 6).alias("score"), "is_local")
+
+
 def stream_latest(spark, sf):
     """Newest event per user and type; where that is one of value 0 to 1, the key counts as deleted."""
     keys, order, root = ["user_id", "event_type"], ["ts", "event_id"], stream_folder(spark)
@@ -456,6 +487,25 @@ SELECT item_id AS utt_id, text_slug, start, start + win AS "end", round(CAST(sco
 QUALIFY row_number() OVER (PARTITION BY item_id, text_slug ORDER BY is_local DESC, score DESC, start) = 1"""
 
 
+SQL_MATCHES = rf"""WITH RECURSIVE {SQL_STREAM}, lens AS (SELECT text_slug, count(*) AS len FROM tok GROUP BY 1),
+  g AS (SELECT text_slug, pos, token || lead(token, 1) OVER w || lead(token, 2) OVER w AS gram FROM tok WINDOW w AS (PARTITION BY text_slug ORDER BY pos)),
+  ev AS (SELECT user_id, event_id, text_slug, event_type <> 'view' AS fin, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+    w[event_id * 13 % len(w) + 1 : event_id * 13 % len(w) + CASE WHEN event_type = 'view' THEN 5 ELSE 8 END] AS new FROM events JOIN tk ON unit_id = user_id WHERE len(w) > 0),
+  buf AS (SELECT user_id, n, new AS b FROM ev WHERE n = 1 UNION ALL
+    SELECT e.user_id, e.n, (CASE WHEN fin THEN list_concat(b, new) ELSE list_concat(b[1:greatest(len(b) - len(new), 0)], new) END)[-80:] FROM buf JOIN ev e ON e.user_id = buf.user_id AND e.n = buf.n + 1),
+  h1 AS (SELECT user_id, n, text_slug, least(greatest(len(b), 4), 14) AS win, b[greatest(len(b) - least(greatest(len(b), 4), 14), 0) + 1:] AS hw FROM buf JOIN ev USING (user_id, n)),
+  h2 AS (SELECT user_id, n, text_slug, win, CASE WHEN len(hw) < 3 THEN [array_to_string(hw, '')] ELSE list_transform(range(1, len(hw) - 1), lambda i: hw[i] || hw[i + 1] || hw[i + 2]) END AS hg FROM h1),
+  q AS (SELECT user_id, n, text_slug, win, len(hg) + win - 2 AS total, gram, count(*) AS cq FROM (SELECT *, unnest(hg) AS gram FROM h2) GROUP BY ALL),
+  st AS (SELECT user_id, n, win, total, gram, cq, unnest(range(greatest(pos - (win - 3), 0), least(pos, len - win) + 1)) AS start FROM q JOIN g USING (text_slug, gram) JOIN lens USING (text_slug)),
+  sc AS (SELECT user_id, n, win, start, total, sum(hits) AS hits FROM (SELECT user_id, n, win, total, start, gram, least(count(*), cq) AS hits FROM st GROUP BY user_id, n, win, total, start, gram, cq) GROUP BY ALL),
+  c AS (SELECT user_id, n, list({{'s': start, 'w': win, 'x': 2.0 * hits / total}} ORDER BY 2.0 * hits / total DESC, start) AS c FROM sc WHERE 2.0 * hits / total >= 0.25 GROUP BY 1, 2),
+  rows AS (SELECT ev.user_id, ev.n, event_id, text_slug, c.c FROM ev LEFT JOIN c USING (user_id, n)),
+  walk AS (SELECT user_id, n, event_id, text_slug, c[1] AS m, false AS is_local, c[1].s AS hint FROM rows WHERE n = 1 UNION ALL
+    SELECT user_id, n, event_id, text_slug, coalesce(near, c[1]), near IS NOT NULL, coalesce(near.s, c[1].s, hint) FROM (
+      SELECT r.*, hint, CASE WHEN hint IS NOT NULL THEN list_filter(r.c, lambda z: z.s >= hint - 40 AND z.s + z.w <= hint + 81)[1] END AS near FROM walk JOIN rows r ON r.user_id = walk.user_id AND r.n = walk.n + 1))
+SELECT user_id, event_id, unit_id, m.s AS start, m.s + m.w AS "end", round(CAST(m.x AS DOUBLE), 6) AS score, is_local FROM walk JOIN tok ON tok.text_slug = walk.text_slug AND tok.pos = m.s WHERE m IS NOT NULL"""
+
+
 SQL_UPSERT = """SELECT * FROM supplier WHERE s_nationkey >= 10 UNION ALL
   SELECT s_suppkey, s_name, s_nationkey, round(s_acctbal + 1000, 2) FROM supplier WHERE s_nationkey < 10"""
 
@@ -601,6 +651,7 @@ QUERIES = {
         SELECT source, 'C1_OUTRO1' AS unit_id, 'intro' AS unit_kind, count(*) AS n_blocks,
         CAST(sum(len(regexp_extract_all(x, '\p{L}+'))) AS BIGINT) AS words FROM c WHERE x <> '' GROUP BY 1""",
     ),
+    "stream_matches": (stream_matches, SQL_MATCHES),
     "stream_latest": (
         stream_latest,
         """SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuskit.functions import text as T
-from corpuskit.operators.follow import best_window, with_units
+from corpuskit.operators.follow import FOLLOW_SCORE, NEIGHBOURHOOD, Index, best_window, utterances, windows, with_units
 
 # Fixed value: tokens remembered per session.
 BUFFER = 80
@@ -97,6 +97,70 @@ def follow_stream(utterances: DataFrame, sessions: DataFrame, grams: DataFrame,
     )
 
 
+def moving_matches(asked: DataFrame, hints: DataFrame, index: Index, min_score: float = FOLLOW_SCORE, neighbourhood: int = NEIGHBOURHOOD) -> DataFrame:
+    """``session_id, ts, seq, text_slug, start, end, score, is_local``, every match being the hint of the session's next one.
+
+    ``asked(session_id, ts, seq, text_slug, tokens)`` and the last known positions
+    ``hints(session_id, hint)``.  The windows of all utterances that reach ``min_score`` are
+    found together, whatever the hints; only the choice among them follows a session in order.
+    That walk takes the rows of one session and micro-batch at a time, with their few windows.
+    """
+    found = windows(utterances(asked.withColumn("utt_id", F.struct("session_id", "ts", "seq"))), index, min_score)
+    lists = found.groupBy("utt_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus_score"), "start", "win"))).alias("found"))
+    rows = lists.select("utt_id.*", "found.minus_score", "found.start", "found.win").join(asked.select("session_id", "ts", "seq", "text_slug"), ["session_id", "ts", "seq"])
+    rows = rows.join(hints, "session_id", "left").withColumn("ms", F.unix_micros("ts"))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ms", "seq"])
+        hint = rows["hint"].iloc[0]
+        hint, out = None if pd.isna(hint) else int(hint), []
+        for row in rows.itertuples(index=False):
+            near = () if hint is None else (i for i, (s, w) in enumerate(zip(row.start, row.win)) if s >= hint - neighbourhood / 2 and s + w <= hint + neighbourhood + 1)
+            local = next(iter(near), None)  # windows come best first, of equal ones the earlier
+            best = local or 0
+            hint = int(row.start[best])
+            out.append((row.session_id, row.ts, row.seq, row.text_slug, hint, hint + int(row.win[best]), -float(row.minus_score[best]), local is not None))
+        return pd.DataFrame(out, columns=["session_id", "ts", "seq", "text_slug", "start", "end", "score", "is_local"])
+
+    return rows.groupBy("session_id").applyInPandas(walk, MATCH_SCHEMA)
+
+
+MATCH_SCHEMA = "session_id string, ts timestamp, seq long, text_slug string, start long, end long, score double, is_local boolean"
+
+
+def match_stream(spoken: DataFrame, sessions: DataFrame, index: Index, root: str, min_score: float = FOLLOW_SCORE, neighbourhood: int = NEIGHBOURHOOD, **options):
+    """A stream writer that follows every session through its text with a moving hint.
+
+    The buffers are stream state.  Every micro-batch writes what was heard, the matches and the
+    last position of every session so far into folders ``epoch=N`` of ``root``; it starts from
+    the positions that the epoch before it left, so a repeated micro-batch gives the same rows.
+    ``spoken`` as in :func:`heard_buffers`, ``sessions(session_id, text_slug)``; ``index`` should be a stored one, it is read by every
+    micro-batch.
+    """
+
+    def follow(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{root}/heard/epoch={epoch}")  # the stateful part runs once
+        heard = spark.read.schema(HEARD_SCHEMA).parquet(f"{root}/heard/epoch={epoch}")
+        before = spark.createDataFrame([], HINT_SCHEMA) if epoch == 0 else spark.read.schema(HINT_SCHEMA).parquet(f"{root}/hints/epoch={epoch - 1}")
+        asked = heard.join(sessions, "session_id").select("session_id", "ts", "seq", "text_slug", F.col("heard").alias("tokens"))
+        moving_matches(asked, before, index, min_score, neighbourhood).write.mode("overwrite").parquet(f"{root}/matches/epoch={epoch}")
+        last = spark.read.schema(MATCH_SCHEMA).parquet(f"{root}/matches/epoch={epoch}").groupBy("session_id").agg(F.max_by("start", F.struct("ts", "seq")).alias("hint"))
+        after = before.join(last, "session_id", "left_anti").unionByName(last)
+        after.write.mode("overwrite").parquet(f"{root}/hints/epoch={epoch}")
+
+    return heard_buffers(spoken, **options).writeStream.outputMode("append").foreachBatch(follow)
+
+
+HINT_SCHEMA = "session_id string, hint long"
+
+
+def matches_of(spark: SparkSession, root: str, corpus: DataFrame | None = None) -> DataFrame:
+    """The matches that :func:`match_stream` wrote; ``corpus`` adds the unit in which a match starts."""
+    rows = spark.read.schema(MATCH_SCHEMA).parquet(f"{root}/matches")
+    return rows if corpus is None else with_units(rows, corpus)
+
+
 def latest_stream(events: DataFrame, keys: list[str], order: list[str], path: str):
     """A stream writer that keeps the newest row per key in the Parquet folder ``path``.
 

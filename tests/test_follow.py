@@ -163,3 +163,25 @@ def test_every_text_is_searched(spark, sf, tmp_path):
     everywhere = corpus.sparkSession.createDataFrame([(1, "one two three four five six".split(), None)], "utt_id int, tokens array<string>, hint bigint")
     assert {r.text_slug for r in W.best_window(everywhere, both).collect()} == slugs
     assert "xx" in {r.text_slug for r in texts.best_window(spark, str(tmp_path)).collect()}
+
+
+def test_matches_move_the_hint(spark, tmp_path):
+    """Interim and final rows over several micro-batches give the rows of one batch, each match being the next one's hint."""
+    words = [f"w{i}" for i in range(400)] + [f"w{i}" for i in range(100, 130)]  # 100 to 129 occur twice
+    corpus = spark.createDataFrame([("t", i, w, f"u{i // 50}", i % 50) for i, w in enumerate(words)], "text_slug string, pos bigint, token string, unit_id string, unit_offset int")
+    index = W.build_index(W.corpus_grams(corpus), stored=True)
+    said = [("a", words[300:308], True), ("a", words[306:311], False), ("b", words[100:110], True), ("a", words[380:390], True), ("a", words[100:112], True), ("a", ["x"] * 14, True), ("a", words[402:412], True), ("b", words[104:116], True)]
+    rows = [{"session_id": s, "ts": f"2024-01-01T00:00:{i:02d}.000", "seq": i, "transcript": " ".join(w), "is_final": f} for i, (s, w, f) in enumerate(said)]
+    sessions = spark.createDataFrame([("a", "t"), ("b", "t")], "session_id string, text_slug string")
+    got = {}
+    for name, batches in (("one", [rows]), ("many", [rows[:3], rows[3:5], rows[5:7], rows[7:]])):
+        write_batches(tmp_path / name, batches)
+        stream = spark.readStream.schema("session_id string, ts timestamp, seq long, transcript string, is_final boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / name))
+        root = str(tmp_path / f"{name}-out")
+        S.run_available(S.match_stream(stream, sessions, index, root, tokens=texts.T.space_tokens), f"{root}/log")
+        found = S.matches_of(spark, root, corpus).select("session_id", "seq", "unit_id", "start", "end", "is_local").collect()
+        got[name] = sorted(tuple(r) for r in found)
+    assert got["one"] == got["many"]
+    # near the end of the text the second copy of the repeated words wins, without a hint the first
+    starts = {r[1]: (r[3], r[5]) for r in got["one"]}
+    assert starts[2] == (100, False) and starts[4][0] >= 396 and starts[4][1] and starts[7][1] and 5 not in starts
