@@ -1,19 +1,16 @@
 """Splitting words into known parts.
 
 All candidate parts of all words are looked up at once (one join on the distinct
-parts); only the best arrangement of a word's own parts is left to a small
-vectorised helper, whose work is bounded by the word length.
+parts); the best arrangement of a word's own parts is a dynamic programme over its
+boundaries, written as array functions, whose work is bounded by the word length.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from corpuskit.functions import text as T
 from corpuskit.operators.resolve import lemma_candidates
@@ -26,17 +23,6 @@ NO_CHANGE = ("", "", "", "no-sandhi")
 # Credit of a known part and of a part known through its lemma, in tenths.
 KNOWN, VIA_LEMMA = 10, 6
 
-SPLITS = ArrayType(
-    StructType(
-        [
-            StructField("parts", ArrayType(StringType())),
-            StructField("rules", ArrayType(StringType())),
-            StructField("tenths", IntegerType()),
-        ]
-    )
-)
-
-
 def _rule_array(rules: Sequence[tuple[str, str, str, str]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("mark", "left", "right", "rule"))]) for r in rules])
 
@@ -81,58 +67,69 @@ def candidate_parts(words: DataFrame, rules: Sequence[tuple[str, str, str, str]]
     )
 
 
-def best_splits(segments: list[str], credit: dict[str, int], rules, max_parts: int, keep: int, count) -> list:
-    """The best arrangements: highest mean credit, then fewer parts, then earliest cuts."""
-    n = len(segments)
-    options: list[list] = [[] for _ in range(n)]
-    for i in range(1, n):
-        end = segments[i - 1]
-        for r, (mark, left, right, _) in enumerate(rules):
-            if not mark or (end.endswith(mark) and not end.endswith(VIRAMA + mark)):
-                options[i].append((r, len(mark), left, right))
-    raw = {}
-    for i in range(n):
-        text = ""
-        for j in range(i, n):
-            text += segments[j]
-            raw[i, j + 1] = text
-    tails: dict = {}
-    steps: dict = {}
-
-    def first_parts(i: int, add: str) -> list:
-        """Every admissible next part from boundary ``i``: its place, credit and what follows."""
-        known = steps.get((i, add))
-        if known is None:
-            known = steps[i, add] = []
-            for j in range(i + 1, n):
-                for r, cut, left, right in options[j]:
-                    piece = add + (raw[i, j][:-cut] if cut else raw[i, j]) + left
-                    if piece and count(piece) >= 2:
-                        known.append((j, (j, r), right, piece, credit.get(piece, 0)))
-        return known
-
-    def tail(i: int, add: str, parts: int) -> list:
-        """Best ways to cut everything from boundary ``i`` into ``parts`` parts."""
-        found = tails.get((i, add, parts))
-        if found is None:
-            if parts == 1:
-                last = add + raw[i, n]
-                found = [(-credit.get(last, 0), (), (last,))]
-            else:
-                found = [
-                    (rest[0] - own, (cut, *rest[1]), (piece, *rest[2]))
-                    for j, cut, right, piece, own in first_parts(i, add)
-                    for rest in tail(j, right, parts - 1)
-                ]
-                found = [min(found)] if keep == 1 and found else sorted(found)[:keep]
-            tails[i, add, parts] = found
-        return found
-
-    ranked = []
-    for parts in range(2, max_parts + 1):
-        ranked += [(total / parts, parts, path, names, -total) for total, path, names in tail(0, "", parts)]
-    ranked.sort(key=lambda f: f[:3])
-    return [(list(names), [rules[r][3] for _, r in path], total) for _, _, path, names, total in ranked[:keep]]
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def best_splits(rules: Sequence[tuple[str, str, str, str]], max_parts: int, keep: int, count: Callable[[Column], Column]) -> Column:
+    """The best arrangements ``(mean, parts, path, names, total)`` of a word: highest mean credit, then fewer parts, then earliest cuts.
+
+    Reads ``token``, its ``segments`` and the map ``credit`` of known parts in tenths.  A
+    dynamic programme from the last boundary to the first: for every boundary, every rule that
+    fits it and every number of parts it holds the ``keep`` best ways to cut what follows, as
+    (credit taken off 0, path of (boundary, rule), parts), which sort as they are to be ranked.
+    """
+    size = F.size("segments")
+    table = F.array(*[F.struct(F.lit(i).alias("r"), *[F.lit(v).alias(n) for v, n in zip(rule, ("mark", "left", "right"))]) for i, rule in enumerate(rules)])
+    offs = F.transform(F.sequence(F.lit(0), size), lambda i: F.length(F.array_join(F.slice("segments", F.lit(1), i), "")))
+
+    def options(i: Column) -> Column:
+        if len(rules) == 1:
+            return table
+        end = F.get("segments", i - 1)
+        return F.filter(table, lambda o: (o["mark"] == "") | (F.endswith(end, o["mark"]) & ~F.endswith(end, F.concat(F.lit(VIRAMA), o["mark"]))))
+
+    opts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i == 0, F.slice(table, 1, 1)).otherwise(options(i)))
+    own = lambda piece: -F.coalesce(F.try_element_at("credit", piece), F.lit(0))
+    step = "struct<total: int, path: array<struct<j: int, r: int>>, names: array<string>>"
+
+    def programme(w: Column) -> Column:
+        offs, opts = w["offs"], w["opts"]
+        cut = lambda i, j, o, p: F.concat(o["right"], F.substr("token", F.get(offs, i) + 1, F.greatest(F.get(offs, j) - F.get(offs, i) - F.length(p["mark"]), F.lit(0))), p["left"])
+
+        def spans(i: Column, o: Column) -> Column:
+            """Every admissible next part from boundary ``i``: where it ends, by which rule, its text and credit."""
+            inner = F.when(i + 1 < size, F.sequence(i + 1, size - 1)).otherwise(F.array().cast("array<int>"))
+            one = lambda j, p, q: F.struct(j.alias("j"), q.alias("q"), p["r"].alias("r"), cut(i, j, o, p).alias("piece"))
+            every = F.flatten(F.transform(inner, lambda j: F.transform(F.get(opts, j), lambda p, q: one(j, p, q))))
+            return F.transform(F.filter(every, lambda x: (x["piece"] != "") & (count(x["piece"]) >= 2)), lambda x: x.withField("own", own(x["piece"])))
+
+        def ways(found: Column, i: Column, o: Column) -> Column:
+            """By number of parts: the best ways to cut from boundary ``i`` on; ``found`` holds the later boundaries."""
+            last = F.concat(o["right"], F.substr("token", F.get(offs, i) + 1, F.length("token")))
+            whole = F.array(F.struct(own(last).alias("total"), F.array().cast("array<struct<j: int, r: int>>").alias("path"), F.array(last).alias("names")).cast(step))
+
+            def more(x: Column, rest: Column) -> Column:
+                way = (x["own"] + rest["total"]).alias("total"), F.concat(F.array(F.struct(x["j"].alias("j"), x["r"].alias("r"))), rest["path"]).alias("path")
+                return F.struct(*way, F.concat(F.array(x["piece"]), rest["names"]).alias("names")).cast(step)
+
+            def level(levels: Column, k: Column, parts: Column) -> Column:
+                rests = lambda x: F.get(F.get(F.get(found, size - 1 - x["j"]), x["q"]), k - 2)
+                every = F.flatten(F.transform(parts, lambda x: F.transform(rests(x), lambda rest: more(x, rest))))
+                best = F.filter(F.array(F.array_min(every)), lambda x: x.isNotNull()) if keep == 1 else F.slice(F.array_sort(every), 1, keep)
+                return F.concat(levels, F.array(best))
+
+            most = F.when(i == 0, max_parts).otherwise(max_parts - 1)
+            return _let(spans(i, o), lambda parts: F.aggregate(F.when(most > 1, F.sequence(F.lit(2), most)).otherwise(F.array().cast("array<int>")), F.array(whole), lambda levels, k: level(levels, k, parts)))
+
+        empty = F.array().cast(f"array<array<array<array<{step}>>>>")
+        return F.aggregate(F.sequence(size - 1, F.lit(0), F.lit(-1)), empty, lambda found, i: F.concat(found, F.array(F.transform(F.get(opts, i), lambda o: ways(found, i, o)))))
+
+    table_of = _let(F.struct(offs.alias("offs"), opts.alias("opts")), programme)
+    first = F.slice(F.get(F.get(table_of, size - 1), F.lit(0)), 2, max_parts - 1)  # two parts or more
+    ranked = F.flatten(F.transform(first, lambda ways: F.transform(ways, lambda x: F.struct((x["total"] / F.size(x["names"])).alias("mean"), F.size(x["names"]).alias("parts"), x["path"].alias("path"), x["names"].alias("names"), (-x["total"]).alias("total")))))
+    return F.slice(F.array_sort(ranked), 1, keep)
 
 
 def split_compounds(
@@ -146,7 +143,7 @@ def split_compounds(
     keep: int = 4,
     min_score: float = 0.5,
     strict: bool = True,
-    count: Callable[[str], int] | None = None,
+    count: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Best splits of every token into two or more parts: ``rank, parts, rules, score``.
 
@@ -180,19 +177,16 @@ def split_compounds(
     per_word = (
         parts.join(credits.hint("merge"), "part")
         .groupBy("token")
-        .agg(F.collect_set(F.struct("part", "credit")).alias("credit"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("part", "credit"))).alias("credit"))
         .join(words.hint("merge"), "token")
     )
-    @F.pandas_udf(SPLITS)
-    def arrange(segs: pd.Series, credit: pd.Series) -> pd.Series:
-        return pd.Series([best_splits(list(s), {e["part"]: e["credit"] for e in c}, rules, max_parts, keep, count) for s, c in zip(segs, credit)])
-
-    out = per_word.select("token", F.posexplode(arrange("segments", "credit")).alias("at", "s")).select(
+    names = F.array(*[F.lit(r[3]) for r in rules])
+    out = per_word.select("token", F.posexplode(best_splits(rules, max_parts, keep, count)).alias("at", "s")).select(
         "token",
         F.col("at").alias("at"),
-        F.col("s.parts").alias("parts"),
-        F.col("s.rules").alias("rules"),
-        (F.col("s.tenths") / (10 * F.size("s.parts"))).alias("score"),
+        F.col("s.names").alias("parts"),
+        F.transform("s.path", lambda p: F.get(names, p["r"])).alias("rules"),
+        (F.col("s.total") / (10 * F.col("s.parts"))).alias("score"),
     )
     good = F.col("score") > min_score + 1e-9 if strict else F.col("score") >= min_score - 1e-9
     return out.filter(good).withColumn("rank", F.col("at") + 1).drop("at")
@@ -251,9 +245,5 @@ def characters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
-def akshara_count(piece: str) -> int:
-    return len(re.findall(T.AKSHARA, piece))
-
-
 # How to count the segments of a string, by the segmenter that cuts words.
-COUNTERS = {characters: len, T.aksharas: akshara_count}
+COUNTERS = {characters: F.length, T.aksharas: lambda c: F.size(T.aksharas(c))}

@@ -183,18 +183,20 @@ SQL_HEADS = "heads AS (SELECT head, arg_min(dict_id, dict_order) AS via, min(dic
 
 
 def sql_splits(open_: str, name: str, threshold: str, use_rules: str = "rules_and_manual", heads: str = "heads", most: int = 5) -> str:
-    """Best splits into two to ``most`` parts of the tokens of ``open_``, by enumeration.
+    """Best splits into two to ``most`` parts of the tokens of ``open_``.
 
-    Level k holds every way to cut k parts of pos least two characters off the front; what is
-    left is the last part.
+    Level k holds the four best ways, per place reached, to cut k parts of at least two
+    characters off the front (what follows adds the same to each); what is left is the last part.
     """
     man = "UNION ALL SELECT form, lemma FROM manual" if use_rules == "rules_and_manual" else ""
     levels = [f"""{name}_1 AS (SELECT t.token, n, pos, coalesce(c, 0) AS tenths, [pos] AS cuts FROM
       (SELECT token, length(token) AS n, unnest(range(2, length(token))) AS pos FROM {open_} WHERE length(token) > 2) t
       LEFT JOIN {name}_c a ON a.token = t.token AND a.s = 0 AND a.e = pos)"""]
+    best = "row_number() OVER (PARTITION BY t.token, nx ORDER BY tenths + coalesce(c, 0) DESC, list_append(cuts, nx))"
     for k in range(2, most):
         levels.append(f"""{name}_{k} AS (SELECT t.token, n, nx AS pos, tenths + coalesce(c, 0) AS tenths, list_append(cuts, nx) AS cuts FROM
-      (SELECT *, unnest(range(pos + 2, n)) AS nx FROM {name}_{k - 1}) t LEFT JOIN {name}_c a ON a.token = t.token AND a.s = t.pos AND a.e = nx)""")
+      (SELECT *, unnest(range(pos + 2, n)) AS nx FROM {name}_{k - 1}) t LEFT JOIN {name}_c a ON a.token = t.token AND a.s = t.pos AND a.e = nx
+      QUALIFY {best} <= 4)""")
     whole = " UNION ALL ".join(f"SELECT *, {k + 1} AS k FROM {name}_{k}" for k in range(1, most))
     return f"""{name}_sub AS (SELECT token, s, e, substr(token, s + 1, e - s) AS part FROM (SELECT token, s, unnest(range(s + 1, length(token) + 1)) AS e
       FROM (SELECT token, unnest(range(0, length(token))) AS s FROM {open_} WHERE length(token) > 2))
