@@ -86,6 +86,14 @@ def lookup_glosses(
     return exact.select(cols).unionByName(by_stem.select(cols))
 
 
+def in_every_text(terms: DataFrame, glosses: DataFrame, stem: Column | None = None) -> DataFrame:
+    """``terms`` with the ``text_slug`` of every text that defines the term or its stem; the others can have no definition."""
+    stem = conservative_stem(F.col("term")) if stem is None else stem
+    written = F.explode(F.array_distinct(F.array("term", "__stem"))).alias("__written")
+    keys = glosses.select("text_slug", F.col("term").alias("__written")).distinct()
+    return terms.withColumn("__stem", stem).select(*terms.columns, written).join(keys, "__written").select(*terms.columns, "text_slug").distinct()
+
+
 def token_glosses(tokens: DataFrame, candidates: DataFrame, glosses: DataFrame, limit: int = 6) -> DataFrame:
     """Definitions of a token and of its lemma candidates: no repeats, best first.
 

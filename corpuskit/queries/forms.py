@@ -16,26 +16,26 @@ from corpuskit.sources import sinks
 from corpuskit.sources.files import translation_lines
 
 
-def ascii_words(spark, sf):
-    """Words of plain letters; the conversions run once per distinct word."""
-    return materialised(vocabulary(spark, sf).filter(F.col("token").rlike("^[a-z]+$")).select("token"), "token")
+def words(spark, sf):
+    """All words; the conversions run once per distinct word, letters outside the romanisation stay as they are."""
+    return materialised(vocabulary(spark, sf).select("token"), "token")
 
 
 def script_round_trip(spark, sf):
-    """Every plain word read as a romanisation and written back."""
-    return ascii_words(spark, sf).select("token", S.to_roman(S.from_roman(F.col("token"), "hk"), "hk").alias("back"))
+    """Every word read as a romanisation and written back."""
+    return words(spark, sf).select("token", S.to_roman(S.from_roman(F.col("token"), "hk"), "hk").alias("back"))
 
 
 def akshara_counts(spark, sf):
-    """Syllables of every plain word in the canonical script."""
-    return ascii_words(spark, sf).select("token", F.size(T.aksharas(S.from_roman(F.col("token"), "hk"))).alias("n_aksharas"))
+    """Syllables of every word in the canonical script."""
+    return words(spark, sf).select("token", F.size(T.aksharas(S.from_roman(F.col("token"), "hk"))).alias("n_aksharas"))
 
 
 def block_round_trip(spark, sf):
     """Canonical script to another script of the same layout and back."""
     native = S.from_roman(F.col("token"), "hk")
     back = S.to_roman(S.from_script(S.convert(native, "kannada"), "kannada"), "hk")
-    return ascii_words(spark, sf).select("token", back.alias("back"))
+    return words(spark, sf).select("token", back.alias("back"))
 
 
 def detect_scripts(spark, sf):
@@ -146,15 +146,15 @@ def query_variants(spark, sf):
     return spread(words, "token").select("token", F.explode(S.query_variants(F.col("token"))).alias("variant"))
 
 
-ASCII = f"WITH {SQL_VOCAB}, w AS (SELECT token FROM vocab WHERE regexp_full_match(token, '[a-z]+'))"
+SQL_WORDS = f"WITH {SQL_VOCAB}, w AS (SELECT token FROM vocab)"
 
 QUERIES = {
-    "script_round_trip": (script_round_trip, f"{ASCII} SELECT token, token AS back FROM w"),
-    "block_round_trip": (block_round_trip, f"{ASCII} SELECT token, token AS back FROM w"),
+    "script_round_trip": (script_round_trip, f"{SQL_WORDS} SELECT token, token AS back FROM w"),
+    "block_round_trip": (block_round_trip, f"{SQL_WORDS} SELECT token, token AS back FROM w"),
     "akshara_counts": (
         akshara_counts,
-        f"""{ASCII} SELECT token, CAST(len(regexp_extract_all(token,
-        '[bcdghjklmnprstvyz]*(?:ai|au|[aeiou])|[bcdghjklmnprstvyz]+|[fqwx]')) AS INTEGER) AS n_aksharas FROM w""",
+        f"""{SQL_WORDS} SELECT token, CAST(len(regexp_extract_all(token,
+        '[bcdghjklmnprstvyz]*(?:ai|au|[aeiou])|[bcdghjklmnprstvyz]+|[^abcdeghijklmnoprstuvyz]')) AS INTEGER) AS n_aksharas FROM w""",
     ),
     "detect_scripts": (
         detect_scripts,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -33,22 +34,25 @@ def glosses_top(spark, sf):
 
 
 def gloss_lookup(spark, sf):
-    """Definitions of the benchmark words in the English and French texts, exact or without a final s, e or n."""
+    """Definitions of the benchmark words in every text, exact or without a final s, e or n."""
     table = materialised(glosses_top(spark, sf), "term")
     words = read(spark, sf, "benchmark").select(F.explode(T.matches(F.col("text"), T.LATIN_WORD)).alias("term")).distinct()
-    terms = words.select(F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("text_slug"), "term")
-    found = glosses.lookup_glosses(terms, table, stem=F.regexp_replace("term", "[sen]+$", ""))
+    stem = F.regexp_replace("term", "[sen]+$", "")
+    found = glosses.lookup_glosses(glosses.in_every_text(words, table, stem), table, stem=stem)
     return found.select("text_slug", "term", "unit_id", "rule", "score", "rank")
 
 
 def token_glosses(spark, sf):
+    """Definitions of the benchmark words and of their lemma candidates, in every text."""
     table = materialised(glosses_top(spark, sf), "term")
     words = read(spark, sf, "benchmark").select(F.explode(T.matches(F.lower("text"), T.LATIN_WORD)).alias("token")).distinct()
     from corpuskit.operators.resolve import lemma_candidates
 
     rules = rule_table(spark, [("s", "", "plural"), ("ed", "", "past"), ("ing", "", "participle")])
-    tokens = words.select(F.lit("en").alias("text_slug"), "token")
-    return glosses.token_glosses(tokens, lemma_candidates(words, None, rules), table).select("token", "unit_id", "rule", "score", "rank")
+    candidates = materialised(lemma_candidates(words, None, rules), "token")
+    terms = words.select("token", F.col("token").alias("term")).unionByName(candidates.select("token", F.col("lemma").alias("term")))
+    tokens = glosses.in_every_text(terms, table).select("text_slug", "token").distinct()
+    return glosses.token_glosses(tokens, candidates, table).select("text_slug", "token", "unit_id", "rule", "score", "rank")
 
 
 PRIORS = [
@@ -347,13 +351,21 @@ def stream_folder(spark) -> str:
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def event_batches(spark, sf, parts: int = 3):
-    """The events as a bounded file stream of several micro-batches, cut by time."""
+def event_batches(spark, sf, parts: int = 3, closing_days: int | None = None):
+    """The events as a bounded file stream of several micro-batches, cut by time, and its folder.
+
+    With ``closing_days`` a last file holds one row without user, so many days after the newest
+    event: it moves the watermark, so that everything that waits is closed.
+    """
     events, root = read(spark, sf, "events"), stream_folder(spark)
     first, last = events.agg(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).first()
     cut = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first))) * parts / F.greatest(F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)), F.lit(1))), F.lit(parts - 1))
     for i in range(parts):  # files are taken by age
         events.filter(cut == i).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    if closing_days is not None:
+        late = {"ts": F.lit(last + datetime.timedelta(days=closing_days)) if last else F.lit(None)}
+        nobody = [late.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]
+        spark.range(1).select(*nobody).coalesce(1).write.mode("append").parquet(f"{root}/events")
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events"), root
 
 
@@ -402,14 +414,12 @@ def stream_follow(spark, sf):
 
 
 def stream_debounced(spark, sf):
-    """Events of a user that no other one follows within six hours, from the stream."""
-    events = event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    closed, root = streams.debounce_stream(events, ["user_id"], "ts", "event_id", gap_ms=6 * 3_600_000), stream_folder(spark)
+    """Events of a user that no other one follows within six hours, the newest included, from the stream."""
+    stream, root = event_batches(spark, sf, closing_days=2)
+    events = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    closed = streams.debounce_stream(events, ["user_id"], "ts", "event_id", gap_ms=6 * 3_600_000)
     streams.run_available(streams.into_folder(closed, f"{root}/rows"), f"{root}/log")
-    # The newest event of a user is closed by the watermark alone, which depends on the micro-batches: leave it out.
-    table = spark.read.schema(closed.schema).parquet(f"{root}/rows")
-    newest = read(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-    return table.join(newest, ["user_id", "event_id"], "left_anti").select("user_id", "event_id")
+    return spark.read.schema(closed.schema).parquet(f"{root}/rows").filter("user_id IS NOT NULL").select("user_id", "event_id")
 
 
 SQL_BODY = """b AS (SELECT lang AS text_slug, doc_id AS unit_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ') AS body FROM documents)"""
@@ -515,7 +525,7 @@ QUERIES = {
         gloss_lookup,
         SQL_GLOSS
         + r""", w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS term FROM benchmark),
-        t AS (SELECT s AS text_slug, term, regexp_replace(term, '[sen]+$', '') AS stem FROM w, (VALUES ('en'), ('fr')) v(s)),
+        t AS (SELECT s AS text_slug, term, regexp_replace(term, '[sen]+$', '') AS stem FROM w, (SELECT DISTINCT text_slug AS s FROM glosses) v),
         k AS (SELECT * FROM glosses WHERE rank <= 5), x AS (SELECT t.text_slug, t.term, unit_id, rule, score, rank FROM t JOIN k USING (text_slug, term))
         SELECT * FROM x UNION ALL SELECT t.text_slug, t.term, k.unit_id, k.rule, k.score, k.rank FROM t JOIN k ON t.text_slug = k.text_slug AND t.stem = k.term
         WHERE t.stem <> t.term AND length(t.stem) >= 3 AND (t.text_slug, t.term) NOT IN (SELECT (text_slug, term) FROM x)""",
@@ -527,9 +537,9 @@ QUERIES = {
         r(seq, suffix) AS (VALUES (1, 'ing'), (2, 'ed'), (3, 's')),
         c AS (SELECT token, token AS term, -1 AS seq FROM w UNION ALL SELECT token, substr(token, 1, length(token) - length(suffix)), seq
           FROM w JOIN r ON ends_with(token, suffix) AND length(token) > length(suffix)),
-        k AS (SELECT * FROM glosses WHERE rank <= 5 AND text_slug = 'en'), f AS (SELECT token, seq, k.* FROM c JOIN k USING (term)),
-        o AS (SELECT token, unit_id, snippet, arg_min({'r': rule, 's': score, 'q': seq, 'k': rank}, seq * 100 + rank) AS g FROM f GROUP BY 1, 2, 3)
-        SELECT token, unit_id, g.r AS rule, g.s AS score, CAST(row_number() OVER (PARTITION BY token ORDER BY g.s DESC, g.q, g.k, unit_id) AS INTEGER) AS rank
+        k AS (SELECT * FROM glosses WHERE rank <= 5), f AS (SELECT token, seq, k.* FROM c JOIN k USING (term)),
+        o AS (SELECT text_slug, token, unit_id, snippet, arg_min({'r': rule, 's': score, 'q': seq, 'k': rank}, seq * 100 + rank) AS g FROM f GROUP BY 1, 2, 3, 4)
+        SELECT text_slug, token, unit_id, g.r AS rule, g.s AS score, CAST(row_number() OVER (PARTITION BY text_slug, token ORDER BY g.s DESC, g.q, g.k, unit_id) AS INTEGER) AS rank
         FROM o QUALIFY rank <= 6""",
     ),
     "sense_rerank": (
@@ -660,7 +670,7 @@ QUERIES = {
     "stream_debounced": (
         stream_debounced,
         """SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events)
-        WHERE epoch_ms(nx) - epoch_ms(ts) >= 6 * 3600000""",
+        WHERE nx IS NULL OR epoch_ms(nx) - epoch_ms(ts) >= 6 * 3600000""",
     ),
     "stream_follow": (
         stream_follow,
