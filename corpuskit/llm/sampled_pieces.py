@@ -20,8 +20,11 @@ texts give equal pieces; other columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 
 LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 SEGMENT = re.compile(rf"\n| *{LETTERS}++(?=[^\w\s])| *[^ \n]+| +")
-CHUNK = 400_000  # segments sampled together
+CHUNK = 1_200_000  # segments sampled together
+LONG = 2_000  # characters from which a segment is walked place by place
 
 
 class Pieces:
@@ -113,10 +117,14 @@ class Pieces:
         order = np.argsort(end, kind="stable")
         first, size, picked, weight, start, end = (x[order] for x in (first, size, picked, weight, start, end))
         reach = place[first] + size
-        # Forward sums, all segments at once, from place to place.
+        # Forward sums, all segments at once, from place to place; long ones one by one.
         forward = np.zeros(len(codes) + len(segments))
-        by_reach = np.argsort(reach, kind="stable")
-        bounds = np.append(0, np.cumsum(np.bincount(reach)))
+        for d in np.flatnonzero(lengths >= LONG).tolist():
+            node = int(lengths[:d].sum()) + d
+            self.walk(forward, node, *(x[np.searchsorted(end, node) : np.searchsorted(end, node + int(lengths[d]), side="right")] for x in (start, end, weight)))
+        short = np.flatnonzero(lengths[segment[first]] < LONG)
+        by_reach = short[np.argsort(reach[short], kind="stable")]
+        bounds = np.append(0, np.cumsum(np.bincount(reach[short]))) if len(short) else np.zeros(1, np.int64)
         for a, b in zip(bounds[:-1], bounds[1:]):
             if a == b:
                 continue
@@ -133,6 +141,18 @@ class Pieces:
         run[np.append(heads[1:], len(end)) - 1] = 1.0
         return place[first], end, picked, run
 
+    @staticmethod
+    def walk(forward: np.ndarray, base: int, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> None:
+        """Forward sums of one segment, whose edges come by end node."""
+        sums, values, at = [0.0], [], 1
+        for s, e, w in chain(zip((start - base).tolist(), (end - base).tolist(), weight.tolist()), [(0, -1, 0.0)]):
+            if e != at:
+                top = max(values)
+                sums.append(top + math.log(sum(math.exp(v - top) for v in values)))
+                values, at = [], e
+            values.append(sums[s] + w)
+        forward[base : base + len(sums)] = sums
+
     def decode(self, ids) -> str:
         """The text of a list of ids; lossless for ids made by this module."""
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -149,49 +169,74 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def draws(keys: np.ndarray, places: np.ndarray, step: int, seed: int) -> np.ndarray:
+def draws(keys: np.ndarray, places: np.ndarray, step: int | np.ndarray, seed: int) -> np.ndarray:
     """Uniform numbers in [0, 1) from row key, segment number and step."""
     mix = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         x = mix(keys + np.uint64(seed * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-        x = mix(x ^ mix(places * np.uint64(0xD1342543DE82EF95) + np.uint64(step + 1)))
+        x = mix(x ^ mix(places * np.uint64(0xD1342543DE82EF95) + np.asarray(step + 1).astype(np.uint64)))
         x = mix(x ^ (x >> np.uint64(29)))
     return ((x ^ (x >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
+def walk_back(first: np.ndarray, starts: np.ndarray, picked: np.ndarray, shares: np.ndarray, u: np.ndarray) -> list[int]:
+    """The pieces of one long segment, drawn from its end; ``first`` holds the edges of its nodes."""
+    low = int(first[0])
+    first = (first - low).tolist()
+    starts, picked, shares, out = starts[low : low + first[-1]].tolist(), picked[low : low + first[-1]].tolist(), shares[low : low + first[-1]].tolist(), []
+    node, draw = len(first) - 2, iter(u.tolist())
+    while node:
+        edge, x = first[node], next(draw)
+        while shares[edge] <= x:
+            edge += 1
+        out.append(picked[edge])
+        node = starts[edge]
+    return out[::-1]
+
+
 def sample_chunk(vocabulary: Pieces, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
     """Sampled ids of every text."""
     segments = [SEGMENT.findall(" " + t) if t else [] for t in texts]
-    number: dict[str, int] = {}
-    which = np.fromiter((number.setdefault(s, len(number)) for row in segments for s in row), np.int64)
+    number: dict[str, int] = defaultdict(count().__next__)
+    which = np.fromiter(map(number.__getitem__, chain.from_iterable(segments)), np.int64, sum(map(len, segments)))
     if not len(which):
         return [np.zeros(0, np.int64) for _ in texts]
     distinct = list(number)
     lengths = np.fromiter(map(len, distinct), np.int64)
     base = np.cumsum(lengths) - lengths + np.arange(len(distinct))
     starts, node_of_edge, picked, shares = vocabulary.lattices(distinct)
-    ladder = node_of_edge + shares  # a draw u at node n is the first edge with n + u < ladder
+    first = np.searchsorted(node_of_edge, np.arange(int(base[-1] + lengths[-1]) + 2))  # edges of a node
     per_row = np.array([len(row) for row in segments])
     row = np.repeat(np.arange(len(texts)), per_row)
     place = (np.arange(len(which)) - np.repeat(np.cumsum(per_row) - per_row, per_row)).astype(np.uint64)
     key = np.array(keys, np.int64).astype(np.uint64)[row]
-    active, node, step, taken = np.arange(len(which)), base[which] + lengths[which], 0, []
+    drawn = np.zeros(len(which), np.int64)
+    walked = {}
+    for i in np.flatnonzero(lengths[which] >= LONG).tolist():
+        a, n = int(base[which[i]]), int(lengths[which[i]])
+        walked[i] = walk_back(first[a : a + n + 2], starts, picked, shares, draws(key[i : i + 1], place[i : i + 1], np.arange(n), seed))
+        drawn[i] = len(walked[i])
+    active, step, taken = np.flatnonzero(lengths[which] < LONG), 0, []
+    node = (base + lengths)[which[active]]
     while len(active):
-        edge = np.searchsorted(ladder, node + draws(key[active], place[active], step, seed), side="right")
-        edge = np.minimum(edge, len(ladder) - 1)
-        edge = np.where(node_of_edge[edge] > node, edge - 1, edge)  # a draw next to 1 may round up
+        edge, u = first[node], draws(key[active], place[active], step, seed)
+        more = np.flatnonzero(shares[edge] <= u)
+        while len(more):  # the first edge whose cumulated share is above the draw; the last one's is 1
+            edge[more] += 1
+            more = more[shares[edge[more]] <= u[more]]
         taken.append((active, picked[edge]))
         start = starts[edge]
         more = start > 0
         active, node, step = active[more], base[which[active[more]]] + start[more], step + 1
     # The pieces of a segment were drawn from its end.
-    drawn = np.zeros(len(which), np.int64)
     for who, _ in taken:
         drawn[who] += 1
     offset = np.cumsum(drawn)
     ids = np.zeros(int(offset[-1]), np.int64)
     for t, (who, what) in enumerate(taken):
         ids[offset[who] - 1 - t] = what
+    for i, what in walked.items():
+        ids[offset[i] - len(what) : offset[i]] = what
     ends = np.concatenate([[0], offset])[np.cumsum(per_row)]
     out = []
     for i, end in enumerate(ends):

@@ -50,6 +50,25 @@ def test_lossless(spark):
     assert got.filter("NOT lossless").count() == 0 and got.count() == 1000
 
 
+def test_long_unbroken_text():
+    """A segment of any length is walked in linear time and sampled as it is in short steps."""
+    import time
+
+    v = S.pieces(S.default_model(), 0.5)
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdefghij日本etaon"), 100_000))
+    start = time.time()
+    ids = S.sample_chunk(v, ["a b", long, "c d"], [1, 2, 3], 1)
+    assert time.time() - start < 3 and [v.decode(i.tolist()) for i in ids] == ["a b", long, "c d"]
+    same = long[:3000]
+    walked = S.sample_chunk(v, ["x y", same], [1, 2], 1)
+    limit, S.LONG = S.LONG, 10**9
+    try:
+        assert [w.tolist() for w in S.sample_chunk(v, ["x y", same], [1, 2], 1)] == [w.tolist() for w in walked]
+    finally:
+        S.LONG = limit
+
+
 def test_reproducible_by_row_key(spark, odd_docs):
     a = S.sample(odd_docs.repartition(1)).toPandas().sort_values(["doc_id", "ids_crc32"])
     b = S.sample(odd_docs.repartition(5)).toPandas().sort_values(["doc_id", "ids_crc32"])
