@@ -9,8 +9,9 @@ are touched for the hits alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
@@ -59,6 +60,67 @@ def build_postings(docs: DataFrame, forms: Forms = latin_forms) -> tuple[DataFra
     return vocab, postings
 
 
+def unit_forms(vocab: DataFrame, postings: DataFrame) -> DataFrame:
+    """``text_slug, unit_id, u_native, u_ascii``: the forms of all tokens of a unit, in one string each."""
+    return (
+        postings.join(vocab.select("token", "native", "ascii"), "token")
+        .groupBy("text_slug", "unit_id")
+        .agg(F.array_join(F.collect_list("native"), " ").alias("u_native"), F.array_join(F.collect_list("ascii"), " ").alias("u_ascii"))
+    )
+
+
+class Index(NamedTuple):
+    """A stored search index: what a search reads instead of the corpus."""
+
+    docs: DataFrame
+    vocab: DataFrame
+    postings: DataFrame  # a directory per text, sorted by token
+    grams: DataFrame  # the gram index of the vocabulary, every file sorted by gram
+    units: DataFrame  # the forms of every unit, a directory per text
+
+    @property
+    def tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self.docs, self.vocab, self.postings
+
+
+SCHEMAS = {
+    "vocab": "token string, n_units long, native string, ascii string",
+    "grams": "field string, gram string, token string, form string",
+}
+
+
+def write_index(docs: DataFrame, path: str, forms: Forms = latin_forms) -> Index:
+    """Build the index of ``docs`` once, in folders below ``path``, and read it back.
+
+    Postings and unit forms lie in one directory per text, so a scope reads its texts only;
+    postings are sorted by token and grams by gram, so that readers can skip row groups.
+    """
+    spark = docs.sparkSession
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    stored = spark.read.schema(docs.schema).parquet(f"{path}/docs")
+    vocab, postings = build_postings(stored, forms)
+    by_text = postings.repartition("text_slug", F.pmod(F.xxhash64("token"), F.lit(64))).sortWithinPartitions("text_slug", "token")
+    by_text.write.mode("overwrite").partitionBy("text_slug").parquet(f"{path}/postings")
+    vocab = spark.read.schema(postings.schema).parquet(f"{path}/postings").groupBy("token").agg(F.count("*").alias("n_units"))
+    native, ascii_ = forms(F.col("token"))
+    vocab.select("token", "n_units", native.alias("native"), ascii_.alias("ascii")).write.mode("overwrite").parquet(f"{path}/vocab")
+    vocab = spark.read.schema(SCHEMAS["vocab"]).parquet(f"{path}/vocab")
+    grams = gram_index(vocab).select("field", "gram", "token", "form")
+    grams.sortWithinPartitions("field", "gram").write.mode("overwrite").parquet(f"{path}/grams")
+    unit_forms(vocab, spark.read.schema(postings.schema).parquet(f"{path}/postings")).write.mode("overwrite").partitionBy("text_slug").parquet(f"{path}/units")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """The index that :func:`write_index` left below ``path``."""
+    docs = spark.read.parquet(f"{path}/docs")
+    slug, unit = (docs.schema[c].dataType.simpleString() for c in ("text_slug", "unit_id"))
+    keyed = f"unit_id {unit}, {{}}, text_slug {slug}"
+    postings = spark.read.schema(keyed.format("token string")).parquet(f"{path}/postings").select("text_slug", "unit_id", "token")
+    units = spark.read.schema(keyed.format("u_native string, u_ascii string")).parquet(f"{path}/units")
+    return Index(docs, spark.read.schema(SCHEMAS["vocab"]).parquet(f"{path}/vocab"), postings, spark.read.schema(SCHEMAS["grams"]).parquet(f"{path}/grams"), units)
+
+
 def query_tokens(queries: DataFrame, forms: Forms = latin_forms, split: Callable[[Column], Column] = T.space_tokens) -> DataFrame:
     """One row per query token with its needles; blank queries vanish."""
     tokens = split(T.trim_space(F.col("query")))
@@ -73,17 +135,19 @@ def _needles(native: Column, ascii_: Column, raw: Column) -> Column:
     return F.array(*(F.struct(F.lit(field).alias("field"), F.coalesce(needle, F.lit("")).alias("needle")) for field, needle in pairs))
 
 
-def matching_units(tokens: DataFrame, vocab: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+def matching_units(tokens: DataFrame, vocab: DataFrame, postings: DataFrame, queries: DataFrame, grams: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
     """Units in which every token of the query is contained, inside the query's scope.
 
     The units of a query's rarest word are its candidates, already inside the scope; the
     other words are tested on the forms of these units alone.  A common word never lists its
-    units unless a query consists of common words.
+    units unless a query consists of common words.  A query with a scope only meets the
+    postings of its texts.  ``grams`` and ``units`` are those of a stored index; without them
+    they are made from the vocabulary and the postings.
     """
     # Queries share words, so words are matched once each.
     words = tokens.select("raw", "native", "ascii").distinct()
     needles = words.select(F.col("raw").alias("needle_id"), F.explode(_needles(F.col("native"), F.col("ascii"), F.col("raw"))).alias("n")).select("needle_id", "n.field", "n.needle")
-    hits = checkpointed(match_needles(needles.distinct(), gram_index(vocab)).withColumnRenamed("needle_id", "raw"))
+    hits = checkpointed(match_needles(needles.distinct(), gram_index(vocab) if grams is None else grams).withColumnRenamed("needle_id", "raw"))
     sizes = hits.join(vocab.select("token", "n_units"), "token").groupBy("raw").agg(F.sum("n_units").alias("n"))
     scope = F.col("scope") if "scope" in queries.columns else F.lit(None).cast("array<string>")
     # Words without a hit are not in ``sizes``: their queries find nothing.
@@ -101,15 +165,20 @@ def matching_units(tokens: DataFrame, vocab: DataFrame, postings: DataFrame, que
     )
     asked = checkpointed(asked)
     seeds = hits.join(asked.select("raw").distinct(), "raw", "left_semi")
-    first = postings.join(small_or_shuffled(seeds), "token").select("raw", "text_slug", "unit_id").distinct()
-    in_scope = F.col("scope").isNull() | (F.size("scope") == 0) | F.array_contains("scope", F.col("text_slug"))
-    candidates = checkpointed(first.join(asked.select("raw", "query_id", "scope"), "raw").filter(in_scope).select("query_id", "text_slug", "unit_id"))
-    forms = (
-        postings.join(candidates.select("text_slug", "unit_id").distinct(), ["text_slug", "unit_id"], "left_semi")
-        .join(vocab.select("token", "native", "ascii"), "token")
-        .groupBy("text_slug", "unit_id")
-        .agg(F.array_join(F.collect_list("native"), " ").alias("u_native"), F.array_join(F.collect_list("ascii"), " ").alias("u_ascii"))
-    )
+    everywhere = F.col("scope").isNull() | (F.size("scope") == 0)
+    open_seeds = seeds.join(asked.filter(everywhere).select("raw").distinct(), "raw", "left_semi")
+    first = postings.join(small_or_shuffled(open_seeds), "token").join(asked.filter(everywhere).select("raw", "query_id"), "raw").select("query_id", "text_slug", "unit_id")
+    if "scope" in queries.columns:
+        scoped = asked.filter(~everywhere).select("raw", "query_id", F.explode(F.array_distinct("scope")).alias("text_slug"))
+        places = seeds.join(scoped.select("raw", "text_slug").distinct(), "raw")
+        inside_scope = postings.join(small_or_shuffled(places), ["text_slug", "token"]).join(scoped, ["raw", "text_slug"])
+        first = first.unionByName(inside_scope.select("query_id", "text_slug", "unit_id"))
+    candidates = checkpointed(first.distinct())
+    hit_units = candidates.select("text_slug", "unit_id").distinct()
+    if units is None:
+        forms = unit_forms(vocab, postings.join(hit_units, ["text_slug", "unit_id"], "left_semi"))
+    else:
+        forms = units
     # Needles hold no white space, so what lies in the joined forms lies in one of them.
     inside = lambda n: (n["needle"] != "") & F.contains(F.when(n["field"] == "native", F.col("u_native")).otherwise(F.col("u_ascii")), n["needle"])
     return (
@@ -121,11 +190,11 @@ def matching_units(tokens: DataFrame, vocab: DataFrame, postings: DataFrame, que
 
 
 def search(
-    queries: DataFrame, docs: DataFrame, vocab: DataFrame, postings: DataFrame, limit: int = 100, forms: Forms = latin_forms
+    queries: DataFrame, docs: DataFrame, vocab: DataFrame, postings: DataFrame, limit: int = 100, forms: Forms = latin_forms, **stored: DataFrame
 ) -> DataFrame:
     """Ranked hits: every token must hit; tier by the stored snippet, then score, then text and unit."""
     tokens = query_tokens(queries, forms)
-    hits = matching_units(tokens, vocab, postings, queries)
+    hits = matching_units(tokens, vocab, postings, queries, **stored)
     whole = T.trim_space(F.col("query"))
     native, _ = forms(whole)
     heads = queries.select(
@@ -159,10 +228,11 @@ def find_in_text(
     limit: int = 100,
     forms: Forms = latin_forms,
     order: str = "unit_id",
+    **stored: DataFrame,
 ) -> DataFrame:
     """Hits of every text in the order of the column ``order`` of ``docs``, with a snippet around the first token that is found."""
     tokens = query_tokens(queries, forms, T.in_text_tokens)
-    hits = matching_units(tokens, vocab, postings, queries)
+    hits = matching_units(tokens, vocab, postings, queries, **stored)
     placed = hits.select("query_id", "text_slug", "unit_id").join(docs.select("text_slug", "unit_id", F.col(order).alias("__order")), ["text_slug", "unit_id"])
     first = top_per_group(placed, ["query_id", "text_slug"], [F.asc("__order"), F.asc("unit_id")], limit, "hit_no").drop("__order")
     in_query = F.array_sort(F.collect_list(F.struct("tok_idx", "native", "ascii")))
@@ -184,7 +254,7 @@ def _place(text: Column, needle: Column) -> Column:
 
 
 def linear_search(
-    queries: DataFrame, docs: DataFrame, vocab: DataFrame, postings: DataFrame, limit: int = 100, forms: Forms = latin_forms
+    queries: DataFrame, docs: DataFrame, vocab: DataFrame, postings: DataFrame, limit: int = 100, forms: Forms = latin_forms, **stored: DataFrame
 ) -> DataFrame:
     """The whole query as one needle; nearer to the start scores higher.
 
@@ -194,7 +264,7 @@ def linear_search(
     whole = T.trim_space(F.col("query"))
     native, ascii_ = forms(whole)
     heads = queries.select("query_id", native.alias("q_native"), ascii_.alias("q_ascii"))
-    hits = matching_units(query_tokens(queries, forms), vocab, postings, queries).select("query_id", "text_slug", "unit_id")
+    hits = matching_units(query_tokens(queries, forms), vocab, postings, queries, **stored).select("query_id", "text_slug", "unit_id")
     needle = lambda c: F.when(F.length(c) >= 2, F.col(c))
     found = (
         hits.join(heads, "query_id")
@@ -222,13 +292,30 @@ def _bucket(form: Column, needle: Column) -> Column:
                   .when(F.contains(form, needle), BUCKET_INFIX))
 
 
+# Needles up to this length are looked up among the beginnings of the tokens first.
+SHORT_NEEDLE = 4
+
+
 def suggest(prefixes: DataFrame, freq: DataFrame, limit: int = 8, forms: Forms = latin_forms) -> DataFrame:
     """Completions per query: prefix, then infix, then suffix hits, frequent first.
 
-    ``freq`` has ``token``, ``ascii`` and ``freq``.
+    ``freq`` has ``token``, ``ascii`` and ``freq``.  Short needles, which lie in very many
+    tokens, meet the beginnings of the tokens by equality; only queries still short of
+    ``limit`` are looked up inside the tokens.
     """
     native, ascii_ = forms(F.col("query"))
     asked = prefixes.select("query_id", "query", native.alias("q_native"), ascii_.alias("q_ascii"))
+    order = [F.asc("bucket"), F.desc("freq"), F.asc("token")]
+    bucket = F.coalesce(_bucket(F.col("token"), F.col("q_native")), _bucket(F.col("ascii"), F.col("q_ascii")))
+    lengths = lambda c: F.filter(F.array(*(F.lit(n) for n in range(1, SHORT_NEEDLE + 1))), lambda n: n <= F.length(c))
+    beginnings = lambda c: F.transform(lengths(F.coalesce(c, F.lit(""))), lambda n: F.substr(c, F.lit(1), n))
+    starts = freq.withColumn("start", F.explode(F.array_distinct(F.concat(beginnings(F.col("token")), beginnings(F.col("ascii"))))))
+    short = asked.withColumn("start", F.explode(F.array_distinct(F.filter(F.array("q_native", "q_ascii"), lambda q: (F.length(q) >= 1) & (F.length(q) <= SHORT_NEEDLE)))))
+    first = starts.join(short, "start").withColumn("bucket", bucket).filter(F.col("bucket") == BUCKET_PREFIX).select("query_id", "token", "freq", "bucket").distinct()
+    first = checkpointed(top_per_group(first, ["query_id"], order, limit))
+    done = first.filter(F.col("rank") == limit).select("query_id")
+    first = first.join(done, "query_id", "left_semi")
+    asked = asked.join(done, "query_id", "left_anti")
     needles = asked.select(
         F.col("query_id").alias("needle_id"),
         F.explode(
@@ -243,11 +330,11 @@ def suggest(prefixes: DataFrame, freq: DataFrame, limit: int = 8, forms: Forms =
     scored = (
         pairs.join(asked, "query_id")
         .join(freq, "token")
-        .withColumn("bucket", F.coalesce(_bucket(F.col("token"), F.col("q_native")), _bucket(F.col("ascii"), F.col("q_ascii"))))
+        .withColumn("bucket", bucket)
         .filter(F.col("bucket").isNotNull())
         .select("query_id", "token", "freq", "bucket")
     )
-    return top_per_group(scored, ["query_id"], [F.asc("bucket"), F.desc("freq"), F.asc("token")], limit)
+    return first.unionByName(top_per_group(scored, ["query_id"], order, limit))
 
 
 def suggest_last_token(queries: DataFrame, freq: DataFrame, limit: int = 8, forms: Forms = latin_forms) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
 from corpuskit.functions.scripts import native_forms
-from corpuskit.operators import freq, glosses, integrity, meanings, resolve, search, structure
+from corpuskit.operators import freq, glosses, history, integrity, meanings, resolve, search, structure
 from corpuskit.session import checkpointed, materialised
 from corpuskit.sources import html_pages, sinks
 
@@ -71,9 +71,35 @@ def verify_links(docs: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFram
     return integrity.dangling(docs, units, keys), integrity.link_report(docs, units, keys)
 
 
-def publish(units: DataFrame, chapters: DataFrame, path: str) -> None:
-    """Write manifests, stubs and chapter chunks below ``path``."""
+def publish(units: DataFrame, chapters: DataFrame, path: str, catalog_order: DataFrame | None = None) -> dict[str, dict]:
+    """Write manifests, stubs, chapter chunks and the catalog below ``path``; the totals of every writer."""
+    return _published(units, chapters, path, catalog_order, replace_all=True)
+
+
+def republish(units: DataFrame, chapters: DataFrame, path: str, catalog_order: DataFrame | None = None) -> dict[str, dict]:
+    """Publish some texts anew: the files of other texts stay as they are, the catalog rows are merged.
+
+    ``catalog_order(text_slug, place)`` is the canonical order of the texts.  Stubs and
+    manifests of a text are replaced as a whole; a chapter that a text lost is no longer named
+    by a stub.
+    """
+    return _published(units, chapters, path, catalog_order, replace_all=False)
+
+
+def _published(units: DataFrame, chapters: DataFrame, path: str, catalog_order: DataFrame | None, replace_all: bool) -> dict[str, dict]:
+    spark = units.sparkSession
     manifests, stubs, chunks = sinks.split_manifest(units, chapters)
-    sinks.write_chunks(chunks, f"{path}/chunks")
-    sinks.write_table(stubs, f"{path}/stubs", "text_slug")
-    sinks.write_table(manifests, f"{path}/manifests")
+    totals = {
+        "chunks": sinks.write_chunks(chunks, f"{path}/chunks", replace_all),
+        "stubs": sinks.write_table(stubs, f"{path}/stubs", "text_slug", replace_all=replace_all),
+        "manifests": sinks.write_table(manifests, f"{path}/manifests", "text_slug", replace_all=replace_all),
+    }
+    rows = spark.read.parquet(f"{path}/manifests").join(chapters.select("text_slug").distinct(), "text_slug", "left_semi")
+    old = None if replace_all else sinks.latest_version(spark, f"{path}/catalog")
+    new = rows.select("text_slug", "chapters", "units", "bytes", "chunked")
+    merged = history.upsert_catalog(new.limit(0) if old is None else old.drop("place"), new, "text_slug")
+    place = merged if catalog_order is None else merged.join(catalog_order, "text_slug", "left")
+    place = place if catalog_order is not None else place.withColumn("place", F.lit(None).cast("int"))
+    totals["catalog"] = sinks.write_version(place, f"{path}/catalog")
+    return totals
+

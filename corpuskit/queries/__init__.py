@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("corpus", "search", "resolve", "texts", "forms")
+AREAS = ("corpus", "search", "resolve", "texts", "forms", "native")
 
 
 def registry() -> dict:

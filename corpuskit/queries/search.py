@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
@@ -9,7 +11,7 @@ from corpuskit.operators import freq as freq_ops
 from corpuskit.operators import search as S
 from corpuskit.operators.ordering import int_bucket, positions
 from corpuskit.queries.tables import SQL_SPACE, doc_units, read
-from corpuskit.session import checkpointed, materialised
+from corpuskit.session import checkpoint_folder, materialised
 
 
 def asked(spark, sf):
@@ -20,40 +22,51 @@ def asked(spark, sf):
     )
 
 
+INDEXES: dict[tuple[str, str], S.Index] = {}
+
+
+def stored_index(spark, sf) -> S.Index:
+    """The stored index of the documents; the first search of an application writes it, the others read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in INDEXES:
+        path = f"{checkpoint_folder(spark)}/search-{uuid.uuid4().hex}"
+        INDEXES[key] = S.write_index(S.build_search(doc_units(spark, sf)), path, S.folded_forms)
+    return INDEXES[key]
+
+
 def indexed(spark, sf):
-    docs = S.build_search(doc_units(spark, sf))
-    vocab, postings = S.build_postings(docs, S.folded_forms)
-    return docs, materialised(vocab, "token"), checkpointed(postings)
+    """Documents, vocabulary and postings of the stored index."""
+    return stored_index(spark, sf).tables
 
 
 def search_and(spark, sf):
-    docs, vocab, postings = indexed(spark, sf)
+    index = stored_index(spark, sf)
     queries = asked(spark, sf)
-    hits = S.matching_units(S.query_tokens(queries), vocab, postings, queries)
+    hits = S.matching_units(S.query_tokens(queries), index.vocab, index.postings, queries, index.grams, index.units)
     return hits.select("query_id", "text_slug", "unit_id", "tokens_hit")
 
 
 def search_scope(spark, sf):
-    docs, vocab, postings = indexed(spark, sf)
+    index = stored_index(spark, sf)
     queries = asked(spark, sf).withColumn("scope", F.array(F.lit("de"), F.lit("fr")))
-    return S.search(queries, docs, vocab, postings, limit=20).select("query_id", "text_slug", "unit_id", "tier", "score", "rank")
+    return S.search(queries, *index.tables, limit=20, grams=index.grams, units=index.units).select("query_id", "text_slug", "unit_id", "tier", "score", "rank")
 
 
 def search_ranked(spark, sf):
-    docs, vocab, postings = indexed(spark, sf)
-    return S.search(asked(spark, sf), docs, vocab, postings).select(
+    index = stored_index(spark, sf)
+    return S.search(asked(spark, sf), *index.tables, grams=index.grams, units=index.units).select(
         "query_id", "text_slug", "unit_id", "tier", "score", "rank", "snippet"
     )
 
 
 def find_snippets(spark, sf):
-    docs, vocab, postings = indexed(spark, sf)
-    return S.find_in_text(asked(spark, sf), docs, vocab, postings)
+    index = stored_index(spark, sf)
+    return S.find_in_text(asked(spark, sf), *index.tables, grams=index.grams, units=index.units)
 
 
 def search_linear(spark, sf):
-    docs, vocab, postings = indexed(spark, sf)
-    return S.linear_search(asked(spark, sf), docs, vocab, postings)
+    index = stored_index(spark, sf)
+    return S.linear_search(asked(spark, sf), *index.tables, grams=index.grams, units=index.units)
 
 
 def highlight(spark, sf):

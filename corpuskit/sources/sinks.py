@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: a text is chunked from this size on, if it has several chapters.
 MIN_SPLIT_BYTES = 102_400
 
 
+def folder_of(**keys: Column) -> Column:
+    """The folder ``key=value/key=value`` in which a partitioned writer puts a row, special characters escaped."""
+    special = r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
+    safe = lambda c: F.array_join(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.when(x.rlike(special), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(x)), 2, "0"))).otherwise(x)), "")
+    named = [F.concat(F.lit(f"{k}="), F.when(F.coalesce(c.cast("string"), F.lit("")) == "", "__HIVE_DEFAULT_PARTITION__").otherwise(safe(c.cast("string")))) for k, c in keys.items()]
+    return F.concat_ws("/", *named)
+
+
 def split_manifest(units: DataFrame, chapters: DataFrame, min_bytes: int = MIN_SPLIT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(manifests, stubs, chunks)``, of one shape whatever the size of a chapter.
 
     ``chunks``: the lines of every chapter, its head at ``unit_pos`` null and one line per
     unit, so that no chapter has to fit into one record.  ``stubs``: one row per chapter
-    without bodies, with the path of its lines and their bytes.  ``manifests``: one row per
-    text; the chapter list stays rows.
+    without bodies, with the folder of its lines below that of :func:`write_chunks` and their
+    bytes.  ``manifests``: one row per text; the chapter list stays rows.
     """
     head = F.struct(
         F.col("text_slug").alias("textSlug"),
@@ -36,8 +46,7 @@ def split_manifest(units: DataFrame, chapters: DataFrame, min_bytes: int = MIN_S
     sizes = chunks.groupBy("text_slug", "chapter_id").agg(
         F.sum(F.octet_length("json").cast("bigint")).alias("chunk_size"), F.count("unit_pos").alias("units")
     )
-    path = F.concat(F.lit("/data/"), "text_slug", F.lit("/"), "chapter_id", F.lit(".json"))
-    stubs = chapters.join(sizes, ["text_slug", "chapter_id"]).withColumn("chunk_path", path)
+    stubs = chapters.join(sizes, ["text_slug", "chapter_id"]).withColumn("chunk_path", folder_of(text_slug=F.col("text_slug"), chapter_id=F.col("chapter_id")))
     manifests = stubs.groupBy("text_slug").agg(
         F.count("*").alias("chapters"),
         F.sum("units").alias("units"),
@@ -47,29 +56,63 @@ def split_manifest(units: DataFrame, chapters: DataFrame, min_bytes: int = MIN_S
     return manifests, stubs, chunks
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """The lines in reading order, in a directory per text and chapter that readers can prune."""
+def _written(df: DataFrame, write: Callable[[DataFrame], None], **totals: Column) -> dict:
+    """Totals of what a writer wrote, taken while it writes: ``rows`` and whatever is named."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in totals.items())))
+    return seen.get
+
+
+def write_chunks(chunks: DataFrame, path: str, replace_all: bool = True) -> dict:
+    """The lines in reading order, in a directory per text and chapter that readers can prune.
+
+    ``replace_all=False`` rewrites the folders of the chapters in ``chunks`` alone.  Returns
+    the rows and bytes written.
+    """
     order = ["text_slug", "chapter_id", "unit_pos"]
     lines = chunks.repartitionByRange(*order).sortWithinPartitions(*order).select("text_slug", "chapter_id", "json")
-    lines.write.mode("overwrite").partitionBy("text_slug", "chapter_id").text(path)
+    mode = "static" if replace_all else "dynamic"
+    write = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("text_slug", "chapter_id").text(path)
+    return _written(lines, write, bytes=F.sum(F.octet_length("json").cast("bigint")))
+
+
+def write_table(df: DataFrame, path: str, *partition: str, replace_all: bool = True) -> dict:
+    """Parquet, one directory per partition value; ``replace_all=False`` rewrites the partitions in ``df`` alone."""
+    mode = "static" if replace_all else "dynamic"
+
+    def write(df: DataFrame) -> None:
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
+        (writer.partitionBy(*partition) if partition else writer).parquet(path)
+
+    return _written(df, write)
+
+
+def write_version(df: DataFrame, path: str) -> dict:
+    """A small table as a new version beside the older ones; :func:`latest_version` finds it once it is whole."""
+    version = max(versions(df.sparkSession, path), default=0) + 1
+    return _written(df, lambda df: df.write.parquet(f"{path}/version={version}"))
 
 
-def write_table(df: DataFrame, path: str, *partition: str) -> None:
-    """Parquet, one directory per partition value."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions below ``path``."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
 
 
-def write_token_list(freq: DataFrame, path: str) -> None:
-    """Token list in code-point order: ranges over the files, sorted inside each."""
-    freq.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version of a table, if there is one."""
+    known = versions(spark, path)
+    return spark.read.parquet(f"{path}/version={known[-1]}") if known else None
 
 
-def write_batches(batches: DataFrame, path: str) -> None:
-    """One JSON line per unit below ``text_slug`` and ``batch_index`` directories."""
-    batches.write.mode("overwrite").partitionBy("text_slug", "batch_index").json(path)
+def write_token_list(freq: DataFrame, path: str) -> dict:
+    """Token list in code-point order: ranges over the files, sorted inside each.  Returns rows and occurrences."""
+    ordered = freq.repartitionByRange("token").sortWithinPartitions("token")
+    return _written(ordered, lambda df: df.write.mode("overwrite").parquet(path), occurrences=F.sum("freq"))
 
 
-def observed(df: DataFrame, name: str, *counts) -> DataFrame:
-    """Attach totals to a write without a second pass."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"), *counts)
+def write_batches(batches: DataFrame, path: str) -> dict:
+    """One JSON line per unit below ``text_slug`` and ``batch_index`` directories.  Returns rows and blocks."""
+    blocks = F.sum(F.size("blocks").cast("bigint")) if "blocks" in batches.columns else F.lit(None).cast("bigint")
+    return _written(batches, lambda df: df.write.mode("overwrite").partitionBy("text_slug", "batch_index").json(path), blocks=blocks)

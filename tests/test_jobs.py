@@ -64,7 +64,31 @@ def test_publish_and_write(spark, built, tmp_path):
     lines = [r.value for r in spark.read.text(str(tmp_path / "out" / "chunks")).collect()]
     assert len(lines) == 3 and sum('"unit_pos"' in x for x in lines) == 2 and sum("chapter" in x for x in lines) == 1
     stub = spark.read.parquet(str(tmp_path / "out" / "stubs")).first()
-    assert stub.chunk_path == "/data/katha/K_C01.json" and stub.chunk_size == sum(len(x.encode()) for x in lines) and stub.units == 2
+    assert stub.chunk_path == "text_slug=katha/chapter_id=K_C01" and stub.chunk_size == sum(len(x.encode()) for x in lines) and stub.units == 2
     assert spark.read.parquet(str(tmp_path / "out" / "stubs")).first().chapter_id == "K_C01"
     sinks.write_token_list(jobs.build_tokens(units), str(tmp_path / "tokens"))
     assert spark.read.parquet(str(tmp_path / "tokens")).count() == 3
+
+
+def test_republish_touches_one_text(spark, tmp_path):
+    """Only the files of the rebuilt text change, the catalog keeps its canonical order, and every stub leads to its lines."""
+    schema = "text_slug string, chapter_id string, unit_pos bigint, unit_id string, kind string, ordinal bigint, root string, blocks array<struct<kind:string,text:string,id:string>>"
+    units = lambda texts, root: spark.createDataFrame([(t, c, i, f"{t}{c}{i}", "mantra", i, root, []) for t in texts for c in ("C:1", "C2") for i in range(3)], schema)
+    chapters = lambda texts: spark.createDataFrame([(t, c, o, c, None, None, "adhyaya") for t in texts for o, c in enumerate(("C:1", "C2"), 1)], "text_slug string, chapter_id string, chapter_ord bigint, title string, parent_title string, parent_ord bigint, chapter_kind string")
+    order = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "text_slug string, place int")
+    out = tmp_path / "out"
+    totals = jobs.publish(units("abc", "old"), chapters("abc"), str(out), order)
+    assert totals["chunks"]["rows"] == 3 * 2 * 4 and totals["stubs"]["rows"] == 6 and totals["catalog"]["rows"] == 3
+    before = {p: p.stat().st_mtime_ns for p in out.glob("chunks/*/*/part-*")}
+    jobs.republish(units("b", "new").filter("chapter_id = 'C2'"), chapters("b").filter("chapter_id = 'C2'"), str(out), order)
+    after = {p: p.stat().st_mtime_ns for p in out.glob("chunks/*/*/part-*")}
+    assert {p for p in before if after.get(p) != before[p]} <= {p for p in before if "text_slug=b" in str(p)}
+    stubs = spark.read.parquet(str(out / "stubs")).collect()
+    assert sorted((r.text_slug, r.chapter_id) for r in stubs) == [("a", "C2"), ("a", "C:1"), ("b", "C2"), ("c", "C2"), ("c", "C:1")]
+    for r in stubs:
+        lines = [x for f in (out / "chunks" / r.chunk_path).glob("part-*") for x in f.read_text(encoding="utf8").splitlines()]
+        assert sum(len(x.encode()) for x in lines) == r.chunk_size and len(lines) == r.units + 1
+        assert all(("new" if r.text_slug == "b" else "old") in x for x in lines if "unit_pos" in x)
+    catalog = sinks.latest_version(spark, str(out / "catalog")).orderBy("place").collect()
+    assert [(r.text_slug, r.chapters) for r in catalog] == [("b", 1), ("a", 2), ("c", 2)]
+    assert sinks.versions(spark, str(out / "catalog")) == [1, 2]

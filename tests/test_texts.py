@@ -218,7 +218,7 @@ def test_published_chapters_have_one_shape(spark, tmp_path, step):
     sizes = {r.chapter_id: 0 for r in stubs.collect()}
     for r in chunks.collect():
         sizes[r.chapter_id] += len(r.json.encode())
-    assert {r.chapter_id: (r.chunk_size, r.units, r.chunk_path) for r in stubs.collect()} == {c: (n, 0 if c == "C3" else 30, f"/data/gita/{c}.json") for c, n in sizes.items()}
+    assert {r.chapter_id: (r.chunk_size, r.units, r.chunk_path) for r in stubs.collect()} == {c: (n, 0 if c == "C3" else 30, f"text_slug=gita/chapter_id={c}") for c, n in sizes.items()}
     sinks.write_chunks(chunks, str(tmp_path / "out"))
     lines = [json.loads(x) for f in sorted((tmp_path / "out/text_slug=gita/chapter_id=C1").glob("part-*")) for x in f.read_text(encoding="utf8").splitlines()]
     assert lines[0]["chapter"]["id"] == "C1" and [x["unit"]["id"] for x in lines[1:]] == [f"C1u{i}" for i in range(30)]
