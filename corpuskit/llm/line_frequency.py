@@ -3,9 +3,8 @@
 Base figures count words, symbols, repeated lines and repeated three-word windows of a text.
 Then every line with a word is normalised (lower case, runs of white space as one space,
 digits as 0) and hashed; the distinct documents of a host that have the line are counted.  A
-line is above the limits if more than ``max_docs`` documents of the host and more than
-``max_share`` of them have it; it is removed from all of them but the one with the smallest
-doc_id.  A document is depleted, and not kept, if fewer than ``min_words`` words or less than
+line is above the limit if more than ``max_docs`` documents of the host have it, whatever the
+size of the host; it is removed from all of them but the one with the smallest doc_id.  A document is depleted, and not kept, if fewer than ``min_words`` words or less than
 ``min_left`` of its words remain.
 
 Texts are read once: the figures and the line hashes go to a checkpoint, a small part of the
@@ -69,13 +68,12 @@ def with_base(docs: DataFrame, host_col: str = "source") -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def judge(docs: DataFrame, max_docs: int = 10, max_share: float = 0.0005, min_words: int = 50, min_left: float = 0.3, host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = 10, min_words: int = 50, min_left: float = 0.3, host_col: str = "source") -> DataFrame:
     """Figures and verdict of every row: doc_id, the base figures, base_failed, removed_words and kept."""
     base = checkpointed(with_base(docs, host_col))
-    hosts = base.groupBy("host").agg(F.count("*").alias("host_docs"))
     seen = base.select("host", "doc_id", F.explode(F.array_distinct("lines.hash")).alias("hash"))
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter(F.col("n") > max_docs)
-    frequent = counts.join(hosts, "host").filter(F.col("n") > max_share * F.col("host_docs")).select("host", "hash", "first_id")
+    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    frequent = counts.filter(F.col("n") > max_docs).select("host", "hash", "first_id")
     lines = base.select("row_id", "host", "doc_id", F.explode("lines").alias("line")).select("row_id", "host", "doc_id", "line.hash", "line.words")
     hit = lines.join(frequent, ["host", "hash"]).filter(~F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)))
     removed = hit.groupBy("row_id").agg(F.sum("words").alias("removed"))
@@ -100,9 +98,7 @@ b AS (SELECT w.rid, doc_id, host, len(w)::BIGINT AS n_words, length(array_to_str
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON rep.rid = w.rid),
 ln AS (SELECT rid, doc_id, host, regexp_replace(lower(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ')), '[0-9]', '0', 'g') AS line,
   len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT rid, doc_id, host, unnest(l) AS x FROM w)),
-hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-f AS (SELECT host, line, min(doc_id) AS first_id FROM (SELECT DISTINCT rid, doc_id, host, line FROM ln) JOIN hosts USING (host)
-  GROUP BY host, line, docs HAVING count(*) > 10 AND count(*) > 0.0005 * docs),
+f AS (SELECT host, line, min(doc_id) AS first_id FROM (SELECT DISTINCT rid, doc_id, host, line FROM ln) GROUP BY host, line HAVING count(*) > 10),
 rm AS (SELECT rid, sum(words)::BIGINT AS n FROM ln JOIN f USING (host, line) WHERE doc_id IS DISTINCT FROM first_id GROUP BY rid),
 v AS (SELECT b.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(rm.n, 0) AS removed_words FROM b LEFT JOIN rm ON rm.rid = b.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,

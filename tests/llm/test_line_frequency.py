@@ -6,15 +6,14 @@ from corpuskit.llm import line_frequency as L
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, max_docs=10, max_share=0.0005):
+def brute(rows, max_docs=10):
     """The same rules row by row in plain Python."""
-    seen, first, hosts = Counter(), {}, Counter()
+    seen, first = Counter(), {}
     norm = lambda x: re.sub("[0-9]", "0", " ".join(WORD.findall(x)).lower())
     parsed = []
     for doc_id, text, host in rows:
         lines = [x for x in (text or "").split("\n") if WORD.search(x)]
         parsed.append(lines)
-        hosts[host] += 1
         for key in {(host, norm(x)) for x in lines}:
             seen[key] += 1
             if doc_id is not None:
@@ -29,7 +28,7 @@ def brute(rows, max_docs=10, max_share=0.0005):
         removed = 0
         for x in lines:
             key = (host, norm(x))
-            if seen[key] > max_docs and seen[key] > max_share * hosts[host] and (doc_id is None or doc_id != first.get(key)):
+            if seen[key] > max_docs and (doc_id is None or doc_id != first.get(key)):
                 removed += len(WORD.findall(x))
         n = len(words)
         failed = n < 50 or 100 * len(repeated) > 50 * n
@@ -54,3 +53,10 @@ def test_empty_and_native(spark, no_docs, odd_docs):
     assert L.judge(no_docs).count() == 0
     plan = L.judge(odd_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_the_limit_is_the_same_for_every_host_size(spark):
+    """A line of 11 documents is removed from a host of 11 as from one of 30,000 documents."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat(if(id < 11, 'the same line of some words\n', ''), 'own line ', repeat(concat('a', uuid(), ' '), 3)) AS text", "'big' AS source")
+    got = L.judge(docs).filter("removed_words > 0").collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 11)) and {r.removed_words for r in got} == {6}
