@@ -173,7 +173,7 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
     Of repeated rows with that doc_id all stay; documents without a doc_id stay.
     """
     marks = near_duplicates(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(marks, docs.doc_id == marks["_first"], "left").filter(F.col("_first").isNotNull() | docs.doc_id.isNull()).select(*[docs[c] for c in docs.columns])
+    return docs.join(marks, docs.doc_id == marks["_first"], "left").filter(marks["_first"].isNotNull() | docs.doc_id.isNull()).select(*[docs[c] for c in docs.columns])
 
 
 def hex_fingerprint(fp) :

@@ -78,4 +78,6 @@ def test_odd_documents(spark, odd_docs, no_docs):
     kept = H.one_per_component(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 1, 1, 2, 5, 6]
+    clash = odd_docs.withColumn("_first", odd_docs.fp).withColumn("component_id", odd_docs.fp)
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in H.one_per_component(clash).collect()) == [-1, 1, 1, 2, 5, 6]
     assert H.near_duplicates(no_docs).count() == 0 and H.one_per_component(no_docs).count() == 0
