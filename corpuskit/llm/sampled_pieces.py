@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 SEGMENT = re.compile(rf"\n| *{LETTERS}++(?=[^\w\s])| *[^ \n]+| +")
-CHUNK = 1_200_000  # segments sampled together
+CHUNK = 800_000  # segments sampled together
 LONG = 2_000  # characters from which a segment is walked place by place
 
 
