@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
+from corpuskit.operators.ordering import int_bucket, positions
 
 # Labels of chapter and unit kinds.
 CHAPTER_LABELS = {
@@ -36,12 +37,14 @@ def parse_reference(c: Column) -> Column:
     return F.when(clean.rlike(r"^[0-9]+(?:\.[0-9]+){0,2}$") & F.forall(parts, lambda p: p.isNotNull() & (p > 0)), parts)
 
 
-def resolve_refs(refs: DataFrame, chapters: DataFrame, units: DataFrame) -> DataFrame:
+def resolve_refs(refs: DataFrame, chapters: DataFrame, units: DataFrame, in_parent: bool = False) -> DataFrame:
     """``ref_id, status, unit_id`` for ``refs(ref_id, text_slug, ref)``.
 
     One number: the first chapter of the text.  Two: the chapter without parent,
     else the first chapter with that number.  Three: parent, chapter, unit.
-    Intro units are never meant.  Each lookup is an equi-join.
+    Intro units are never meant.  Each lookup is an equi-join.  With ``in_parent`` the middle
+    number of three may also count the chapters of its parent from 1, if the chapter's own
+    number leads nowhere; the column ``numbering`` then says which one was meant.
     ``chapters(text_slug, chapter_id, chapter_pos, chapter_ord, parent_ord)``,
     ``units(text_slug, chapter_id, unit_id, unit_pos, ordinal, kind)``.
     """
@@ -52,7 +55,7 @@ def resolve_refs(refs: DataFrame, chapters: DataFrame, units: DataFrame) -> Data
 
     def wanted(size: int, prio: int, table: DataFrame, keys: list[str], places: list[Column], leaf: Column) -> DataFrame:
         rows = asked.filter(F.size("p") == size).select("ref_id", "text_slug", *[c.alias(k) for k, c in zip(keys, places)], leaf.alias("ordinal"))
-        return rows.join(table, ["text_slug", *keys]).select("ref_id", "text_slug", "chapter_id", "ordinal", F.lit(prio).alias("prio"))
+        return rows.join(table, ["text_slug", *keys]).select("ref_id", "text_slug", "chapter_id", "ordinal", F.lit(size).alias("numbers"), F.lit(prio).alias("prio"))
 
     ones = wanted(1, 0, chapters.groupBy("text_slug").agg(first()), [], [], at(0))
     flat = wanted(2, 0, chapters.filter(top).groupBy("text_slug", "chapter_ord").agg(first()), ["chapter_ord"], [at(0)], at(1))
@@ -61,14 +64,19 @@ def resolve_refs(refs: DataFrame, chapters: DataFrame, units: DataFrame) -> Data
         3, 0, chapters.groupBy("text_slug", "parent_ord", "chapter_ord").agg(first()), ["parent_ord", "chapter_ord"], [at(0), at(1)], at(2)
     )
     places = ones.unionByName(flat).unionByName(loose).unionByName(nested)
+    if in_parent:
+        below = positions(chapters.filter(~top), ["text_slug", "parent_ord"], ["chapter_pos"], int_bucket(F.col("chapter_pos")), "place")
+        counted = below.select("text_slug", "parent_ord", (F.col("place") + 1).alias("ord_in_parent"), "chapter_id")
+        places = places.unionByName(wanted(3, 1, counted, ["parent_ord", "ord_in_parent"], [at(0), at(1)], at(2)))
     targets = units.filter(F.col("kind") != "intro").select("text_slug", "chapter_id", F.col("ordinal").cast("bigint"), "unit_id", "unit_pos")
     found = (
         places.join(targets, ["text_slug", "chapter_id", "ordinal"])
         .groupBy("ref_id")
-        .agg(F.min_by("unit_id", F.struct("prio", "unit_pos")).alias("unit_id"))
+        .agg(F.min_by(F.struct("unit_id", F.when(F.col("numbers") == 3, F.when(F.col("prio") == 1, "in parent").otherwise("chapter")).alias("numbering")), F.struct("prio", "unit_pos")).alias("u"))
+        .select("ref_id", "u.*")
     )
     status = F.when(F.col("p").isNull(), "parse").when(F.col("unit_id").isNull(), "no-match").otherwise("ok")
-    return asked.join(found, "ref_id", "left").select("ref_id", status.alias("status"), "unit_id")
+    return asked.join(found, "ref_id", "left").select("ref_id", status.alias("status"), "unit_id", *(["numbering"] if in_parent else []))
 
 
 def _label(kind: Column, labels: dict[str, str], other: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuskit.functions import scripts as S
@@ -10,8 +12,9 @@ from corpuskit.functions.morph import morph_features
 from corpuskit.operators import integrity, lexicon, meanings
 from corpuskit.operators.freq import token_stream
 from corpuskit.queries.tables import SQL_SPACE, SQL_VOCAB, doc_units, read, vocabulary
-from corpuskit.queries.texts import SQL_MEANINGS, meaning_inputs
-from corpuskit.session import materialised
+from corpuskit.plans import jobs
+from corpuskit.queries.texts import SQL_CAPPED, SQL_MEANINGS, meaning_inputs
+from corpuskit.session import checkpoint_folder, materialised
 from corpuskit.sources import sinks
 from corpuskit.sources.files import translation_lines
 
@@ -140,6 +143,21 @@ def token_list_sorted(spark, sf):
     return words.filter("freq >= 2").orderBy("token")
 
 
+def writer_totals(spark, sf):
+    """Totals that the writers took while they published the documents, and the rows found in what they wrote."""
+    root = f"{checkpoint_folder(spark)}/publish-{uuid.uuid4().hex}"
+    totals = jobs.publish(*corpus_tables(spark, sf), root)
+    totals["tokens"] = sinks.write_token_list(token_list_sorted(spark, sf), f"{root}/tokens")
+    totals["batches"] = sinks.write_batches(meanings.prepare_batches(doc_units(spark, sf), "unit_id"), f"{root}/batches")
+    found = None
+    for name, total in totals.items():
+        size = next((total[k] for k in ("bytes", "occurrences", "blocks") if k in total), None)
+        back = {"chunks": spark.read.text, "batches": spark.read.json}.get(name, spark.read.option("recursiveFileLookup", "true").parquet)(f"{root}/{name}")
+        row = back.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("writer"), F.lit(total["rows"]).cast("bigint").alias("written"), "found", F.lit(size).cast("bigint").alias("size"))
+        found = row if found is None else found.unionByName(row)
+    return found.select("writer", "written", "found", F.when(F.col("writer") != "chunks", F.coalesce("size", F.lit(-1))).otherwise((F.col("size") > 0).cast("bigint")).alias("size"))
+
+
 SQL_WORDS = f"WITH {SQL_VOCAB}, w AS (SELECT token FROM vocab)"
 
 QUERIES = {
@@ -207,6 +225,15 @@ QUERIES = {
         chunk_check,
         "SELECT DISTINCT lang AS text_slug, source AS chapter_id FROM documents WHERE (lang, source) NOT IN (SELECT (lang, source) FROM documents JOIN labels USING (doc_id))",
     ),
+    "writer_totals": (
+        writer_totals,
+        f"""WITH {SQL_VOCAB}, {SQL_CAPPED}, ch AS (SELECT DISTINCT lang, source FROM documents), x AS (
+          SELECT 'chunks' AS writer, (SELECT count(*) FROM documents) + (SELECT count(*) FROM ch) AS written, 1 AS size
+          UNION ALL SELECT 'stubs', count(*), -1 FROM ch UNION ALL SELECT 'manifests', count(DISTINCT lang), -1 FROM ch UNION ALL SELECT 'catalog', count(DISTINCT lang), -1 FROM ch
+          UNION ALL SELECT 'tokens', count(*), sum(freq) FROM vocab WHERE freq >= 2
+          UNION ALL SELECT 'batches', count(*), sum(len(bl)) FROM cb WHERE root <> '' OR len(bl) > 0)
+        SELECT writer, written, written AS found, CAST(size AS BIGINT) AS size FROM x""",
+    ),
     "token_list_sorted": (
         token_list_sorted,
         f"WITH {SQL_VOCAB} SELECT token, freq FROM vocab WHERE freq >= 2 ORDER BY token",

@@ -159,7 +159,7 @@ def ingest_rejects(spark, sf):
     return rejected.groupBy("dir_slug", "reason").agg(F.count("*").alias("n"))
 
 
-def resolve_refs(spark, sf):
+def reference_tables(spark, sf):
     """References built from the events into the orders (chapters) and lines (units) of a customer."""
     orders = read(spark, sf, "orders")
     chapters = orders.select(
@@ -187,7 +187,17 @@ def resolve_refs(spark, sf):
         .otherwise(F.concat(unit, F.lit(".x")))
     )
     asked = read(spark, sf, "events").select(F.col("event_id").alias("ref_id"), F.col("user_id").alias("text_slug"), ref.alias("ref"))
-    return refs.resolve_refs(asked, chapters, units).select("ref_id", "status", F.coalesce("unit_id", F.lit(-1)).alias("unit_id"))
+    return asked, chapters, units
+
+
+def resolve_refs(spark, sf):
+    return refs.resolve_refs(*reference_tables(spark, sf)).select("ref_id", "status", F.coalesce("unit_id", F.lit(-1)).alias("unit_id"))
+
+
+def resolve_refs_in_parent(spark, sf):
+    """The same references; the middle number may also count the chapters of its parent."""
+    found = refs.resolve_refs(*reference_tables(spark, sf), in_parent=True)
+    return found.select("ref_id", "status", F.coalesce("unit_id", F.lit(-1)).alias("unit_id"), F.coalesce("numbering", F.lit("")).alias("numbering"))
 
 
 def describe_units(spark, sf):
@@ -474,6 +484,11 @@ SQL_REFS = r"""WITH c AS (SELECT o_custkey AS t, o_orderkey AS ch, day(o_orderda
     LEFT JOIN ch2 ON ch2.t = r.t AND ch2.co = d LEFT JOIN u u2 ON u2.ch = ch2.a AND u2.o = leaf LEFT JOIN u u2b ON u2b.ch = ch2.b AND u2b.o = leaf
     LEFT JOIN ch3 ON ch3.t = r.t AND ch3.po = p AND ch3.co = d LEFT JOIN u u3 ON u3.ch = ch3.ch AND u3.o = leaf)
 SELECT event_id AS ref_id, CASE WHEN n = 0 THEN 'parse' WHEN unit IS NULL THEN 'no-match' ELSE 'ok' END AS status, coalesce(unit, -1) AS unit_id FROM x"""
+SQL_REFS_IN_PARENT = SQL_REFS[: SQL_REFS.rindex("SELECT event_id AS ref_id")] + """, ci AS (SELECT t, po, ch, row_number() OVER (PARTITION BY t, po ORDER BY ch) AS oip FROM c WHERE po IS NOT NULL AND po <> 0),
+  y AS (SELECT x.event_id, x.n, x.unit, u4.unit AS other FROM x LEFT JOIN r r4 ON r4.event_id = x.event_id AND r4.n = 3 LEFT JOIN ci ON ci.t = r4.t AND ci.po = r4.p AND ci.oip = r4.d
+    LEFT JOIN u u4 ON u4.ch = ci.ch AND u4.o = r4.leaf)
+SELECT event_id AS ref_id, CASE WHEN n = 0 THEN 'parse' WHEN coalesce(unit, other) IS NULL THEN 'no-match' ELSE 'ok' END AS status, coalesce(unit, other, -1) AS unit_id,
+  CASE WHEN n <> 3 OR coalesce(unit, other) IS NULL THEN '' WHEN unit IS NULL THEN 'in parent' ELSE 'chapter' END AS numbering FROM y"""
 SQL_LATEST = """latest AS (SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value, epoch_us(max(ts)) AS ts FROM events GROUP BY 1, 2),
   pos AS (SELECT user_id, event_type, event_id, ts FROM latest WHERE value >= 5)"""
 SQL_STREAM = r"""tk AS (SELECT lang AS text_slug, doc_id AS unit_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
@@ -592,6 +607,7 @@ QUERIES = {
     ),
     "ingest_rejects": (ingest_rejects, f"WITH {SQL_PIECES} SELECT dir_slug, reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY 1, 2"),
     "resolve_refs": (resolve_refs, SQL_REFS),
+    "resolve_refs_in_parent": (resolve_refs_in_parent, SQL_REFS_IN_PARENT),
     "describe_units": (
         describe_units,
         """SELECT CASE WHEN o_orderstatus <> 'P' THEN 'अध्याय ' || month(o_orderdate) || ' · ' ELSE '' END ||

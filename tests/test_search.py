@@ -82,3 +82,35 @@ def test_find_in_text_and_linear(spark):
     assert {(r.query_id, r.unit_id) for r in found if r.query_id == 1} == {(1, "u3")}
     lin = S.linear_search(q.filter("query_id = 1"), docs, vocab, postings, forms=native_forms).collect()
     assert lin == []
+
+
+def test_stored_index_gives_the_same_hits(spark, tmp_path):
+    """Searches over the stored index, with and without scopes, equal those over tables made for one call."""
+    docs, vocab, postings = setup(spark)
+    S.write_index(docs, str(tmp_path / "index"), native_forms)
+    index = S.read_index(spark, str(tmp_path / "index"))
+    asked = [(1, "atma", None), (2, "brahma", ["isha"]), (3, "ātmā ब्रह्म", []), (4, "brahma", ["none"]), (5, "brahma parama", ["gita", "isha"]), (6, "kurukṣetre", None)]
+    q = spark.createDataFrame(asked, "query_id int, query string, scope array<string>")
+    plain = S.search(q, docs, vocab, postings, forms=native_forms).drop("snippet")
+    stored = S.search(q, *index.tables, forms=native_forms, grams=index.grams, units=index.units).drop("snippet")
+    want = sorted(map(tuple, plain.collect()))
+    assert want and sorted(map(tuple, stored.collect())) == want
+    assert {r[2] for r in want if r[0] == 2} == {"u3"} and not [r for r in want if r[0] == 4]
+    assert "text_slug=gita" in {p.name for p in (tmp_path / "index/postings").iterdir()}
+
+
+def test_suggestions_by_brute_force(spark):
+    """Prefix-first lookup gives the rows that looking inside every token gives."""
+    words = [("ātman", "atman", 9), ("ātar", "atar", 2), ("matar", "matar", 8), ("at", "at", 5), ("xat", "xat", 4), ("Bā", "ba", 7), ("bā", "ba", 6)]
+    words += [(f"at{i}", f"at{i}", i) for i in range(9)] + [(f"z{i}atā", f"z{i}ata", i) for i in range(5)]
+    freq = spark.createDataFrame(words, "token string, ascii string, freq long")
+    asked = ["at", "ā", "tar", "atm", "a", "", "ba", "ata", "zz"]
+    fold = lambda x: x.replace("ā", "a").lower()
+    place = lambda form, n: None if not n else 1 if form.startswith(n) else 3 if form.endswith(n) else 2 if n in form else None
+    want = []
+    for i, q in enumerate(asked):
+        hits = [(place(t, q) or place(a, fold(q)), -f, t) for t, a, f in words if place(t, q) or place(a, fold(q))]
+        want += [(i, t, -f, b, r) for r, (b, f, t) in enumerate(sorted(hits)[:4], 1)]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    got = [(r.query_id, r.token, r.freq, r.bucket, r["rank"]) for r in S.suggest(q, freq, 4).collect()]
+    assert sorted(got) == sorted(want)
