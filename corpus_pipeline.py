@@ -3,6 +3,10 @@
 Every stage reads the Parquet that the stage before it wrote.  All stages but the last return
 the columns of ``documents``; the last returns the packed pieces.  The scoring stages decide
 by text alone, row by row.
+
+In every stage a null text counts as an empty one, texts are read whole whatever their length,
+an empty table gives an empty result, and further columns, whatever their names, are kept by
+all stages but the last, which ignores them.  The functions state what else is defined.
 """
 
 from __future__ import annotations
@@ -18,27 +22,46 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Empty texts have the score that their empty features give; rows of equal texts, repeated
+    rows included, share a fate; a null doc_id is kept or dropped by its text like any other.
+    """
     return quality_net.keep(docs, labels(spark, sf_dir))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic.
+
+    Empty texts hold no toxic passage; equal texts and repeated rows share a fate; a null
+    doc_id is kept or dropped by its text.
+    """
     return toxic_segments.keep(docs, labels(spark, sf_dir))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-copy group."""
+    """The document with the smallest id of every near-copy group.
+
+    Texts without a word are copies of one another.  Of repeated rows with the smallest id all
+    stay, and documents without an id stay, as nothing tells them apart.
+    """
     return popcount_simhash.one_per_component(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by the name of its kind."""
+    """All documents, personal data replaced by the name of its kind.
+
+    A null text stays null, repeated rows are masked alike, and n_chars follows the new text.
+    """
     return weak_pii.mask(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2,048 ids."""
+    """Pieces of sequences of 2,048 ids.
+
+    An empty text is its end id alone; repeated rows and null ids are packed as rows of their
+    own; a null source is a source like any other.
+    """
     return mixture_packing.pack(docs, window=2048, end_id=1)
 
 
