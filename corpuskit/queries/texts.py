@@ -350,12 +350,6 @@ def page_blocks(spark, sf):
     )
 
 
-def event_stream(spark, sf):
-    """The events as a bounded file stream, one file per micro-batch."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
-
-
 def stream_folder(spark) -> str:
     """A new folder for one stream run, inside the checkpoint folder the session names."""
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -402,19 +396,21 @@ def stream_matches(spark, sf):
 
 def stream_latest(spark, sf):
     """Newest event per user and type; where that is one of value 0 to 1, the key counts as deleted."""
-    keys, order, root = ["user_id", "event_type"], ["ts", "event_id"], stream_folder(spark)
-    events = event_stream(spark, sf).select("user_id", "event_type", "event_id", "ts", (F.col("value") < 1).alias("gone"))
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+    stream, root = event_batches(spark, sf)
+    events = stream.select("user_id", "event_type", "event_id", "ts", (F.col("value") < 1).alias("gone"))
     streams.run_available(streams.latest_stream(events, keys, order, f"{root}/rows"), f"{root}/log")
     return streams.latest_rows(spark, f"{root}/rows", keys, order, events.schema, "gone").drop("ts", "gone")
 
 
 def stream_follow(spark, sf):
     """Event types heard per user as a stream of final hypotheses: the buffer after every event."""
-    events = event_stream(spark, sf).select(
+    stream, root = event_batches(spark, sf)
+    events = stream.select(
         F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("transcript"),
         F.lit(True).alias("is_final"),
     )
-    heard, root = streams.heard_buffers(events, tokens=T.space_tokens), stream_folder(spark)
+    heard = streams.heard_buffers(events, tokens=T.space_tokens, idle_minutes=10**7)
     streams.run_available(streams.into_folder(heard, f"{root}/rows"), f"{root}/log")
     table = spark.read.schema(heard.schema).parquet(f"{root}/rows")
     return table.select(
