@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-HEAVY = ["token_freq", "volume_rollup", "glosses_top10", "search_ranked", "nearest_heads", "meanings_order", "resolve_refs", "best_window", "intro_islands", "reduce_report"]
+HEAVY = ["token_freq", "volume_rollup", "glosses_top10", "search_ranked", "nearest_heads", "meanings_order", "resolve_refs", "best_window", "intro_islands", "reduce_report", "compound_splits", "follow_neighbourhood"]
 
 
 def plan(spark, sf, name):
@@ -19,6 +19,11 @@ def test_no_cartesian_and_no_row_python(spark, sf, name):
     assert "BatchEvalPython" not in text
 
 
+@pytest.mark.parametrize("name", ["compound_splits", "resolve_layers"])
+def test_splits_stay_in_the_jvm(spark, sf, name):
+    assert "Python" not in plan(spark, sf, name)
+
+
 def test_scan_is_pruned(spark, sf):
     text = plan(spark, sf, "token_freq")
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text or "ReadSchema: struct<text:string>" in text
