@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskit.llm import mixture_packing, popcount_simhash, quality_net, toxic_segments, weak_pii
+from corpuskit.llm import mixture_packing, near_copies as copies, quality_net, toxic_segments, weak_pii
 from corpuskit.llm.shared import stored
 
 
@@ -42,10 +42,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-copy group.
 
-    Texts without a word are copies of one another.  Of repeated rows with the smallest id all
-    stay, and documents without an id stay, as nothing tells them apart.
+    Near copies are SimHash fingerprints within 3 bits, and texts whose five-word shingles have
+    a Jaccard similarity of at least 0.8.  Texts without a word are copies of one another.  Of
+    repeated rows with the smallest id all stay, and documents without an id stay, as nothing
+    tells them apart.
     """
-    return popcount_simhash.one_per_component(docs)
+    return copies.keep(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
