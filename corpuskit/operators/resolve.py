@@ -208,6 +208,33 @@ def resolve_tokens(
     return early.unionByName(compounds).unionByName(near)
 
 
+LAYERS = ("direct", "inflection", "compound", "fuzzy")
+
+
+def resolve_in_texts(tokens: DataFrame, report: DataFrame, found: DataFrame) -> DataFrame:
+    """Results per layer and the ``resolved`` flag of every ``(text_slug, token)``.
+
+    ``report`` is that of ``resolve_tokens``, ``found`` the definitions of ``token_glosses``.
+    Definitions count for the token's own text only, so a token without a text (null) has none.
+    A token is resolved if any layer has a result.
+    """
+    counts = report.groupBy("token").agg(*[F.count_if(F.col("layer") == layer).alias(layer) for layer in LAYERS])
+    defined = found.groupBy("text_slug", "token").agg(F.count("*").alias("gloss"))
+    all_layers = [F.coalesce(layer, F.lit(0)).cast("long").alias(layer) for layer in (*LAYERS, "gloss")]
+    joined = tokens.select("text_slug", "token").distinct().join(counts, "token", "left").join(defined, ["text_slug", "token"], "left")
+    joined = joined.select("text_slug", "token", *all_layers)
+    return joined.withColumn("resolved", F.greatest(*LAYERS, "gloss") > 0)
+
+
+def gloss_rows(found: DataFrame) -> DataFrame:
+    """Definitions in the shape of the ``resolve_tokens`` report, with their text, unit and snippet."""
+    text = F.lit(None).cast("string")
+    return found.select(
+        "text_slug", "token", F.lit("gloss").alias("layer"), F.col("rank").alias("seq"), text.alias("lemma"), text.alias("label"),
+        F.col("rule").alias("method"), text.alias("dict_id"), "score", "unit_id", "snippet",
+    )
+
+
 def needed_heads(tokens: DataFrame, heads: DataFrame, manual: DataFrame | None, rules: DataFrame, split_options: dict | None = None) -> DataFrame:
     """Tokens, their lemma candidates and the known parts of their splits."""
     from corpuskit.operators.compound import known_parts

@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
-from corpuskit.operators import follow, glosses, history, integrity, lexicon, meanings, refs
+from corpuskit.operators import follow, glosses, history, integrity, lexicon, meanings, refs, resolve
+from corpuskit.operators.freq import token_stream
 from corpuskit.operators.resolve import rule_table
 from corpuskit.operators.structure import with_body
+from corpuskit.queries import resolve as RQ
 from corpuskit.queries.resolve import _values
 from corpuskit.queries.tables import SQL_SPACE, doc_units, read
 from corpuskit.session import checkpoint_folder, kept, materialised
@@ -55,6 +57,20 @@ def token_glosses(spark, sf):
     return glosses.token_glosses(tokens, candidates, table).select("text_slug", "token", "unit_id", "rule", "score", "rank")
 
 
+def resolved_in_texts(spark, sf):
+    """Results per layer of the benchmark words, outside of a text and in every text that defines them."""
+    table = materialised(glosses_top(spark, sf), "term")
+    words = materialised(token_stream(read(spark, sf, "benchmark"), F.lower("text"), T.LATIN_WORD).distinct(), "token")
+    heads = RQ.lexicons(spark, sf).filter("dict_id = 'conv'")
+    report = resolve.resolve_tokens(words, heads, RQ.rules(spark), RQ.manual(spark), split_options=RQ.OPTIONS)
+    candidates = materialised(resolve.lemma_candidates(words, RQ.manual(spark), RQ.rules(spark)), "token")
+    terms = words.select("token", F.col("token").alias("term")).unionByName(candidates.select("token", F.col("lemma").alias("term")))
+    inside = materialised(glosses.in_every_text(terms, table).select("text_slug", "token").distinct(), "token")
+    found = glosses.token_glosses(inside, candidates, table)
+    tokens = inside.unionByName(words.select(F.lit(None).cast("string").alias("text_slug"), "token"))
+    return resolve.resolve_in_texts(tokens, report, found).withColumn("text_slug", F.coalesce("text_slug", F.lit("")))
+
+
 PRIORS = [
     ("Brand#1", ["red", "small", "gear"]),
     ("Brand#2", ["ring", "Blue"]),
@@ -553,6 +569,20 @@ QUERIES = {
         SELECT text_slug, token, unit_id, g.r AS rule, g.s AS score, CAST(row_number() OVER (PARTITION BY text_slug, token ORDER BY g.s DESC, g.q, g.k, unit_id) AS INTEGER) AS rank
         FROM o QUALIFY rank <= 6""",
     ),
+    "resolved_in_texts": (
+        resolved_in_texts,
+        f"""WITH layers AS ({RQ.QUERIES["resolve_layers"][1]}), glosses AS ({SQL_GLOSS} SELECT * FROM glosses WHERE rank <= 5),
+        terms AS (WITH {RQ.SQL_BENCH}, {RQ.SQL_RULES}, {RQ.sql_lemmas("bench", "cand")}
+          SELECT token, token AS term FROM bench UNION ALL SELECT token, lemma FROM cand),
+        found AS (SELECT DISTINCT text_slug, token, unit_id, snippet FROM terms JOIN glosses USING (term)),
+        defined AS (SELECT text_slug, token, least(count(*), 6) AS gloss FROM found GROUP BY 1, 2),
+        asked AS (SELECT text_slug, token, gloss FROM defined UNION ALL SELECT DISTINCT '', token, 0 FROM terms),
+        counts AS (SELECT token, count(*) FILTER (layer = 'direct') AS direct, count(*) FILTER (layer = 'inflection') AS inflection,
+          count(*) FILTER (layer = 'compound') AS compound, count(*) FILTER (layer = 'fuzzy') AS fuzzy FROM layers GROUP BY 1)
+        SELECT text_slug, token, coalesce(direct, 0) AS direct, coalesce(inflection, 0) AS inflection, coalesce(compound, 0) AS compound,
+          coalesce(fuzzy, 0) AS fuzzy, gloss, coalesce(direct + inflection + compound + fuzzy, 0) + gloss > 0 AS resolved
+        FROM asked LEFT JOIN counts USING (token)""",
+    ),
     "sense_rerank": (
         sense_rerank,
         f"""WITH s AS (SELECT p_brand AS head, p_name AS sense, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS idx,

@@ -144,3 +144,24 @@ def test_an_own_segmenter_brings_its_counter(spark):
         C.split_compounds(tokens, heads, segment=pieces)
     got = C.split_compounds(tokens, heads, segment=pieces, count=lambda p: F.size(F.split(F.regexp_replace(p, "-$", ""), "-")), keep=1).collect()
     assert [r.parts for r in got] == [["ab-cd-", "e"]]
+
+
+def test_gloss_layer_and_resolved(spark):
+    """A word is resolved by any layer; definitions count inside their own text only."""
+    tokens = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "x"), ("a", "y"), (None, "y"), ("a", "z"), ("a", "z")], "text_slug string, token string")
+    report = spark.createDataFrame([("y", "direct"), ("y", "inflection"), ("y", "inflection")], "token string, layer string")
+    found = spark.createDataFrame(
+        [("a", "x", "u1", "of x", "iti", 0.7, 1), ("a", "x", "u2", "x is", "iti", 0.7, 2)],
+        "text_slug string, token string, unit_id string, snippet string, rule string, score double, rank int",
+    )
+    got = {(r.text_slug, r.token): (r.direct, r.inflection, r.compound, r.fuzzy, r.gloss, r.resolved) for r in R.resolve_in_texts(tokens, report, found).collect()}
+    assert got == {
+        ("a", "x"): (0, 0, 0, 0, 2, True),
+        ("b", "x"): (0, 0, 0, 0, 0, False),
+        (None, "x"): (0, 0, 0, 0, 0, False),
+        ("a", "y"): (1, 2, 0, 0, 0, True),
+        (None, "y"): (1, 2, 0, 0, 0, True),
+        ("a", "z"): (0, 0, 0, 0, 0, False),
+    }
+    rows = R.gloss_rows(found).collect()
+    assert {(r.text_slug, r.token, r.layer, r.seq, r.method, r.unit_id) for r in rows} == {("a", "x", "gloss", 1, "iti", "u1"), ("a", "x", "gloss", 2, "iti", "u2")}
