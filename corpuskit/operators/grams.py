@@ -40,7 +40,7 @@ def match_needles(needles: DataFrame, index: DataFrame) -> DataFrame:
     wanted = needles.filter(F.col("needle") != "").select("field", "needle").distinct()
     grams = F.when(F.length("needle") <= 3, F.array("needle")).otherwise(F.array_distinct(T.char_ngrams(F.col("needle"), 3)))
     probes = small_or_shuffled(wanted.select("field", "needle", F.size(grams).alias("n_grams"), F.explode(grams).alias("gram")))
-    present = index.join(probes.select("field", "gram").distinct(), ["field", "gram"], "left_semi")
+    present = index.join(small_or_shuffled(probes.select("field", "gram").distinct()), ["field", "gram"], "left_semi")
     counts = present.groupBy("field", "gram").agg(F.count("*").alias("n_tokens"))
     rarest = (
         probes.join(counts, ["field", "gram"])

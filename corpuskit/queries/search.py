@@ -30,7 +30,7 @@ def stored_index(spark, sf) -> S.Index:
     key = (spark.sparkContext.applicationId, sf)
     if key not in INDEXES:
         path = f"{checkpoint_folder(spark)}/search-{uuid.uuid4().hex}"
-        INDEXES[key] = S.write_index(S.build_search(doc_units(spark, sf)), path, S.folded_forms)
+        INDEXES[key] = S.write_folded(S.build_search(doc_units(spark, sf)), path)
     return INDEXES[key]
 
 

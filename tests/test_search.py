@@ -114,3 +114,28 @@ def test_suggestions_by_brute_force(spark):
     q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
     got = [(r.query_id, r.token, r.freq, r.bucket, r["rank"]) for r in S.suggest(q, freq, 4).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_few_queries_read_units_alone(spark, tmp_path, monkeypatch):
+    """One pass over the stored units, without vocabulary and postings, gives the rows of the postings; repeated rows are one unit."""
+    rows = [("en", "c", 1, "The cat sat", []), ("en", "c", 2, "École the", ["a cat"]), ("fr", "c", 3, "Le chat", ["ecole, cat"]), ("fr", "c", 4, "dog", []), ("fr", "c", 4, "catnip", [])]
+    units = spark.createDataFrame([(*r[:4], [("b", t) for t in r[4]]) for r in rows], "text_slug string, chapter_id string, unit_id long, root string, blocks array<struct<kind:string,text:string>>")
+    docs = S.build_search(units)
+    index = S.write_folded(docs, str(tmp_path / "index"))
+    asked = [(1, "cat", None), (2, "école cat", None), (3, "CAT", ["fr"]), (4, "dog catnip", None), (5, " ", None), (6, "none", None), (7, "cat", [])]
+    q = spark.createDataFrame(asked, "query_id int, query string, scope array<string>")
+    tokens = S.query_tokens(q)
+    scanned = S.matching_units(tokens, None, None, q, units=index.units)
+    got = sorted(map(tuple, scanned.select("query_id", "text_slug", "unit_id", "tokens_hit").collect()))
+    assert got == [(1, "en", 1, 1), (1, "en", 2, 1), (1, "fr", 3, 1), (1, "fr", 4, 1), (2, "en", 2, 2), (2, "fr", 3, 2), (3, "fr", 3, 1), (3, "fr", 4, 1), (4, "fr", 4, 2), (7, "en", 1, 1), (7, "en", 2, 1), (7, "fr", 3, 1), (7, "fr", 4, 1)]
+    monkeypatch.setattr(S, "FEW_WORDS", 1)
+    many = S.matching_units(tokens, index.vocab, index.postings, q, index.grams, index.units)
+    assert sorted(map(tuple, many.select("query_id", "text_slug", "unit_id", "tokens_hit").collect())) == got
+
+
+def test_linear_search_cuts_snippets_of_its_rows(spark, tmp_path):
+    units = spark.createDataFrame([("en", "c", i, f"{'x' * i} One two", []) for i in range(5)], "text_slug string, chapter_id string, unit_id long, root string, blocks array<struct<kind:string,text:string>>")
+    index = S.write_folded(S.build_search(units), str(tmp_path / "index"))
+    q = spark.createDataFrame([(1, "one two"), (2, "two one")], "query_id int, query string")
+    found = S.linear_search(q, *index.tables, limit=2, grams=index.grams, units=index.units).orderBy("hit_no")
+    assert [(r.query_id, r.unit_id, r.hit_no, r.snippet) for r in found.collect()] == [(1, 0, 1, " One two "), (1, 1, 2, "x One two ")]
