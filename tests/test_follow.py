@@ -185,3 +185,19 @@ def test_matches_move_the_hint(spark, tmp_path):
     # near the end of the text the second copy of the repeated words wins, without a hint the first
     starts = {r[1]: (r[3], r[5]) for r in got["one"]}
     assert starts[2] == (100, False) and starts[4][0] >= 396 and starts[4][1] and starts[7][1] and 5 not in starts
+
+
+def test_unit_index_equals_the_index_of_the_grams(spark):
+    """Blocks made of whole units hold the grams, lengths and positions of the token stream, over units of one token and long ones."""
+    sizes = [1, 1, 2, 200, 1, 63, 64, 65, 1, 1, 3]
+    rows = [(slug, i, " ".join(f"w{(i * 7 + k * k) % 11}" for k in range(n))) for slug in ("a", "b") for i, n in enumerate(sizes if slug == "a" else [2, 1, 0])]
+    units = spark.createDataFrame([*rows, ("c", 0, "one two")], "text_slug string, unit_id long, body string")
+    cut = lambda c: W.T.split_nonempty(c, " ")
+    corpus, placed = W.corpus_tokens(units, "unit_id", cut), W.placed_units(units, "unit_id", cut)
+    want, got = W.build_index(W.corpus_grams(corpus)), W.unit_index(placed)
+    assert sorted(map(tuple, got.grams.select("text_slug", "gpos", "gram").collect())) == sorted(map(tuple, want.grams.select("text_slug", "gpos", "gram").collect()))
+    in_blocks = lambda blocks: sorted(map(tuple, blocks.select("text_slug", "block", "text_len", "grams").collect()))
+    assert in_blocks(W._with_grams(got.blocks)) == in_blocks(want.blocks)
+    starts = spark.createDataFrame([("a", p) for p in (0, 1, 2, 3, 4, 203, 204, 205, 268, 400)], "text_slug string, start long")
+    keys = ["text_slug", "start", "unit_id", "unit_offset"]
+    assert sorted(map(tuple, W.with_placed(starts, placed).select(keys).collect())) == sorted(map(tuple, W.with_units(starts, corpus).select(keys).collect()))
