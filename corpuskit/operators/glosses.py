@@ -28,13 +28,13 @@ def tidy(c: Column) -> Column:
     return T.trim_space(F.regexp_replace(F.regexp_replace(c, T.SPACE + "+", " "), "[‘’\"]", ""))
 
 
-def _pattern_matches(order: int, rule: str, pattern: str, group: int, score: float) -> Column:
-    """All matches of one pattern in ``body`` as an array of records."""
+def _pattern_matches(order: int, rule: str, pattern: str, group: int, score: float, sign: str | None = None) -> Column:
+    """All matches of one pattern in ``piece`` as an array of records."""
     pairs = F.arrays_zip(
-        F.regexp_extract_all("body", F.lit(pattern), F.lit(0)).alias("whole"),
-        F.regexp_extract_all("body", F.lit(pattern), F.lit(group)).alias("term"),
+        F.regexp_extract_all("piece", F.lit(pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all("piece", F.lit(pattern), F.lit(group)).alias("term"),
     )
-    return F.transform(
+    found = F.transform(
         pairs,
         lambda m, i: F.struct(
             tidy(m["term"]).alias("term"),
@@ -45,19 +45,38 @@ def _pattern_matches(order: int, rule: str, pattern: str, group: int, score: flo
             i.alias("place"),
         ),
     )
+    return found if sign is None else F.when(F.col("piece").rlike(sign), found)
 
 
-def extract_glosses(units: DataFrame, patterns: Sequence[tuple[str, str, int, float]] = PATTERNS, top: int = KEPT) -> DataFrame:
+def extract_glosses(
+    units: DataFrame,
+    patterns: Sequence[tuple[str, str, int, float]] = PATTERNS,
+    top: int = KEPT,
+    clause: str | None = None,
+    signs: Sequence[str] | None = None,
+) -> DataFrame:
     """Best definition per unit and term, then the ``top`` per text and term in unit order.
 
     ``units`` has ``text_slug, unit_id, body``.  All patterns run in one pass over
-    the body; the best match is a map-side combined ``max_by``.
+    the body; the best match is a map-side combined ``max_by``.  A pattern that begins with a
+    lazy run tries that run from every character.  Where no match reaches over the end of a
+    ``clause`` (a regex that cuts the body), ``signs`` names per pattern a cheap regex that
+    occurs in every clause with a match, and the pattern runs on these clauses alone.
     """
-    found = [_pattern_matches(i, *p) for i, p in enumerate(patterns)]
-    rows = units.filter(F.col("body") != "").select("text_slug", "unit_id", F.explode(F.concat(*found)).alias("m")).select("text_slug", "unit_id", "m.*")
+    signs = signs or [None] * len(patterns)
+    if len(signs) != len(patterns) or (clause is None and any(signs)):
+        raise ValueError("a sign per pattern, and a clause to look for them")
+    found = [F.coalesce(_pattern_matches(i, *p, sign), F.array()) for i, (p, sign) in enumerate(zip(patterns, signs))]
+    pieces = units.filter(F.col("body") != "").select(
+        "text_slug", "unit_id", F.posexplode_outer(F.array("body") if clause is None else T.matches(F.col("body"), clause)).alias("at", "piece")
+    )
+    if all(signs):
+        pieces = pieces.filter(F.col("piece").rlike("|".join(f"(?:{s})" for s in signs)))
+    # Outer, as Spark works the array of a plain explode out twice: once to drop the empty ones.
+    rows = pieces.select("text_slug", "unit_id", "at", F.explode_outer(F.concat(*found)).alias("m")).select("text_slug", "unit_id", "at", "m.*")
     rows = rows.filter(F.length("term").between(TERM_MIN, TERM_MAX))
     best = rows.groupBy("text_slug", "term", "unit_id").agg(
-        F.max_by(F.struct("snippet", "rule", "score"), F.struct("score", -F.col("rule_order"), -F.col("place"))).alias("b")
+        F.max_by(F.struct("snippet", "rule", "score"), F.struct("score", -F.col("rule_order"), -F.col("at"), -F.col("place"))).alias("b")
     )
     return top_per_group(
         best.select("text_slug", "term", "unit_id", "b.snippet", "b.rule", "b.score"),

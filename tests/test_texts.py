@@ -27,6 +27,18 @@ def test_glosses_of_published_sample(spark):
     assert got["कर्म", "u3"][1:] == ("arthat", 0.95)
 
 
+def test_clauses_and_signs_change_no_gloss(spark, sf):
+    from corpuskit.queries import texts as Q
+
+    odd = ["", "the", " the cat. the dog;", "a" * 60 + " is " + "b" * 50 + ".", "lion is big, is is is is. King of all the beasts; x of y z",
+           "one two the der los end. no mark is here", "is of the of is the.", "é est île, été de la mer." * 3, "tab\tis here. 3 cats is four. cat is 4. ab of cd, abc of d."]
+    df = spark.createDataFrame([("t", i, b) for i, b in enumerate(odd)], "text_slug string, unit_id bigint, body string").unionByName(Q.bodies(spark, sf))
+    plain = G.extract_glosses(df, Q.LATIN_PATTERNS).collect()
+    assert sorted(G.extract_glosses(df, Q.LATIN_PATTERNS, clause=Q.LATIN_CLAUSE, signs=Q.LATIN_SIGNS).collect()) == sorted(plain) and len(plain) > 100
+    with pytest.raises(ValueError):
+        G.extract_glosses(df, Q.LATIN_PATTERNS, signs=Q.LATIN_SIGNS)
+
+
 def test_gloss_lookup_stem(spark):
     table = spark.createDataFrame([("t", "लोक", "u1", "s", "iti", 0.7, 1), ("t", "कर्म", "u2", "s", "iti", 0.7, 1)], "text_slug string, term string, unit_id string, snippet string, rule string, score double, rank int")
     terms = spark.createDataFrame([("t", "लोकान्"), ("t", "लोके"), ("t", "कर्म"), ("x", "कर्म"), ("t", "गज")], "text_slug string, term string")
