@@ -148,11 +148,12 @@ def writer_totals(spark, sf):
     root = f"{checkpoint_folder(spark)}/publish-{uuid.uuid4().hex}"
     totals = jobs.publish(*corpus_tables(spark, sf), root)
     totals["tokens"] = sinks.write_token_list(token_list_sorted(spark, sf), f"{root}/tokens")
-    totals["batches"] = sinks.write_batches(meanings.prepare_batches(doc_units(spark, sf), "unit_id"), f"{root}/batches")
+    batches = meanings.prepare_batches(doc_units(spark, sf), "unit_id")
+    totals["batches"] = sinks.write_batches(batches, f"{root}/batches")
     found = None
     for name, total in totals.items():
         size = next((total[k] for k in ("bytes", "occurrences", "blocks") if k in total), None)
-        back = {"chunks": spark.read.text, "batches": spark.read.json}.get(name, spark.read.option("recursiveFileLookup", "true").parquet)(f"{root}/{name}")
+        back = {"chunks": spark.read.text, "batches": spark.read.schema(batches.schema).json}.get(name, spark.read.option("recursiveFileLookup", "true").parquet)(f"{root}/{name}")
         row = back.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("writer"), F.lit(total["rows"]).cast("bigint").alias("written"), "found", F.lit(size).cast("bigint").alias("size"))
         found = row if found is None else found.unionByName(row)
     return found.select("writer", "written", "found", F.when(F.col("writer") != "chunks", F.coalesce("size", F.lit(-1))).otherwise((F.col("size") > 0).cast("bigint")).alias("size"))

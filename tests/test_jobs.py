@@ -92,3 +92,12 @@ def test_republish_touches_one_text(spark, tmp_path):
     catalog = sinks.latest_version(spark, str(out / "catalog")).orderBy("place").collect()
     assert [(r.text_slug, r.chapters) for r in catalog] == [("b", 1), ("a", 2), ("c", 2)]
     assert sinks.versions(spark, str(out / "catalog")) == [1, 2]
+
+
+def test_batch_is_one_file_whatever_the_partitions(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 16).select(F.lit("t").alias("text_slug"), (F.col("id") % 5).cast("int").alias("batch_index"), F.col("id").alias("unit_id"))
+    total = sinks.write_batches(rows, str(tmp_path / "batches"))
+    assert total["rows"] == 400
+    files = [sorted(d.glob("*.json")) for d in sorted((tmp_path / "batches" / "text_slug=t").iterdir()) if d.is_dir()]
+    assert [len(f) for f in files] == [1] * 5
+    assert sum(len(f[0].read_text().splitlines()) for f in files) == 400
