@@ -165,3 +165,31 @@ def test_gloss_layer_and_resolved(spark):
     }
     rows = R.gloss_rows(found).collect()
     assert {(r.text_slug, r.token, r.layer, r.seq, r.method, r.unit_id) for r in rows} == {("a", "x", "gloss", 1, "iti", "u1"), ("a", "x", "gloss", 2, "iti", "u2")}
+
+
+def test_plain_cuts_give_the_general_results(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    word = lambda low, high: "".join(draw.choice("abé") for _ in range(draw.randint(low, high)))
+    words = spark.createDataFrame([(w,) for w in {word(1, 13) for _ in range(300)} | {"a", "ab", "abé", "zz" * 9}], "token string")
+    heads = spark.createDataFrame([(w,) for w in {word(1, 4) for _ in range(25)}], "head string")
+    own = lambda c: C.characters(c)  # noqa: E731  the same segments, not known to be plain
+    manual = spark.createDataFrame([("abab", "a", "x", None)], "form string, lemma string, label string, gloss string")
+    options = dict(lemma_rules=R.rule_table(spark, [("b", "", "x"), ("éa", "a", "y")]), manual=manual, keep=1, min_score=0.3, strict=False)
+    for most in (2, 5):
+        plain, general = (sorted(C.split_compounds(words, heads, segment=s, count=F.length, max_parts=most, **options).collect()) for s in (C.characters, own))
+        assert plain == general and len(plain) > 100
+    monkeypatch.setattr(C, "_plain_longest", lambda most: 6)
+    assert sorted(C.split_compounds(words, heads, segment=C.characters, max_parts=5, **options).collect()) == general
+    assert sorted(C.known_parts(words, heads, segment=C.characters).collect()) == sorted(C.known_parts(words, heads, segment=own).collect())
+    cuts = {(r.token, r.cut, r.left, r.right) for r in C.boundary_candidates(words, segment=C.characters).collect()}
+    assert cuts == {(w.token, i, w.token[:i], w.token[i:]) for w in words.collect() for i in range(1, len(w.token))}
+    none = heads.limit(0)
+    assert C.split_compounds(words, none, segment=C.characters, keep=1).count() == 0 == C.known_parts(words, none, segment=C.characters).count()
+
+
+def test_plain_cuts_are_numbers(spark):
+    words = spark.createDataFrame([("abcd",)], "token string")
+    text = C.boundary_candidates(words, segment=C.characters)._jdf.queryExecution().toString()
+    assert "array_join" not in text and "lambda" not in text
