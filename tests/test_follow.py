@@ -198,3 +198,45 @@ def test_unit_index_equals_the_index_of_the_grams(spark):
     assert sorted(map(tuple, got.grams.select("text_slug", "gpos", "gram").collect())) == sorted(map(tuple, want.grams.select("text_slug", "gpos", "gram").collect()))
     in_blocks = lambda blocks: sorted(map(tuple, blocks.select("text_slug", "block", "text_len", "grams").collect()))
     assert in_blocks(W._with_grams(got.blocks)) == in_blocks(want.blocks)
+
+
+def test_heard_writer_equals_revise(spark, tmp_path):
+    """Buffers over several micro-batches, small ones in Python and signs of its own among the tokens included, are those of ``revise``; an idle session is forgotten."""
+    import random
+
+    draw = random.Random(1)
+    words = ["a", "b\x1fc", "\x1b", "\x1b1", "", "d"]
+    said = [(draw.choice("xyz"), i, [draw.choice(words) for _ in range(draw.randint(1, 4))], draw.random() < 0.6) for i in range(90)]
+    said = [*said, ("x", 100_000, ["late"], True), ("y", 200_000, ["later"], True), ("x", 200_001, ["again"], False)]
+    batches = [said[:40], said[40:90], said[90:91], said[91:]]
+    rows = [[{"session_id": s, "ts": f"{dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)}", "seq": i, "transcript": "|".join(w), "is_final": f} for s, i, w, f in batch] for batch in batches]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # sessions go on over many Arrow batches
+    try:
+        for strict in (False, True):
+            write_batches(tmp_path / f"in{strict}", rows)
+            stream = spark.readStream.schema("session_id string, ts timestamp, seq long, transcript string, is_final boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / f"in{strict}"))
+            root = str(tmp_path / f"out{strict}")
+            S.run_available(S.heard_writer(stream, root, tokens=lambda c: F.split(c, "[|]"), idle_minutes=1500, size=6, strict=strict), f"{root}/log")
+            got = {(r.session_id, r.seq): r.heard for r in S.heard_of(spark, root).collect()}
+            state, want = {}, {}
+            for s, i, w, f in said:
+                if i == 200_001:  # x was last heard 1,667 minutes before the newest row of the last micro-batch but was not idle in the one before
+                    assert state["x"][0][-1] == "late"
+                state[s] = S.revise(state.get(s, ([], 0))[0], w, f, 6, strict, state.get(s, ([], 0))[1])
+                if i == 100_000:  # 1,667 minutes after all others
+                    state = {"x": state["x"]}
+                want[(s, i)] = state[s][0]
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_batch_of_many_files_is_one_micro_batch(spark, tmp_path):
+    """The events are written by as many tasks as read them, and the stream takes them in the order of time."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i % 7, "view", 1.0, "") for i in range(600)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    _, root, batches = texts.event_batches(spark, str(tmp_path))
+    assert batches[0].rdd.getNumPartitions() > 1
+    got = {r.event_id: r.n_buffered for r in texts.stream_follow(spark, str(tmp_path)).collect()}
+    assert got == {i: min(i // 7 + 1, 80) for i in range(600)}
