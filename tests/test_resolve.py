@@ -193,3 +193,40 @@ def test_plain_cuts_are_numbers(spark):
     words = spark.createDataFrame([("abcd",)], "token string")
     text = C.boundary_candidates(words, segment=C.characters)._jdf.queryExecution().toString()
     assert "array_join" not in text and "lambda" not in text
+
+
+def test_pairs_and_credits_equal_the_splits(spark):
+    """Credits made from the heads are those of the parts, and tokens found in two parts are those whose best split of two parts reaches the score."""
+    heads = ["an", "ber", "cat", "g", "make", "mente", "b", "ing", "catter"]
+    rules = R.rule_table(spark, [("ing", "", "a"), ("ing", "e", "b"), ("s", "", "c"), ("er", "", "d")], [("e", "a", "v", 3)])
+    manual = spark.createDataFrame([("was", "make", "x", None), ("zz", "none", "x", None)], "form string, lemma string, label string, gloss string")
+    known = spark.createDataFrame([(h,) for h in heads], "head string")
+    tokens = ["making", "catmaking", "catwas", "anber", "anbers", "bing", "catg", "catcatmaking", "xxcat", "zzcat", "ananan", "bertering", "a", "wasb", "catb", "catx"]
+    words = spark.createDataFrame([(t,) for t in tokens], "token string")
+    credits = C.part_credits(known, rules, manual)
+    made = {r.part: r.credit for r in credits.collect()}
+    parts = spark.createDataFrame([(t[i:j],) for t in tokens for i in range(len(t)) for j in range(i + 1, len(t) + 1)], "token string").distinct()
+    through = {r.token for r in R.lemma_candidates(parts, manual, rules, dedupe=False).join(known, F.col("lemma") == F.col("head")).collect()}
+    for part in (r.token for r in parts.collect()):
+        assert made.get(part, 0) == (10 if part in heads else 6 if part in through else 0), part
+    for score in (0.5, 0.6, 0.8, 1.0):
+        for strict in (True, False):
+            options = {"min_score": score, "strict": strict, "segment": C.characters}
+            paired = {r.token for r in C.in_two_parts(words, credits, **options).collect()}
+            given = {r.token for r in C.split_compounds(words, known, lemma_rules=rules, manual=manual, keep=4, max_parts=2, **options).collect()}
+            both = {r.token: r.parts for r in C.split_compounds(words, known, credits=credits, keep=4, max_parts=2, **options).collect()}
+            assert set(both) == given and paired == {t for t in given if any(made.get(t[:i], 0) and made.get(t[i:], 0) and (10 * score < (made[t[:i]] + made[t[i:]]) / 2 or not strict and 10 * score <= (made[t[:i]] + made[t[i:]]) / 2) for i in range(2, len(t)))}
+    assert C.in_two_parts(words, credits).count() == 0  # other segments are left to the splits
+
+
+def test_no_split_row_for_words_of_two_parts(spark, monkeypatch):
+    """The verdicts leave to the splits only what two parts don't settle."""
+    seen = []
+    splits = C.split_compounds
+    monkeypatch.setattr(C, "split_compounds", lambda tokens, *a, **o: seen.append({r.token for r in tokens.collect()}) or splits(tokens, *a, **o))
+    lex = spark.createDataFrame([("d", 1, h) for h in ("cat", "dog", "cow")], "dict_id string, dict_order int, head string")
+    freq = spark.createDataFrame([("cat", 1), ("catdog", 2), ("catdogcow", 3), ("zebra", 4)], "token string, freq long")
+    rules = R.rule_table(spark, [("s", "", "plural")])
+    got = {r.token: r.layer for r in R.verdicts(freq, lex, rules, split_options={"segment": C.characters}).collect()}
+    assert got == {"cat": "direct", "catdog": "compound", "catdogcow": "compound", "zebra": "none"}
+    assert seen == [{"catdogcow", "zebra"}]
