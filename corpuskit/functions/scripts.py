@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,13 +79,13 @@ OTHER_INDIC = r"[ঀ-࿿]"
 DIACRITICS = r"(?iu)[āīūṛṝḷḹṃḥṅñṭḍṇśṣ]"
 
 
-def _map(pairs: dict[str, str]) -> Column:
+def _map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
 def _alternation(tokens) -> str:
     """Longest token first, then any character."""
-    return "|".join(re.escape(t) for t in sorted(tokens, key=lambda t: (-len(t), t))) + "|(?s:.)"
+    return "|".join([*(re.escape(t) for t in sorted(tokens, key=lambda t: (-len(t), t))), "(?s:.)"])
 
 
 def replace_letters(c: Column, table: dict[str, str]) -> Column:
@@ -125,31 +126,49 @@ def to_roman(c: Column, scheme: str = "iast") -> Column:
     return F.array_join(F.transform(T.matches(c, pattern), one), "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def from_roman(c: Column, scheme: str = "iast") -> Column:
-    """Romanisation to the canonical script, longest letters first."""
+    """Romanisation to the canonical script, longest letters first.
+
+    Every letter is looked up once, for its number: consonants come first, then vowels, then
+    marks, 0 is no letter.  What stands beside a letter is then a matter of two numbers.
+    """
     vowels, consonants, marks = ROMAN[scheme]
     also = ALSO_READ[scheme]
     if also:
-        c = replace_letters(c, {**{t: t for t in [*vowels, *consonants, *marks]}, **also})
+        read = replace_letters(c, {**{t: t for t in [*vowels, *consonants, *marks] if len(t) > 1}, **also})
+        c = F.when(c.rlike("|".join(re.escape(t) for t in also)), read).otherwise(c)
     if scheme == "iast":
         c = F.lower(c)
-    cons, free = dict(zip(consonants, CONSONANTS)), dict(zip(vowels, VOWELS))
-    signs, other = dict(zip(vowels, SIGNS)), dict(zip(marks, MARKS))
-    letters = T.matches(c, _alternation([*cons, *free, *other]))
-    has = lambda table, x: F.coalesce(F.map_contains_key(_map(table), x), F.lit(False))
-
-    def build(array: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            before, after = F.get(array, i - 1), F.get(array, i + 1)
-            return (
-                F.when(has(cons, x), F.concat(F.try_element_at(_map(cons), x), F.when(has(free, after), "").otherwise(VIRAMA)))
-                .when(has(free, x), F.when(has(cons, before), F.try_element_at(_map(signs), x)).otherwise(F.try_element_at(_map(free), x)))
-                .otherwise(F.coalesce(F.try_element_at(_map(other), x), x))
-            )
-
-        return F.array_join(F.transform(array, one), "")
-
-    return build(letters)
+    numbers = {t: i + 1 for i, t in enumerate([*consonants, *vowels, *marks])}
+    is_cons = lambda n: F.coalesce((n > 0) & (n <= len(consonants)), F.lit(False))
+    is_vowel = lambda n: F.coalesce((n > len(consonants)) & (n <= len(consonants) + len(vowels)), F.lit(False))
+    alone = F.array(*[F.lit(x) for x in [*CONSONANTS, *VOWELS, *MARKS]])
+    signs = F.array(*[F.lit(x) for x in SIGNS])
+
+    def build(letters: Column) -> Column:
+        def one(w: Column) -> Column:
+            def letter(n: Column, i: Column) -> Column:
+                before, after = F.get(w, i - 1), F.get(w, i + 1)
+                own = F.get(alone, n["n"] - 1)
+                return (
+                    F.when(is_cons(n["n"]), F.concat(own, F.when(is_vowel(after["n"]), "").otherwise(VIRAMA)))
+                    .when(is_vowel(n["n"]) & is_cons(before["n"]), F.get(signs, n["n"] - (len(consonants) + 1)))
+                    .when(n["n"] > 0, own)
+                    .otherwise(n["x"])
+                )
+
+            return F.array_join(F.transform(w, letter), "")
+
+        numbered = F.transform(letters, lambda x: F.struct(x.alias("x"), F.coalesce(F.try_element_at(_map(numbers), x), F.lit(0)).alias("n")))
+        return _let(numbered, one)
+
+    # A letter of one character is what any character is.
+    return build(T.matches(c, _alternation(t for t in numbers if len(t) > 1)))
 
 
 def convert(c: Column, target: str) -> Column:

@@ -46,3 +46,45 @@ def test_query_variants(spark):
     assert {"सर्वं", "सर्व", "सर्वम्"} <= set(one(spark, "सर्वं", S.query_variants))
     assert "आत्म" in one(spark, "atma", S.query_variants)
     assert one(spark, " ", S.query_variants) == []
+
+
+def by_letter(word, scheme):
+    """A romanisation read one letter after the other, longest letters first."""
+    import re
+
+    def letters(text, known):
+        return re.findall("|".join(re.escape(t) for t in sorted(known, key=lambda t: (-len(t), t))) + "|(?s:.)", text)
+
+    vowels, consonants, marks = S.ROMAN[scheme]
+    also = S.ALSO_READ[scheme]
+    word = "".join(also.get(t, t) for t in letters(word, [*vowels, *consonants, *marks, *also]))
+    word = word.lower() if scheme == "iast" else word
+    found, out = letters(word, [*vowels, *consonants, *marks]), []
+    for i, t in enumerate(found):
+        before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
+        if t in consonants:
+            out.append(S.CONSONANTS[consonants.index(t)] + ("" if after in vowels else S.VIRAMA))
+        elif t in vowels:
+            out.append((S.SIGNS if before in consonants else S.VOWELS)[vowels.index(t)])
+        else:
+            out.append(S.MARKS[marks.index(t)] if t in marks else t)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("scheme", list(S.ROMAN))
+def test_letters_beside_each_other(spark, scheme):
+    """Letters of every length in any order, strange ones and spellings of either kind among them."""
+    import random
+
+    draw = random.Random(scheme)
+    vowels, consonants, marks = S.ROMAN[scheme]
+    able = [*vowels, *consonants, *marks, *S.ALSO_READ[scheme], "?", "ß", "क", "A", "R", "h", ".", "\U0001f600", " "]
+    words = ["", *able, *("".join(draw.choice(able) for _ in range(draw.randint(2, 9))) for _ in range(1500))]
+    rows = spark.createDataFrame([(w,) for w in words], "v string").select("v", S.from_roman(F.col("v"), scheme).alias("got")).collect()
+    assert {r.v: r.got for r in rows} == {w: by_letter(w, scheme) for w in words}
+
+
+def test_a_word_is_cut_into_letters_once(spark):
+    """One search for letters per word: as an expression inside the loop over the letters it ran for every letter again."""
+    plan = spark.createDataFrame([("x",)], "v string").select(S.from_roman(F.col("v"), "hk").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
