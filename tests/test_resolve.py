@@ -195,6 +195,41 @@ def test_plain_cuts_are_numbers(spark):
     assert "array_join" not in text and "lambda" not in text
 
 
+def parts_by_cuts(words, heads, depth=3):
+    found, frontier = set(), set(words)
+    for _ in range(depth):
+        cuts = {(t[:i], t[i:]) for t in frontier if len(t) >= 4 for i in range(1, len(t) - 1)}
+        found |= {side for cut in cuts for side in cut if side in heads}
+        frontier = {r for l, r in cuts if l in heads and r not in heads} | {l for l, r in cuts if r in heads and l not in heads}
+    return found
+
+
+@pytest.mark.parametrize("letters", ["abé", "abcdé𝒳ß"])
+def test_known_parts_list_no_cuts(spark, monkeypatch, letters):
+    """Plain cuts are read off one row per string, whatever lies around its known parts."""
+    import random
+
+    draw = random.Random(len(letters))
+    word = lambda low, high: "".join(draw.choice(letters) for _ in range(draw.randint(low, high)))
+    words = sorted({word(1, 16) for _ in range(400)} | {"a", "ab", "zz" * 9})
+    heads = {word(1, 9) for _ in range(150)} | {"", "ab" * 5} | set(words[:20])
+    monkeypatch.setattr(C, "boundary_candidates", None)
+    table = lambda rows, name: spark.createDataFrame([(r,) for r in rows], f"{name} string")
+    for depth in (1, 3):
+        got = [r.head for r in C.known_parts(table(words, "token"), table([*heads, None], "head"), segment=C.characters, depth=depth).collect()]
+        assert sorted(got) == sorted(parts_by_cuts(words, heads, depth))
+
+
+def test_known_beginnings(spark):
+    heads = ["a", "ab", "abcdefg", "abcdefgh", "abcdeg", "b", "é", "éa"]
+    texts = ["a", "ab", "abc", "abcdefgz", "abcdefh", "abcdegx", "abcdez", "é", "éab", "ea", "c", "abcdefgh", "abcdefgh"]
+    known = spark.createDataFrame([(h,) for h in heads], "head string")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    marks = C._own_beginnings(known.select(F.col("head").alias("text")), known)
+    got = {r.id: sorted(r.sizes) for r in C.known_beginnings(rows, F.col("t"), known, marks, "sizes").collect()}
+    assert got == {i: sorted(len(h) for h in heads if t.startswith(h)) for i, t in enumerate(texts)}
+
+
 def test_pairs_and_credits_equal_the_splits(spark):
     """Credits made from the heads are those of the parts, and tokens found in two parts are those whose best split of two parts reaches the score."""
     heads = ["an", "ber", "cat", "g", "make", "mente", "b", "ing", "catter"]
