@@ -240,3 +240,32 @@ def test_a_batch_of_many_files_is_one_micro_batch(spark, tmp_path):
     assert batches[0].rdd.getNumPartitions() > 1
     got = {r.event_id: r.n_buffered for r in texts.stream_follow(spark, str(tmp_path)).collect()}
     assert got == {i: min(i // 7 + 1, 80) for i in range(600)}
+
+
+def test_copies_of_a_phrase_are_not_all_scored(spark, monkeypatch):
+    """The first of equal windows is found without a look at every copy; a better one far behind is found all the same."""
+    phrase = [f"p{i}" for i in range(20)]
+    words = [w for n in range(300) for w in [*phrase, f"x{n}", f"y{n}", f"z{n}"]]
+    corpus = spark.createDataFrame([("t", i, w) for i, w in enumerate(words)], "text_slug string, pos bigint, token string")
+    index = W.build_index(W.corpus_grams(corpus), stored=True)
+    heard = [(1, "t", phrase[3:17]), (2, "t", [*phrase[10:], "x250", "y250", "z250"]), (3, "t", [*phrase[:7], *phrase[:7]]), (4, "t", ["p0", "p1"] * 7), (5, "t", ["a"] * 14)]
+    asked = W.utterances(spark.createDataFrame(heard, "utt_id int, text_slug string, tokens array<string>"))
+    scored, seen = W._scored, []
+    monkeypatch.setattr(W, "_scored", lambda met, least: seen.append(met.filter("utt_id <> 3").count()) or scored(met, least))
+    got = {r.utt_id: (r.start, r.start + r.win, round(r.score, 9)) for r in W.best_windows(asked, index).collect()}
+    want = {i: brute(words, tokens, None, 0.25, 0) for i, _, tokens in heard}
+    assert got == {i: w for i, w in want.items() if w} and got[2][0] == 250 * 23 + 10 and len(got) == 3
+    assert seen[0] < 40  # the text has 108 blocks with the phrase; that of 3, which says it twice, is looked for in all
+
+
+def test_a_walk_goes_on_where_its_text_ends(spark):
+    """Matches that follow the hint through the second of two copies, away from all first best windows, are found in several rounds."""
+    words = [f"w{i}" for i in range(1500)] * 2
+    corpus = spark.createDataFrame([("t", i, w) for i, w in enumerate(words)], "text_slug string, pos bigint, token string")
+    index = W.build_index(W.corpus_grams(corpus), stored=True)
+    t0 = dt.datetime(2024, 1, 1)
+    said = [(s, t0 + dt.timedelta(seconds=i), i, "t", words[i * 40 : i * 40 + 14]) for i in range(30) for s in "ab"]
+    asked = spark.createDataFrame(said, "session_id string, ts timestamp, seq long, text_slug string, tokens array<string>")
+    hints = spark.createDataFrame([("a", 1500)], "session_id string, hint long")
+    got = {(r.session_id, r.seq): (r.start, r.end, r.score, r.is_local) for r in S.moving_matches(asked, hints, index).collect()}
+    assert got == {(s, i): (i * 40 + (1500 if s == "a" else 0), i * 40 + 14 + (1500 if s == "a" else 0), 1.0, s == "a" or i > 0) for i in range(30) for s in "ab"}
